@@ -124,7 +124,7 @@ def write_archives(
             press = zstandard.ZstdCompressor(level=level, dict_data=words, write_content_size=True)
             name = f"part-{task:010d}-{len(made):05d}.warc.zst"
             count = written = 0
-            with store.open_output_stream(f"{root}/{name}") as out:
+            with store.open_output_stream(f"{root}/{name}", compression=None) as out:
 
                 def put(data: bytes) -> None:
                     nonlocal written
@@ -174,7 +174,7 @@ def read_archives(manifest: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
         for frame in frames:
             for path in frame["path"]:
                 store, place = fs.FileSystem.from_uri(path)
-                with store.open_input_stream(place) as stream:
+                with store.open_input_stream(place, compression=None) as stream:
                     held, size = [], 0
                     for record in frames_of(stream):
                         held.append(parse_record(record))
