@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carrierscan.llm.common import materialize, text_slices
@@ -18,8 +18,8 @@ from carrierscan.llm.common import materialize, text_slices
 SAMPLE_ROWS = 10_000
 #: Tokens and token beginnings that a model keeps at most, the most significant first.
 MOST_TOKENS = 200_000
-#: Documents that the Dirichlet prior counts for, dealt by each token's share of all documents.
-PRIOR_DOCUMENTS = 300.0
+#: The Dirichlet prior counts for this share of the labelled documents, dealt by each token's share of them.
+PRIOR_SHARE = 0.02
 LEAST_Z, LEAST_ODDS, LEAST_DOCUMENTS = 2.5, 1.5, 4
 #: Score of a token without evidence; a passage keeps going over about twenty of them for one strong token.
 NEUTRAL = -0.3
@@ -118,9 +118,10 @@ def _odds(counts: DataFrame, totals: dict[tuple[int, int], int], folds: tuple[in
     """
     y1, y0 = (sum((F.col(f"n{y}{f}") for f in folds), F.lit(0)) for y in (1, 0))
     d1, d0 = (max(1, sum(totals.get((y, f), 0) for f in folds)) for y in (1, 0))
-    prior = F.lit(PRIOR_DOCUMENTS) * (y1 + y0) / float(d1 + d0)
+    weight = PRIOR_SHARE * (d1 + d0)
+    prior = F.lit(PRIOR_SHARE) * (y1 + y0)
     k1, k0 = y1 + prior + 1e-6, y0 + prior + 1e-6
-    odds = F.log(k1 / (d1 + PRIOR_DOCUMENTS - k1)) - F.log(k0 / (d0 + PRIOR_DOCUMENTS - k0))
+    odds = F.log(k1 / (d1 + weight - k1 + 1e-6)) - F.log(k0 / (d0 + weight - k0 + 1e-6))
     error = F.sqrt(1 / k1 + 1 / k0)
     rows = counts.where(y1 >= LEAST_DOCUMENTS).select("token", (odds - F.sqrt(1 / k1)).alias("score"), odds.alias("odds"), (odds / error).alias("z"))
     return {r["token"]: r["score"] for r in rows.where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("z"), "token").limit(MOST_TOKENS).collect()}
@@ -138,7 +139,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id
     if len({y for y, _ in totals}) < 2:
         return ToxicityModel({}, weights=(-3.0, 0.0, 0.0))
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN_SQL), F.lit(0)))
-    stems = [F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]
+    stems = [_stems(words, n) for n in STEMS]
     tokens = sample.select("y", "fold", F.explode(F.array_distinct(F.concat(words, *stems))).alias("token"))
     cells = [F.count(F.when((F.col("y") == y) & (F.col("fold") == f), 1)).alias(f"n{y}{f}") for y in (0, 1) for f in (0, 1)]
     counts = materialize(tokens.groupBy("token").agg(*cells).where("n10 + n11 >= 2"), "tokens")
@@ -160,6 +161,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id
     return ToxicityModel(_odds(counts, totals, (0, 1)), rate, scale, tuple(_logistic(x, np.array([float(r["y"]) for r in seen]))))
 
 
+def _stems(words: Column, length: int) -> Column:
+    longer = F.filter(words, lambda w: F.length(w) > length)
+    return F.transform(longer, lambda w: F.concat(F.substring(w, 1, length), F.lit("*")))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> list[float]:
     """Logistic regression by Newton steps, with a small ridge."""
     w = np.zeros(x.shape[1])
