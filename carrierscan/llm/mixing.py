@@ -80,12 +80,14 @@ def balance(cells: DataFrame, targets: DataFrame, most: float = MOST_COPIES, tol
 
 
 def _settle(cells: DataFrame, most: int, rounds: int) -> DataFrame:
-    """Add or take one copy per source and round, of the size nearest to what the source still lacks."""
+    """Add or take copies of one size per source and round: of the size that leaves the least of what the source still lacks."""
     for _ in range(rounds):
         lack = cells.groupBy("_key").agg((F.first("target") - F.sum(F.col("_take") * F.col("_size"))).alias("_lack"))
         rows = cells.join(lack, "_key")
-        may = (F.col("_size") > 0) & (F.col("_size") < 2 * F.abs("_lack")) & F.when(F.col("_lack") > 0, F.col("_take") < most * F.col("_n")).otherwise(F.col("_take") > 0)
-        best = rows.where(may).groupBy("_key").agg(F.min(F.struct(F.abs(F.abs("_lack") - F.col("_size")), F.col("_size").alias("s"), F.signum("_lack").cast("long").alias("d"))).alias("_best"))
+        room = F.when(F.col("_lack") > 0, most * F.col("_n") - F.col("_take")).otherwise(F.col("_take"))
+        times = F.least(room, F.round(F.abs("_lack") / F.greatest("_size", F.lit(1))).cast("long"))
+        left = F.abs(F.abs("_lack") - times * F.col("_size"))
+        best = rows.where((F.col("_size") > 0) & (times > 0)).groupBy("_key").agg(F.min(F.struct(left, F.col("_size").alias("s"), (times * F.signum("_lack")).cast("long").alias("d"))).alias("_best"))
         hit = F.coalesce(F.when(F.col("_best.s") == F.col("_size"), F.col("_best.d")), F.lit(0))
         cells = materialize(rows.join(best, "_key", "left").withColumn("_take", F.col("_take") + hit).select(*cells.columns), "cells")
     return cells
@@ -98,7 +100,7 @@ def mix_sources(
 
     ``size`` counts the words of the text (null: 0). Rates are one for equal sizes of a source, so they are solved on counts of
     (source, size). Whole copies come from the rates by systematic rounding along the sizes: running sums of rates are rounded, which
-    keeps the words of any run of sizes within one document of what the rates ask for; then ``settle`` single copies
+    keeps the words of any run of sizes within one document of what the rates ask for; then copies of up to ``settle`` sizes
     per source make up what is left. Within a cell, ranks from salted windows say who gets the odd copy, by id.
     Null sources are one source, last in order; empty texts take part with size 0 and their rate's copies; an empty table gives
     an empty result; repeated rows are separate rows. Columns named like the added ones are replaced.
