@@ -23,7 +23,7 @@ class FilePartition(InputPartition):
 
 def _open(path: str):
     store, place = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-    stream = store.open_input_stream(place)
+    stream = store.open_input_stream(place, compression=None)
     return io.TextIOWrapper(gzip.GzipFile(fileobj=stream) if path.endswith((".gz", ".bgz")) else stream, encoding="utf-8")
 
 
