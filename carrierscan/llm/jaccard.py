@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carrierscan.llm.common import binary_array, list_array, materialize, mix64, partitions, text_slices
+from carrierscan.llm.urlfilter import Level, set_bits
 
 #: Shingles that a task holds before it deals them out.
-FLUSH = 4_000_000
+FLUSH = 1_500_000
 #: Shingles that one bucket of the count gets on average at most.
 BUCKET = 2_000_000
 #: Bits of a token below its rarity level.
@@ -27,19 +27,24 @@ STAR_ROUNDS = 4
 PAIRS_LEFT = 2
 #: Depth of the suffix filter.
 SUFFIX_DEPTH = 3
+#: Text bytes that are hashed at once.
+SLICE = 2 << 20
+#: A class carries its size level in its low bits: steps of a sixteenth of a doubling.
+SIZE_BITS, SIZES_PER_DOUBLING = 9, 16
+#: The screening prefix has this share of a set beside the plain prefix, and as many of its shingles must be shared.
+SCREEN = 0.2
+#: Bytes of the filter of screened classes at most; a full filter lets more through and loses none.
+SCREEN_BYTES = 8 << 20
+#: 64-bit words of a set's parity bitmap.
+BITMAP_WORDS = 4
 
 _BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, _BASE_INVERSE):
-        steps = np.full(size, base, np.uint64)
-        steps[0] = 1
-        out.append(np.cumprod(steps, dtype=np.uint64))
-    return out[0], out[1]
+def _powers(size: int) -> np.ndarray:
+    steps = np.full(max(1, size), _BASE, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,9 +70,13 @@ def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     fresh[offsets] = True
     begin = np.flatnonzero(solid & (fresh[:-1] | np.concatenate([[True], ~solid[:-1]])))
     end = np.flatnonzero(solid & (fresh[1:] | np.concatenate([~solid[1:], [True]]))) + 1
-    power, inverse = _powers(1 << max(22, int(len(data)).bit_length()))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)])
-    word = mix64((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+    length = end - begin
+    first_byte = np.cumsum(length) - length
+    inside = np.arange(int(length.sum())) - np.repeat(first_byte, length)
+    part = (data[solid].astype(np.uint64) + np.uint64(1)) * _powers(int(length.max(initial=1)))[inside]
+    del inside, solid, fresh, data
+    word = mix64((np.add.reduceat(part, first_byte) if len(part) else np.zeros(0, np.uint64)) + length.astype(np.uint64))
+    del part
     text = np.searchsorted(offsets, begin, "right") - 1
     per_text = np.bincount(text, minlength=texts)
     first = np.cumsum(per_text) - per_text
@@ -94,27 +103,36 @@ def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(value: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """One 64-bit signature of each set; 0 for empty sets."""
+    """One 64-bit signature of each set, whose low bits are the size's level; 0 for empty sets."""
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(value ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
     end = np.cumsum(sizes)
     mixed = mix64(total[end] - total[end - sizes] + sizes.astype(np.uint64))
-    return np.where(sizes > 0, mixed, np.uint64(0)).view(np.int64)
+    level = np.floor(SIZES_PER_DOUBLING * np.log2(np.maximum(sizes, 1))).astype(np.uint64) + np.uint64(1)
+    return np.where(sizes > 0, mixed >> np.uint64(SIZE_BITS) << np.uint64(SIZE_BITS) | level, np.uint64(0)).view(np.int64)
 
 
 def _documents(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, n, class`` of every row: equal sets are one class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, most=SLICE):
             value, sizes = shingle_sets(batch.column(1), words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int64)), pa.array(_signatures(value, sizes))], names=["doc_id", "n", "class"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n long, class long")
 
 
-def _deal(docs: DataFrame, words: int, bucket_bits: int, text_col: str) -> DataFrame:
-    """Each task's shingles, dealt to buckets by their top bits: one row for a task and bucket, copies within a task once."""
+def _screen_share(n: np.ndarray) -> np.ndarray:
+    return np.maximum(1, np.floor(n * SCREEN).astype(np.int64))
+
+
+def _deal(docs: DataFrame, words: int, bucket_bits: int, text_col: str, screen: tuple[int, int] | None = None, chosen: Level | None = None) -> DataFrame:
+    """Each task's shingles, dealt to buckets by their last bits: one row for a task and bucket, copies within a task once.
+
+    ``screen`` (the threshold) deals only each set's screening prefix in hash order; ``chosen`` deals only sets whose class it holds.
+    """
     rest_bits = min(48, KEY_BITS - bucket_bits)
+    shared = docs.sparkSession.sparkContext.broadcast(chosen) if chosen else None
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         value, sizes, classes = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -122,12 +140,19 @@ def _deal(docs: DataFrame, words: int, bucket_bits: int, text_col: str) -> DataF
         kept = np.zeros(len(classes), bool)
         kept[keep] = True
         kept &= sizes > 0
+        if shared:
+            kept &= shared.value.holds(classes, mix64(classes.view(np.uint64)).view(np.int64))
         value = value[np.repeat(kept, sizes)]
         sizes, classes = sizes[kept], classes[kept]
+        if screen:
+            num, den = screen
+            most = np.minimum(sizes, sizes - (sizes * num + den - 1) // den + _screen_share(sizes))
+            value = value[np.arange(len(value)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(most, sizes)]
+            sizes = most
         owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        bucket = (value >> np.uint64(64 - bucket_bits)).astype(np.uint16 if bucket_bits <= 16 else np.uint32) if bucket_bits else np.zeros(len(value), np.uint16)
+        bucket = (value & np.uint64((1 << bucket_bits) - 1)).astype(np.uint16 if bucket_bits <= 16 else np.uint32)
         order = np.argsort(bucket, kind="stable")
-        bucket, owner, value = bucket[order], owner[order], value[order] & np.uint64((1 << rest_bits) - 1)
+        bucket, owner, value = bucket[order], owner[order], value[order] >> np.uint64(bucket_bits) & np.uint64((1 << rest_bits) - 1)
         if not len(value):
             return
         run = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1])]))
@@ -135,21 +160,21 @@ def _deal(docs: DataFrame, words: int, bucket_bits: int, text_col: str) -> DataF
         runs = np.concatenate([first, [len(run)]])
         keys = np.concatenate([run[first], [len(value)]])
         lengths = np.diff(np.concatenate([run, [len(value)]])).astype("<u4")
+        owner = owner[run]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(names.astype(np.int32)),
-                binary_array(classes[owner[run]], runs * 8),
-                binary_array(sizes[owner[run]].astype("<u4"), runs * 4),
+                binary_array(classes[owner], runs * 8),
                 binary_array(lengths, runs * 4),
                 binary_array((value & np.uint64(0xFFFFFFFF)).astype("<u4"), keys * 4),
                 binary_array((value >> np.uint64(32)).astype("<u2"), keys * 2),
             ],
-            names=["bucket", "classes", "sizes", "lengths", "low", "high"],
+            names=["bucket", "classes", "lengths", "low", "high"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, most=SLICE):
             value, sizes = shingle_sets(batch.column(0), words)
             held.append((value, sizes, _signatures(value, sizes)))
             if sum(len(x[0]) for x in held) >= FLUSH:
@@ -158,16 +183,38 @@ def _deal(docs: DataFrame, words: int, bucket_bits: int, text_col: str) -> DataF
         if held:
             yield from flush(held)
 
-    return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "bucket int, classes binary, sizes binary, lengths binary, low binary, high binary")
+    return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "bucket int, classes binary, lengths binary, low binary, high binary")
+
+
+def _screened(docs: DataFrame, words: int, classes: DataFrame, bucket_bits: int, text_col: str, num: int, den: int) -> Level:
+    """A filter of the classes whose screening prefix shares enough shingles with prefixes of sets of fitting size.
+
+    Two sets that link share, in any one order, as many shingles of their screening prefixes as the smaller set's share; so a
+    class below the share of the smallest set it could link with is out.
+    """
+    live = _live_tokens(_deal(docs, words, bucket_bits, text_col, (num, den)), bucket_bits, num, den)
+    counts = live.select("class", F.size("tokens").alias("k")).groupBy("class").agg(F.sum("k").alias("k"))
+    least = F.greatest(F.lit(1), F.floor(F.expr(f"n * {num} div {den}") * SCREEN))
+    kept = materialize(counts.join(classes, "class").where(F.col("k") >= least).select(F.col("class").alias("_one")), "screened")
+    n = kept.count()
+    bits = min(SCREEN_BYTES * 8, max(64, n * 10))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mix64(one.view(np.uint64)).view(np.int64))], names=["_one", "_two"])
+
+    return set_bits(kept.mapInArrow(hashed, "_one long, _two long"), bits, 4, 0)
 
 
 def _live_tokens(dealt: DataFrame, bucket_bits: int, num: int, den: int) -> DataFrame:
-    """``class, n, tokens``: in each bucket, the shingles that a class shares with another class of fitting size.
+    """``class, tokens``: in each bucket, the shingles that a class shares with another class whose size level may fit.
 
     A token is the shingle's rarity level (of its document frequency over classes) and then its key, so that
     numeric order is rare-first. A shingle shared with classes of other sizes only can be in no link.
     """
     rest_bits = min(48, KEY_BITS - bucket_bits)
+    apart = math.floor(SIZES_PER_DOUBLING * math.log2(den / num)) + 1
 
     def run(table: pa.Table) -> pa.Table:
         def joined(name: str, kind: str) -> np.ndarray:
@@ -175,7 +222,8 @@ def _live_tokens(dealt: DataFrame, bucket_bits: int, num: int, den: int) -> Data
 
         lengths = joined("lengths", "<u4").astype(np.int64)
         key = joined("low", "<u4").astype(np.int64) | joined("high", "<u2").astype(np.int64) << 32
-        owner, size = np.repeat(joined("classes", "<i8"), lengths), np.repeat(joined("sizes", "<u4").astype(np.int64), lengths)
+        owner = np.repeat(joined("classes", "<i8"), lengths)
+        size = (owner & ((1 << SIZE_BITS) - 1)).astype(np.int16)
         order = np.lexsort((owner, size, key))
         key, owner, size = key[order], owner[order], size[order]
         new = np.ones(len(key), bool)
@@ -184,18 +232,18 @@ def _live_tokens(dealt: DataFrame, bucket_bits: int, num: int, den: int) -> Data
         start = np.concatenate([[True], key[1:] != key[:-1]])
         group = np.cumsum(start) - 1
         frequency = np.bincount(group)[group]
-        near = ~start[1:] & (size[:-1] * den >= num * size[1:])
+        near = ~start[1:] & (size[1:] - size[:-1] <= apart)
         live = np.concatenate([near, [False]]) | np.concatenate([[False], near])
         level = np.minimum(np.floor(LEVELS_PER_DOUBLING * np.log2(frequency)), MOST_LEVEL).astype(np.int64)
         bucket = table.column("bucket")[0].as_py()
         token = (level << KEY_BITS | bucket << rest_bits | key)[live]
-        owner, size = owner[live], size[live]
+        owner = owner[live]
         order = np.argsort(owner, kind="stable")
-        token, owner, size = token[order], owner[order], size[order]
+        token, owner = token[order], owner[order]
         first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-        return pa.table({"class": owner[first], "n": size[first], "tokens": list_array(token, np.concatenate([first, [len(token)]]))})
+        return pa.table({"class": owner[first], "tokens": list_array(token, np.concatenate([first, [len(token)]]))})
 
-    return dealt.groupBy("bucket").applyInArrow(run, "class long, n long, tokens array<long>")
+    return dealt.groupBy("bucket").applyInArrow(run, "class long, tokens array<long>")
 
 
 def _need(n: str, num: int, den: int) -> Column:
@@ -203,29 +251,52 @@ def _need(n: str, num: int, den: int) -> Column:
     return F.expr(f"({n} * {num} + {den - 1}) div {den}")
 
 
-def _candidates(dealt: DataFrame, bucket_bits: int, num: int, den: int) -> DataFrame:
-    """``class, n, tokens`` of classes whose prefix holds a live token. Shingles without a partner come first in a prefix."""
-    whole = _live_tokens(dealt, bucket_bits, num, den).groupBy("class", "n").agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+def _candidates(dealt: DataFrame, classes: DataFrame, bucket_bits: int, num: int, den: int) -> DataFrame:
+    """``class, n, tokens, take`` of classes whose prefix holds a live token. Shingles without a partner come first in a prefix; ``take`` live ones follow."""
+    whole = _live_tokens(dealt, bucket_bits, num, den).groupBy("class").agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("tokens"))
     prefix = F.col("n") - _need("n", num, den) + 1
-    return whole.withColumn("take", (prefix - (F.col("n") - F.size("tokens"))).cast("int")).where("take > 0")
+    return whole.join(classes, "class").withColumn("take", (prefix - (F.col("n") - F.size("tokens"))).cast("int")).where("take > 0")
+
+
+def _prefix_rows(sets: DataFrame) -> DataFrame:
+    """A row for each live token of a prefix: ``token, class, n, live, at`` and the parity bitmap of the class's live tokens."""
+    words = [f"b{k}" for k in range(BITMAP_WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            take = batch.column(3).to_numpy()
+            offsets, tokens = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
+            live = np.diff(offsets)
+            bits = np.zeros((batch.num_rows, BITMAP_WORDS), np.uint64)
+            row = np.repeat(np.arange(batch.num_rows), live)
+            used = tokens[offsets[0] : offsets[-1]]
+            np.bitwise_xor.at(bits, (row, (used >> 6) & (BITMAP_WORDS - 1)), np.uint64(1) << (used & 63).astype(np.uint64))
+            owner = np.repeat(np.arange(batch.num_rows), take)
+            at = np.arange(len(owner)) - np.repeat(np.cumsum(take) - take, take)
+            columns = [tokens[offsets[owner] + at], batch.column(0).to_numpy()[owner], batch.column(1).to_numpy()[owner], live[owner].astype(np.int32), at.astype(np.int32), *bits[owner].T.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["token", "class", "n", "live", "at", *words])
+
+    return sets.select("class", "n", "tokens", "take").mapInArrow(run, "token long, class long, n long, live int, at int, " + ", ".join(f"{w} long" for w in words))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``class, comp`` of every end of ``edges`` (``u, v``): the smallest end reachable, by alternating large and small stars."""
-    edges = materialize(edges.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).where("u != v").distinct(), name)
+
+    def stored(df: DataFrame) -> tuple[DataFrame, tuple]:
+        rows = materialize(df.where("u != v").distinct(), name)
+        return rows, tuple(rows.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).head())
+
+    edges, mark = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = materialize(large, name)
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        small = materialize(small, name)
-        total = [x.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).head() for x in (edges, small)]
-        edges = small
-        if total[0] == total[1]:
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        edges, now = stored(small)
+        if now == mark:
             return edges.select(F.col("u").alias("class"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("class"), F.col("v").alias("comp")).distinct())
+        mark = now
 
 
 def _suffix_bound(x: np.ndarray, y: np.ndarray, most: int, depth: int) -> int:
@@ -267,10 +338,16 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _fits(a: str, b: str, num: int, den: int) -> Column:
-    """Length and positional filter of two prefix rows of one token."""
+    """Length, positional and bitmap filter of two prefix rows of one token.
+
+    The bitmaps hold the parity of how many tokens fall on a bit, so bits that differ are no more than tokens in one set only.
+    """
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    rest = F.least(F.col(f"{a}.live") - F.col(f"{a}.at"), F.col(f"{b}.live") - F.col(f"{b}.at"))
-    return (n * den >= m * num) & (m * den >= n * num) & ((F.least(f"{a}.at", f"{b}.at") + rest) * (num + den) >= (n + m) * num)
+    live, other = F.col(f"{a}.live"), F.col(f"{b}.live")
+    rest = F.least(live - F.col(f"{a}.at"), other - F.col(f"{b}.at"))
+    need = F.expr(f"(({a}.n + {b}.n) * {num} + {num + den - 1}) div {num + den}")
+    differ = sum((F.bit_count(F.col(f"{a}.b{k}").bitwiseXOR(F.col(f"{b}.b{k}"))) for k in range(BITMAP_WORDS)), F.lit(0))
+    return (n * den >= m * num) & (m * den >= n * num) & ((F.least(f"{a}.at", f"{b}.at") + rest) * (num + den) >= (n + m) * num) & (live + other - differ >= 2 * need)
 
 
 def link_classes(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -280,7 +357,7 @@ def link_classes(sets: DataFrame, num: int, den: int) -> DataFrame:
     of them only, unless both are already in one component; which loses nothing, since pairs left out are linked
     through others. When few pairs between components are left, all of those are compared. Each pair is verified once.
     """
-    prefix = materialize(sets.select("class", "n", F.size("tokens").alias("live"), F.posexplode(F.slice("tokens", 1, F.col("take"))).alias("at", "token")), "prefix")
+    prefix = materialize(_prefix_rows(sets), "prefix")
     shared = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     prefix = materialize(prefix.join(shared.drop("k"), "token"), "prefix")
     rows = prefix.count()
@@ -300,11 +377,15 @@ def link_classes(sets: DataFrame, num: int, den: int) -> DataFrame:
                 break
             last = left <= PAIRS_LEFT * rows or turn == STAR_ROUNDS
             placed = placed.join(split.select("token"), "token")
+            prefix = placed.drop("comp", "rank")
         if last:
-            a, b = placed.alias("a"), placed.alias("b")
-            found = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.comp") != F.col("b.comp")) & _fits("a", "b", num, den))
+            largest = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "comp")).alias("_l")).select("token", F.col("_l.comp").alias("large"))
+            few = placed.join(largest, "token").where("comp != large")
+            a, b = few.alias("a"), placed.alias("b")
+            once = (F.col("b.comp") == F.col("a.large")) | (F.col("a.class") < F.col("b.class"))
+            found = b.join(a, (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & once & _fits("a", "b", num, den))
         else:
-            pivots = placed.groupBy("token").agg(F.min(F.struct("rank", "class", "n", "live", "at", "comp")).alias("p")).select("token", "p.*")
+            pivots = placed.groupBy("token").agg(F.min(F.struct("rank", "class", "n", "live", "at", "comp", *[f"b{k}" for k in range(BITMAP_WORDS)])).alias("p")).select("token", "p.*")
             a, b = pivots.alias("a"), placed.alias("b")
             found = b.join(a, (F.col("a.token") == F.col("b.token")) & (F.col("a.class") != F.col("b.class")) & (F.col("a.comp") != F.col("b.comp")) & _fits("a", "b", num, den))
         pairs = found.select(F.col("a.class").alias("x"), F.col("b.class").alias("y"), F.least("a.class", "b.class").alias("lo"), F.greatest("a.class", "b.class").alias("hi")).dropDuplicates(["lo", "hi"])
@@ -329,13 +410,16 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     Documents link when intersection times ``den`` is at least ``num`` times union of their sets of ``words``-word shingles. ``component_id`` is the smallest
     id that links reach. Null, empty and blank texts have no shingles, link with nothing and are their own component. Equal sets are one class, met once;
     rows that repeat an id are in the component of their own text. Shingles and sets are told apart by
-    64-bit hashes, tokens by 56 bits. No pair of classes that could link is left out.
+    hashes (a set's has 55 bits beside its size's level, a shingle's 56 in comparisons). No pair of classes that could link is left out.
     """
     spark = docs.sparkSession
     table = materialize(_documents(docs, words, id_col, text_col), "shingled")
     total = table.agg(F.sum("n")).head()[0] or 0
-    bucket_bits = max(1, math.ceil(math.log2(max(total / BUCKET, 4 * partitions(spark)))))
-    sets = materialize(_candidates(_deal(docs, words, bucket_bits, text_col), bucket_bits, num, den), "sets")
+    bucket_bits = max(1, math.ceil(math.log2(max(total / BUCKET, partitions(spark)))))
+    sizes = table.where("n > 0").groupBy("class").agg(F.first("n").alias("n"))
+    sizes = materialize(sizes, "classes")
+    chosen = _screened(docs, words, sizes, bucket_bits, text_col, num, den)
+    sets = materialize(_candidates(_deal(docs, words, bucket_bits, text_col, chosen=chosen), sizes, bucket_bits, num, den), "sets")
     joined = link_classes(sets, num, den)
     classes = table.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("_least"))
     placed = classes.join(joined, "class", "left").withColumn("comp", F.coalesce("comp", "class"))

@@ -21,10 +21,11 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
-def tokenizer_path() -> str:
+def tokenizer() -> dict[str, str]:
+    """The packing tokenizer's file, and its vocabulary as ranks."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
 def op1_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ def op4_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.packed_digests(_table(spark, sf_dir, "documents"), **tokenizer())
 
 
 def op6_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,10 +56,13 @@ def candidate_keys(host: Column, path: Column, labels: int, lengths: list[int])
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_sort(keys)["key"])
 
 
-def _set_bits(keys: DataFrame, count: int, rate: float, level: int) -> Level:
+def sized_bits(count: int, rate: float) -> int:
+    return max(64, -(-math.ceil(count * -math.log(rate) / math.log(2) ** 2) // 64) * 64)
+
+
+def set_bits(keys: DataFrame, bits: int, probes: int, level: int) -> Level:
     """A filter over ``keys`` (``_one, _two``): bits are set in the tasks, merged by 64-bit word, and only words travel."""
-    bits = max(64, -(-math.ceil(count * -math.log(rate) / math.log(2) ** 2) // 64) * 64)
-    probes = max(1, round(-math.log2(rate)))
+    bits = -(-bits // 64) * 64
 
     def words(batches):
         for batch in batches:
@@ -101,7 +104,7 @@ def build_cascade(universe: DataFrame, rate: float = FIRST_RATE, next_rate: floa
             return None
         if len(levels) >= MOST_LEVELS:
             raise ValueError("two keys of the universe agree in both hashes")
-        levels.append(_set_bits(inside, count, p, len(levels)))
+        levels.append(set_bits(inside, sized_bits(count, p), max(1, round(-math.log2(p))), len(levels)))
         inside, outside, p = materialize(_passing(outside, levels[-1]), "cascade"), inside, next_rate
         count = inside.count()
     return levels

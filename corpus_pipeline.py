@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from carrierscan.llm import jaccard, langid, mixing, packing, toxicity
 from carrierscan.llm.common import materialize
-from carrierscan.llm.queries import tokenizer_path
+from carrierscan.llm.queries import tokenizer
 
 #: A text of which less than this share of n-grams fits any known language is in none of them.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -38,7 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences; a document that the mix takes twice is there twice."""
-    return packing.packed_digests(docs, tokenizer_path())
+    return packing.packed_digests(docs, **tokenizer())
 
 
 STAGES = [("toxicity", drop_toxic), ("language", keep_known_languages), ("near_duplicates", drop_near_duplicates), ("mixing", mix), ("packing", pack)]

@@ -203,9 +203,8 @@ def test_plan_is_tight_and_complete():
 def test_pieces_are_the_tokenizer_s(docs, none):
     from tokenizers import Tokenizer
 
-    path = queries.tokenizer_path()
-    tok = Tokenizer.from_file(path)
-    got = packing.pack_documents(docs, path, 128).collect()
+    tok = Tokenizer.from_file(queries.tokenizer()["tokenizer_path"])
+    got = packing.pack_documents(docs, capacity=128, **queries.tokenizer()).collect()
     by_doc = {}
     for r in got:
         by_doc.setdefault(r["doc_id"], []).append(r)
@@ -220,17 +219,18 @@ def test_pieces_are_the_tokenizer_s(docs, none):
         fill.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     for slots in fill.values():
         assert sum(n for _, n in slots) <= 128 and sorted(o for o, _ in slots) == list(np.cumsum([0, *(n for _, n in sorted(slots))])[:-1])
-    assert packing.pack_documents(none, path).count() == 0
+    assert packing.pack_documents(none, **queries.tokenizer()).count() == 0
 
 
-def test_word_cuts_keep_ids():
+def test_both_encoders_agree():
     from tokenizers import Tokenizer
 
-    path = queries.tokenizer_path()
-    tok, encode = Tokenizer.from_file(path), packing.word_ids(path)
-    texts = ["a  b   c", " lead", "trail ", "tab\t x \ty", "it's  we'll don't", "<|endoftext|> x <|endoftext|>", "\xa0 \u2003 y", "new\n line \n\n z", "日本 語 é", "a \x1c b", "", " "]
-    for text, ids in zip(texts, encode(texts), strict=True):
-        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == tok.encode(text, add_special_tokens=False).ids, repr(text)
+    names = queries.tokenizer()
+    tok = Tokenizer.from_file(names["tokenizer_path"])
+    texts = ["a  b   c", " lead", "trail ", "tab\t x \ty", "it's  we'll don't", "<|endoftext|> x <|endoftext|>", "\xa0 \u2003 y", "new\n line \n\n z", "日本 語 é", "a \x1c b", "", " ", "x" * 5000, "½ ² Ⅷ ١٢ a1b2", "e\u0301\u200b\ufeff", "🙂🏽 z"]
+    for encode in (packing.text_ids(names["tokenizer_path"]), packing.text_ids(names["tokenizer_path"], names["ranks"], names["pattern"])):
+        for text, ids in zip(texts, encode(texts), strict=True):
+            assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == tok.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 # language
