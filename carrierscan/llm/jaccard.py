@@ -192,10 +192,10 @@ def _screened(docs: DataFrame, words: int, classes: DataFrame, bucket_bits: int,
     Two sets that link share, in any one order, as many shingles of their screening prefixes as the smaller set's share; so a
     class below the share of the smallest set it could link with is out.
     """
-    live = _live_tokens(_deal(docs, words, bucket_bits, text_col, (num, den)), bucket_bits, num, den)
-    counts = live.select("class", F.size("tokens").alias("k")).groupBy("class").agg(F.sum("k").alias("k"))
+    dealt = _deal(docs, words, bucket_bits, text_col, (num, den))
+    counts = _by_class(_live_tokens(dealt, bucket_bits, num, den, tokens=False), classes, bucket_bits, tokens=False)
     least = F.greatest(F.lit(1), F.floor(F.expr(f"n * {num} div {den}") * SCREEN))
-    kept = materialize(counts.join(classes, "class").where(F.col("k") >= least).select(F.col("class").alias("_one")), "screened")
+    kept = materialize(counts.where(F.col("live") >= least).select(F.col("class").alias("_one")), "screened")
     n = kept.count()
     bits = min(SCREEN_BYTES * 8, max(64, n * 10))
 
@@ -207,22 +207,25 @@ def _screened(docs: DataFrame, words: int, classes: DataFrame, bucket_bits: int,
     return set_bits(kept.mapInArrow(hashed, "_one long, _two long"), bits, 4, 0)
 
 
-def _live_tokens(dealt: DataFrame, bucket_bits: int, num: int, den: int) -> DataFrame:
-    """``class, tokens``: in each bucket, the shingles that a class shares with another class whose size level may fit.
+def _joined(table: pa.Table, name: str, kind: str) -> np.ndarray:
+    """The values in a table's column of binaries, one after the other."""
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in table.column(name))])
+
+
+def _live_tokens(dealt: DataFrame, bucket_bits: int, num: int, den: int, tokens: bool = True) -> DataFrame:
+    """``group, classes, lengths, tokens``: in each bucket, the shingles that a class shares with another class whose size level may fit.
 
     A token is the shingle's rarity level (of its document frequency over classes) and then its key, so that
-    numeric order is rare-first. A shingle shared with classes of other sizes only can be in no link.
+    numeric order is rare-first. A shingle shared with classes of other sizes only can be in no link. A bucket deals its classes
+    to as many groups as there are buckets, one row for each, so that rows do not grow with classes times buckets.
     """
     rest_bits = min(48, KEY_BITS - bucket_bits)
     apart = math.floor(SIZES_PER_DOUBLING * math.log2(den / num)) + 1
 
     def run(table: pa.Table) -> pa.Table:
-        def joined(name: str, kind: str) -> np.ndarray:
-            return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
-
-        lengths = joined("lengths", "<u4").astype(np.int64)
-        key = joined("low", "<u4").astype(np.int64) | joined("high", "<u2").astype(np.int64) << 32
-        owner = np.repeat(joined("classes", "<i8"), lengths)
+        lengths = _joined(table, "lengths", "<u4").astype(np.int64)
+        key = _joined(table, "low", "<u4").astype(np.int64) | _joined(table, "high", "<u2").astype(np.int64) << 32
+        owner = np.repeat(_joined(table, "classes", "<i8"), lengths)
         size = (owner & ((1 << SIZE_BITS) - 1)).astype(np.int16)
         order = np.lexsort((owner, size, key))
         key, owner, size = key[order], owner[order], size[order]
@@ -238,12 +241,37 @@ def _live_tokens(dealt: DataFrame, bucket_bits: int, num: int, den: int) -> Data
         bucket = table.column("bucket")[0].as_py()
         token = (level << KEY_BITS | bucket << rest_bits | key)[live]
         owner = owner[live]
-        order = np.argsort(owner, kind="stable")
-        token, owner = token[order], owner[order]
-        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-        return pa.table({"class": owner[first], "tokens": list_array(token, np.concatenate([first, [len(token)]]))})
-
-    return dealt.groupBy("bucket").applyInArrow(run, "class long, tokens array<long>")
+        group = (owner >> SIZE_BITS) & ((1 << bucket_bits) - 1)
+        order = np.lexsort((owner, group))
+        token, owner, group = token[order], owner[order], group[order]
+        begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])[: len(owner)])
+        groups, first = np.unique(group[begin], return_index=True)
+        runs, ends = np.concatenate([first, [len(begin)]]), np.concatenate([begin, [len(token)]])
+        packed = {"group": pa.array(groups.astype(np.int32)), "classes": binary_array(owner[begin], runs * 8), "lengths": binary_array(np.diff(ends).astype("<u4"), runs * 4)}
+        return pa.table(packed | ({"tokens": binary_array(token, ends[runs] * 8)} if tokens else {}))
+
+    return dealt.groupBy("bucket").applyInArrow(run, "group int, classes binary, lengths binary" + ", tokens binary" * tokens)
+
+
+def _by_class(packed: DataFrame, classes: DataFrame, bucket_bits: int, tokens: bool = True) -> DataFrame:
+    """``class, n, live, tokens`` of classes that have live tokens: how many, and which, in order."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lengths = _joined(left, "lengths", "<u4").astype(np.int64)
+        found, at = np.unique(_joined(left, "classes", "<i8"), return_inverse=True)
+        live = np.bincount(at, lengths, len(found)).astype(np.int64)
+        known = right.column("class").to_numpy()
+        order = np.argsort(known)
+        columns = {"class": found, "n": right.column("n").to_numpy()[order[np.searchsorted(known, found, sorter=order)]], "live": live}
+        if tokens:
+            token = _joined(left, "tokens", "<i8")
+            order = np.lexsort((token, np.repeat(at, lengths)))
+            columns["tokens"] = list_array(token[order], np.concatenate([[0], np.cumsum(live)]))
+        return pa.table(columns)
+
+    group = F.shiftright("class", SIZE_BITS).bitwiseAND(F.lit((1 << bucket_bits) - 1)).cast("int")
+    sizes = classes.select("class", "n", group.alias("group"))
+    return packed.groupBy("group").cogroup(sizes.groupBy("group")).applyInArrow(run, "class long, n long, live long" + ", tokens array<long>" * tokens)
 
 
 def _need(n: str, num: int, den: int) -> Column:
@@ -253,9 +281,8 @@ def _need(n: str, num: int, den: int) -> Column:
 
 def _candidates(dealt: DataFrame, classes: DataFrame, bucket_bits: int, num: int, den: int) -> DataFrame:
     """``class, n, tokens, take`` of classes whose prefix holds a live token. Shingles without a partner come first in a prefix; ``take`` live ones follow."""
-    whole = _live_tokens(dealt, bucket_bits, num, den).groupBy("class").agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("tokens"))
-    prefix = F.col("n") - _need("n", num, den) + 1
-    return whole.join(classes, "class").withColumn("take", (prefix - (F.col("n") - F.size("tokens"))).cast("int")).where("take > 0")
+    whole = _by_class(_live_tokens(dealt, bucket_bits, num, den), classes, bucket_bits)
+    return whole.withColumn("take", (F.col("live") - _need("n", num, den) + 1).cast("int")).where("take > 0").select("class", "n", "tokens", "take")
 
 
 def _prefix_rows(sets: DataFrame) -> DataFrame:
