@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -35,16 +36,86 @@ def scaled(features: np.ndarray) -> np.ndarray:
     return (features - mean) / np.where(sd > 0, sd, 1)
 
 
-def matched_rows(v: np.ndarray, features: np.ndarray, k: int) -> np.ndarray:
-    """The smaller arm (carriers when equal) and every row of the other within some base row's k-th distance, ties included."""
+#: Rows of one leaf of the neighbour search, and distances that one step of a search holds at most.
+LEAF, STEP = 64, 1 << 20
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+
+
+def nearest_rows(features: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's ``count`` nearest rows, itself among them, by distance; and those distances. Exact: leaves are searched until none can be nearer."""
+    n = len(features)
+    count = min(count, n)
+    leaves, todo = [], [np.arange(n)]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= LEAF:
+            leaves.append(rows)
+            continue
+        part = features[rows]
+        order = rows[np.argsort(part[:, np.argmax(part.max(axis=0) - part.min(axis=0))], kind="stable")]
+        todo += [order[: len(order) // 2], order[len(order) // 2 :]]
+    low, high = (np.array([f(features[rows], axis=0) for rows in leaves]) for f in (np.min, np.max))
+    index, found = np.empty((n, count), np.int64), np.empty((n, count))
+    for i, rows in enumerate(leaves):
+        apart = np.sqrt((np.maximum(0, np.maximum(low - high[i], low[i] - high)) ** 2).sum(axis=1))
+        order = np.argsort(apart, kind="stable")
+        best = d = None
+        at, wide = 0, 8 + 2 * count // LEAF
+        while at < len(order) and (d is None or d.shape[1] < count or apart[order[at]] <= d.max() + TIE):
+            more = np.concatenate([leaves[j] for j in order[at : at + wide]])
+            d_more, more = distances(features[rows], features[more]), np.broadcast_to(more, (len(rows), len(more)))
+            d, best = (d_more, more) if d is None else (np.concatenate([d, d_more], axis=1), np.concatenate([best, more], axis=1))
+            if d.shape[1] > count:
+                pick = np.argpartition(d, count - 1, axis=1)[:, :count]
+                d, best = np.take_along_axis(d, pick, 1), np.take_along_axis(best, pick, 1)
+            at += wide
+        pick = np.argsort(d, axis=1, kind="stable")
+        found[rows], index[rows] = np.take_along_axis(d, pick, 1), np.take_along_axis(best, pick, 1)
+    return index, found
+
+
+@lru_cache(maxsize=1)
+def _nearest(data: bytes, columns: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    return nearest_rows(np.frombuffer(data).reshape(-1, columns), count)
+
+
+def neighbours(features: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lists long enough to settle nearly every base row, since the other arm has at least half of the rows. Variants with the same complete rows share a worker's."""
+    return _nearest(features.astype(float).tobytes(), features.shape[1], 8 * k + 8)
+
+
+def matched_rows(v: np.ndarray, features: np.ndarray, k: int, near: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The smaller arm (carriers when equal) and every row of the other within some base row's k-th distance, ties included.
+
+    ``near`` may give ``nearest_rows`` of the features, which do not depend on the arms: a base row whose list cannot settle
+    its k-th distance and all ties is compared with the whole other arm.
+    """
     one, zero = np.flatnonzero(v == 1), np.flatnonzero(v == 0)
     base, other = (one, zero) if len(one) <= len(zero) else (zero, one)
     if not len(base) or not len(other):
         return np.zeros(0, int)
-    d = np.sqrt(((features[base][:, None, :] - features[other][None, :, :]) ** 2).sum(axis=2))
     k = min(k, len(other))
-    kth = np.partition(d, k - 1, axis=1)[:, k - 1]
-    return np.sort(np.concatenate([base, other[(d <= kth[:, None] + TIE).any(axis=0)]]))
+    taken = np.zeros(len(v), bool)
+    rest = base
+    if near is not None:
+        is_other = np.zeros(len(v), bool)
+        is_other[other] = True
+        index, d = near[0][base], near[1][base]
+        hit = is_other[index]
+        upto = np.cumsum(hit, axis=1)
+        kth = np.take_along_axis(d, np.argmax(upto >= k, axis=1)[:, None], 1)[:, 0]
+        settled = (upto[:, -1] >= k) & ((kth + TIE < d[:, -1]) | (index.shape[1] == len(v)))
+        taken[index[hit & (d <= kth[:, None] + TIE) & settled[:, None]]] = True
+        rest = base[~settled]
+    step = max(1, STEP // len(other))
+    for at in range(0, len(rest), step):
+        d = distances(features[rest[at : at + step]], features[other])
+        kth = np.partition(d, k - 1, axis=1)[:, k - 1]
+        taken[other[(d <= kth[:, None] + TIE).any(axis=0)]] = True
+    return np.sort(np.concatenate([base, np.flatnonzero(taken)]))
 
 
 def largest_smd(v: np.ndarray, features: np.ndarray) -> float:
@@ -72,12 +143,21 @@ class ScanSettings:
     p_threshold: float = 0.05
 
 
-def permuted_betas(v, y, e, c, features, settings: ScanSettings, count: int, rng: np.random.Generator, stop_at: float | None = None, observed: float = 0.0) -> np.ndarray:
+#: Permutations of the heavy pass that one task does: each block has a generator of its own.
+BLOCK = 500
+
+
+def blocks(count: int) -> list[int]:
+    """Sizes of the blocks that ``count`` replicates are dealt to."""
+    return [min(BLOCK, count - at) for at in range(0, count, BLOCK)]
+
+
+def permuted_betas(v, y, e, c, features, near, settings: ScanSettings, count: int, rng: np.random.Generator, stop_at: float | None = None, observed: float = 0.0) -> np.ndarray:
     """Interaction coefficients after permuting the arm, matching and fitting anew; stops early where significance is out of reach."""
     out = []
     for i in range(count):
         w = rng.permutation(v)
-        rows = matched_rows(w, features, settings.match_k)
+        rows = matched_rows(w, features, settings.match_k, near)
         if len(rows) >= settings.min_sample:
             beta = interaction_beta(w[rows], y[rows], e[rows], c[rows])
             if beta is not None:
@@ -87,44 +167,66 @@ def permuted_betas(v, y, e, c, features, settings: ScanSettings, count: int, rng
     return np.array(out)
 
 
-def interaction_scan(v: np.ndarray, y: np.ndarray, e: np.ndarray, c: np.ndarray, settings: ScanSettings, seed: int) -> dict:
-    """One variant's gated interaction test. A gate that fails gives p = 1 and its name; the order of gates matters."""
+def gated(v: np.ndarray, y: np.ndarray, e: np.ndarray, c: np.ndarray, settings: ScanSettings) -> tuple[dict, tuple | None]:
+    """The gates' row and, where all pass, the complete rows ``v, y, e, c, features, near``. A gate that fails gives p = 1 and its name; the order of gates matters."""
     known = ~(np.isnan(v) | np.isnan(y) | np.isnan(e).any(axis=1) | np.isnan(c).any(axis=1))
     empty = {"obs_coef": None, "mean_coef": None, "sd_coef": None, "empirical_p": 1.0, "iterations": 0, "max_smd": None, "n_matched": 0}
     counts = {"n_carrier": int((v == 1).sum()), "n_noncarrier": int((v == 0).sum())}
     if min(counts.values()) < settings.min_treated:
-        return empty | counts | {"gate": "too few in an arm"}
+        return empty | counts | {"gate": "too few in an arm"}, None
     v, y, e, c = v[known], y[known], e[known], c[known]
     if len(v) < settings.min_sample:
-        return empty | counts | {"gate": "too few rows"}
+        return empty | counts | {"gate": "too few rows"}, None
     features = scaled(np.column_stack([e, c]))
-    rows = matched_rows(v, features, settings.match_k)
+    near = neighbours(features, settings.match_k)
+    rows = matched_rows(v, features, settings.match_k, near)
     if len(rows) < settings.min_sample:
-        return empty | counts | {"gate": "too few matched"}
+        return empty | counts | {"gate": "too few matched"}, None
     smd = largest_smd(v[rows], features[rows])
     counts |= {"max_smd": smd, "n_matched": len(rows)}
     if smd > settings.max_smd:
-        return empty | counts | {"gate": "not balanced"}
+        return empty | counts | {"gate": "not balanced"}, None
     observed = interaction_beta(v[rows], y[rows], e[rows], c[rows])
     if observed is None:
-        return empty | counts | {"gate": "no fit"}
+        return empty | counts | {"gate": "no fit"}, None
     if abs(observed) < settings.min_obs_coef:
-        return empty | counts | {"obs_coef": observed, "gate": "small effect"}
-    rng = np.random.default_rng(seed)
-    betas = permuted_betas(v, y, e, c, features, settings, settings.n_perm, rng, settings.futility_p, observed)
-    if not len(betas):
-        return empty | counts | {"obs_coef": observed, "gate": "no permutation"}
-    p = float(np.mean(np.abs(betas) >= abs(observed)))
-    if p <= settings.p_threshold and settings.n_perm_high > settings.n_perm:
-        betas = np.concatenate([betas, permuted_betas(v, y, e, c, features, settings, settings.n_perm_high - settings.n_perm, rng)])
-        p = float(np.mean(np.abs(betas) >= abs(observed)))
-    return empty | counts | {"obs_coef": observed, "mean_coef": float(betas.mean()), "sd_coef": float(betas.std()), "empirical_p": p, "iterations": len(betas), "gate": "tested"}
+        return empty | counts | {"obs_coef": observed, "gate": "small effect"}, None
+    return empty | counts | {"obs_coef": observed, "gate": "tested"}, (v, y, e, c, features, near)
+
+
+def light_scan(v: np.ndarray, y: np.ndarray, e: np.ndarray, c: np.ndarray, settings: ScanSettings, seed: int) -> tuple[dict, np.ndarray]:
+    """One variant's gated interaction test with the light permutations alone, and their coefficients."""
+    found, rows = gated(v, y, e, c, settings)
+    if rows is None:
+        return found, np.zeros(0)
+    betas = permuted_betas(*rows, settings, settings.n_perm, np.random.default_rng(seed), settings.futility_p, found["obs_coef"])
+    return (found | summary(found["obs_coef"], betas), betas) if len(betas) else (found | {"gate": "no permutation"}, betas)
+
+
+def heavy_block(v: np.ndarray, y: np.ndarray, e: np.ndarray, c: np.ndarray, settings: ScanSettings, seed: int, block: int) -> np.ndarray:
+    """Coefficients of one block of the permutations that follow the light ones."""
+    rows = gated(v, y, e, c, settings)[1]
+    if rows is None:
+        return np.zeros(0)
+    return permuted_betas(*rows, settings, blocks(settings.n_perm_high - settings.n_perm)[block], np.random.default_rng([seed, block]))
+
+
+def summary(observed: float, betas: np.ndarray) -> dict:
+    return {"mean_coef": float(betas.mean()), "sd_coef": float(betas.std()), "empirical_p": float(np.mean(np.abs(betas) >= abs(observed))), "iterations": len(betas)}
+
+
+def interaction_scan(v: np.ndarray, y: np.ndarray, e: np.ndarray, c: np.ndarray, settings: ScanSettings, seed: int) -> dict:
+    """One variant's gated interaction test: light permutations, and the heavy ones where it stays significant."""
+    found, betas = light_scan(v, y, e, c, settings, seed)
+    if found["gate"] != "tested" or found["empirical_p"] > settings.p_threshold or settings.n_perm_high <= settings.n_perm:
+        return found
+    heavy = [heavy_block(v, y, e, c, settings, seed, i) for i in range(len(blocks(settings.n_perm_high - settings.n_perm)))]
+    return found | summary(found["obs_coef"], np.concatenate([betas, *heavy]))
 
 
 def median_difference_ci(x: np.ndarray, y: np.ndarray, reps: int, alpha: float, rng: np.random.Generator) -> tuple[float, float]:
     """Percentile bootstrap interval of the difference of medians."""
-    a = np.median(rng.choice(x, (reps, len(x))), axis=1)
-    b = np.median(rng.choice(y, (reps, len(y))), axis=1)
+    a, b = (np.concatenate([np.median(rng.choice(z, (min(step, reps - at), len(z))), axis=1) for at in range(0, reps, step)]) for z in (x, y) for step in [max(1, STEP // len(z))])
     low, high = np.percentile(a - b, [100 * alpha / 2, 100 * (1 - alpha / 2)])
     return float(low), float(high)
 
@@ -205,8 +307,8 @@ def breusch_pagan(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, fl
     return float(n * r2), D.chi2_sf(n * r2, k), float(f), D.f_sf(f, k, n - k - 1)
 
 
-def freedman_lane(v, y, e, c, count: int, rng: np.random.Generator) -> tuple[float, float, int] | None:
-    """Interaction coefficient and p, by permuting the residuals of the model without the interaction."""
+def freedman_lane_hits(v, y, e, c, count: int, rng: np.random.Generator) -> tuple[float, int] | None:
+    """Interaction coefficient, and how many of ``count`` permutations of the residuals of the model without the interaction reach it."""
     full = design(v, e[:, None], c)
     reduced = np.delete(full, 3, axis=1)
     if len(y) <= full.shape[1]:
@@ -216,12 +318,18 @@ def freedman_lane(v, y, e, c, count: int, rng: np.random.Generator) -> tuple[flo
     fitted = reduced @ np.linalg.lstsq(reduced, y, rcond=None)[0]
     resid = y - fitted
     some = np.array([inverse[3] @ (fitted + rng.permutation(resid)) for _ in range(count)])
-    return observed, float((1 + (np.abs(some) >= abs(observed)).sum()) / (count + 1)), count
+    return observed, int((np.abs(some) >= abs(observed)).sum())
+
+
+def freedman_lane(v, y, e, c, count: int, rng: np.random.Generator) -> tuple[float, float, int] | None:
+    """Interaction coefficient and p, by permuting the residuals of the model without the interaction."""
+    found = freedman_lane_hits(v, y, e, c, count, rng)
+    return None if found is None else (found[0], (1 + found[1]) / (count + 1), count)
 
 
-def levene_stat(groups: list[np.ndarray]) -> float | None:
+def levene_stat(groups: list[np.ndarray], middle=np.median) -> float | None:
     """Brown-Forsythe statistic over groups of at least two."""
-    spread = [np.abs(g - np.median(g)) for g in groups if len(g) >= 2]
+    spread = [np.abs(g - middle(g)) for g in groups if len(g) >= 2]
     n = sum(map(len, spread))
     if len(spread) < 2:
         return None
@@ -230,16 +338,26 @@ def levene_stat(groups: list[np.ndarray]) -> float | None:
     return None if within <= 0 else float((n - len(spread)) / (len(spread) - 1) * sum(len(s) * (s.mean() - grand) ** 2 for s in spread) / within)
 
 
-def levene_permutation(v: np.ndarray, y: np.ndarray, count: int, rng: np.random.Generator) -> tuple[float, float] | None:
+def levene_hits(v: np.ndarray, y: np.ndarray, count: int, rng: np.random.Generator) -> tuple[float, int] | None:
+    """Brown-Forsythe statistic of the dosages' groups, and how many of ``count`` permutations reach it."""
+    order = np.argsort(y, kind="stable")
+    y, labels = y[order], np.round(v)[order]
+    levels = np.unique(labels)
+
     def stat(labels: np.ndarray) -> float | None:
-        return levene_stat([y[labels == g] for g in np.unique(labels)])
+        # Groups of sorted values are sorted.
+        return levene_stat([y[labels == g] for g in levels], lambda g: (g[(len(g) - 1) // 2] + g[len(g) // 2]) / 2)
 
-    labels = np.round(v)
     observed = stat(labels)
     if observed is None:
         return None
     some = [stat(rng.permutation(labels)) for _ in range(count)]
-    return observed, (1 + sum(s is not None and s >= observed for s in some)) / (count + 1)
+    return observed, sum(s is not None and s >= observed for s in some)
+
+
+def levene_permutation(v: np.ndarray, y: np.ndarray, count: int, rng: np.random.Generator) -> tuple[float, float] | None:
+    found = levene_hits(v, y, count, rng)
+    return None if found is None else (found[0], (1 + found[1]) / (count + 1))
 
 
 def quantile_fit(x: np.ndarray, y: np.ndarray, tau: float, rounds: int = 100, tolerance: float = 1e-3) -> np.ndarray | None:

@@ -46,59 +46,97 @@ class Covariates:
         return np.column_stack([self.values[c] for c in names]) if names else np.zeros((len(self.place), 0))
 
 
-def per_variant(geno: DataFrame, covariates: Covariates, kernel: Callable[[str, np.ndarray, Covariates], list[dict]], schema: str, absent: float = np.nan) -> DataFrame:
+def per_variant(geno: DataFrame, covariates: Covariates, kernel: Callable[..., list[dict]], schema: str, absent: float = np.nan, parts: DataFrame | None = None) -> DataFrame:
     """Rows that ``kernel(label, dosages, covariates)`` gives for each variant; samples without a cell have ``absent``.
 
+    ``parts`` (``variant`` and more columns, which the kernel gets by name) deals a variant's work to many tasks.
+
     A kernel's failure becomes a row with status ``failed`` and the message, when the schema has those columns.
     """
     shared = geno.sparkSession.sparkContext.broadcast(covariates)
     known = geno.where(F.col("dosage").isNotNull())
     arrays = known.groupBy(F.col("variant").cast("string").alias("variant")).agg(F.collect_list("sample_id").alias("s"), F.collect_list(F.col("dosage").cast("double")).alias("d"))
+    extra = [c for c in parts.columns if c != "variant"] if parts is not None else []
+    if parts is not None:
+        arrays = arrays.join(parts, "variant")
+    # Few short rows that take long: a fixed number of tasks keeps adaptive execution from merging them.
+    arrays = arrays.repartition(max(int(geno.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * geno.sparkSession.sparkContext.defaultParallelism), "variant", *extra)
     names = [x.strip().split()[0] for x in schema.split(",")]
     target = F.lit(None).cast(f"struct<{', '.join(f'{x.strip().split()[0]}:{x.strip().split()[1]}' for x in schema.split(','))}>")
-    kind = pa.schema([(f.name, {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[f.dataType.simpleString()]) for f in geno.sparkSession.range(1).select(target.alias("r")).schema["r"].dataType])
+    kind = pa.schema([(f.name, {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}[f.dataType.simpleString()]) for f in geno.sparkSession.range(1).select(target.alias("r")).schema["r"].dataType])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cov = shared.value
         for batch in batches:
-            for label, ids, values in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for i in range(batch.num_rows):
+                label, ids, values, *rest = (column[i].as_py() for column in batch.columns)
+                part = dict(zip(extra, rest, strict=True))
                 dosages = np.full(len(cov.place), absent)
                 for s, d in zip(ids, values, strict=True):
                     at = cov.place.get(s)
                     if at is not None:
                         dosages[at] = d
                 try:
-                    rows = kernel(label, dosages, cov)
+                    rows = kernel(label, dosages, cov, **part)
                 except (ValueError, ArithmeticError, np.linalg.LinAlgError) as error:
                     if "status" not in names:
                         raise
                     rows = [{"status": "failed", "error_message": str(error)}]
                 if rows:
-                    yield pa.RecordBatch.from_pylist([{n: (label if n == "variant" else r.get(n)) for n in names} for r in rows], schema=kind)
+                    yield pa.RecordBatch.from_pylist([{n: (label if n == "variant" else part[n] if n in part else r.get(n)) for n in names} for r in rows], schema=kind)
 
-    return arrays.select("variant", "s", "d").mapInArrow(run, schema)
+    return arrays.select("variant", "s", "d", *extra).mapInArrow(run, schema)
 
 
 RESULT = "variant string, exposure string, status string, error_message string, gate string, n_carrier bigint, n_noncarrier bigint, n_matched bigint, max_smd double, obs_coef double, mean_coef double, sd_coef double, empirical_p double, iterations bigint"
 
 
+def _carriers(v: np.ndarray) -> np.ndarray:
+    return np.where(np.isnan(v), np.nan, v > 0)
+
+
 def interaction_model(geno: DataFrame, cov: Covariates, y: str, exposures: list[str], covariates: list[str], settings: K.ScanSettings, base_seed: int = 42, absent: float = 0.0) -> DataFrame:
     """Matched permutation test of every variant with each exposure."""
     def kernel(label: str, v: np.ndarray, c: Covariates) -> list[dict]:
-        return [K.interaction_scan((v > 0).astype(float) if not np.isnan(v).any() else np.where(np.isnan(v), np.nan, v > 0), c.values[y], c.stack([e]), c.stack(covariates), settings, label_seed(label, base_seed)) | {"exposure": e, "status": "done"} for e in exposures]
+        return [K.interaction_scan(_carriers(v), c.values[y], c.stack([e]), c.stack(covariates), settings, label_seed(label, base_seed)) | {"exposure": e, "status": "done"} for e in exposures]
 
     return per_variant(geno, cov, kernel, RESULT, absent)
 
 
 def two_phase_model(geno: DataFrame, cov: Covariates, y: str, exposures: list[str], covariates: list[str], settings: K.ScanSettings, base_seed: int = 42, absent: float = 0.0) -> DataFrame:
-    """A light pass over all variants, then many permutations for those that stay significant: heavy variants spread over tasks anew."""
-    from dataclasses import replace
+    """As ``interaction_model``: a light pass over all variants, then the heavy permutations of those that stay significant, dealt to tasks by (variant, exposure, block)."""
+    def light_kernel(label: str, v: np.ndarray, c: Covariates) -> list[dict]:
+        out = []
+        for e in exposures:
+            found, betas = K.light_scan(_carriers(v), c.values[y], c.stack([e]), c.stack(covariates), settings, label_seed(label, base_seed))
+            out.append(found | {"exposure": e, "status": "done", "betas": betas.tolist()})
+        return out
 
-    light = interaction_model(geno, cov, y, exposures, covariates, replace(settings, n_perm_high=settings.n_perm), base_seed, absent)
-    again = light.where((F.col("gate") == "tested") & (F.col("empirical_p") <= settings.p_threshold)).select("variant").distinct()
-    heavy = geno.withColumn("variant", F.col("variant").cast("string")).join(again, "variant", "left_semi").repartition("variant")
-    full = interaction_model(heavy, cov, y, exposures, covariates, settings, base_seed, absent)
-    return light.join(full, ["variant", "exposure"], "left_anti").unionByName(full)
+    def heavy_kernel(label: str, v: np.ndarray, c: Covariates, exposure: str, block: int) -> list[dict]:
+        return [{"status": "done", "betas": K.heavy_block(_carriers(v), c.values[y], c.stack([exposure]), c.stack(covariates), settings, label_seed(label, base_seed), block).tolist()}]
+
+    light = per_variant(geno, cov, light_kernel, f"{RESULT}, betas array<double>", absent).cache()
+    count = len(K.blocks(settings.n_perm_high - settings.n_perm))
+    if not count:
+        return light.drop("betas")
+    again = light.where((F.col("gate") == "tested") & (F.col("empirical_p") <= settings.p_threshold)).select("variant", "exposure")
+    parts = again.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    chosen = geno.withColumn("variant", F.col("variant").cast("string")).join(again.select("variant").distinct(), "variant", "left_semi")
+    heavy = per_variant(chosen, cov, heavy_kernel, "variant string, exposure string, block int, status string, error_message string, betas array<double>", absent, parts)
+    heavy = heavy.groupBy("variant", "exposure").agg(F.array_sort(F.collect_list(F.struct("block", "betas"))).alias("more"), F.max("error_message").alias("failure"))
+    rows = light.join(heavy, ["variant", "exposure"], "left")
+    betas = F.concat("betas", F.flatten(F.transform("more", lambda x: F.coalesce(x["betas"], F.array().cast("array<double>")))))
+    n = F.size("all").cast("double")
+    full = {
+        "iterations": F.size("all").cast("long"),
+        "empirical_p": F.size(F.filter("all", lambda x: F.abs(x) >= F.abs(F.col("obs_coef")))) / n,
+        "mean_coef": F.col("mean"),
+        "sd_coef": F.sqrt(F.aggregate("all", F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean"))) / n),
+    }
+    rows = rows.withColumn("all", betas).withColumn("mean", F.aggregate("all", F.lit(0.0), lambda s, x: s + x) / n)
+    rows = rows.withColumns({c: F.when(F.col("failure").isNotNull(), None).when(F.col("more").isNotNull(), x).otherwise(F.col(c)) for c, x in full.items()})
+    rows = rows.withColumns({"status": F.when(F.col("failure").isNotNull(), "failed").otherwise(F.col("status")), "error_message": F.coalesce("failure", "error_message")})
+    return rows.select(*[x.strip().split()[0] for x in RESULT.split(",")])
 
 
 def onset_intervals(geno: DataFrame, cov: Covariates, y: str, reps: int = 2000, alpha: float = 0.05, least: int = 5, seed: int = 42, absent: float = 0.0) -> DataFrame:
@@ -175,24 +213,35 @@ def rge_and_spread(geno: DataFrame, cov: Covariates, y: str, exposures: list[str
     return per_variant(geno, cov, kernel, "variant string, exposure string, n bigint, rge_beta double, rge_p double, rge_flag boolean, het_lm double, het_p double, het_f double, het_f_p double, het_flag boolean", absent)
 
 
-def permutation_checks(geno: DataFrame, cov: Covariates, y: str, exposures: list[str], covariates: list[str], count: int = 500, base_seed: int = 42, absent: float = 0.0) -> DataFrame:
-    """Freedman-Lane p of each interaction, and the permuted Brown-Forsythe p of each variant."""
-    def kernel(label: str, v: np.ndarray, c: Covariates) -> list[dict]:
+def permutation_checks(geno: DataFrame, cov: Covariates, y: str, exposures: list[str], covariates: list[str], count: int = 10_000, base_seed: int = 42, absent: float = 0.0) -> DataFrame:
+    """Freedman-Lane p of each interaction, and the permuted Brown-Forsythe p of each variant. Replicates are dealt to tasks by (variant, block)."""
+    sizes = K.blocks(count)
+
+    def kernel(label: str, v: np.ndarray, c: Covariates, block: int) -> list[dict]:
         out = []
         outcome = c.values[y]
         some = ~(np.isnan(v) | np.isnan(outcome))
-        spread = K.levene_permutation(v[some], outcome[some], count, np.random.default_rng(label_seed(label, base_seed)))
+        spread = K.levene_hits(v[some], outcome[some], sizes[block], np.random.default_rng([label_seed(label, base_seed), block]))
         for e in exposures:
             x, cs = c.values[e], c.stack(covariates)
             known = some & ~(np.isnan(x) | np.isnan(cs).any(axis=1))
-            lane = K.freedman_lane(v[known], outcome[known], x[known], cs[known], count, np.random.default_rng(label_seed(f"{label}|{e}", base_seed))) if known.sum() >= 20 and len(np.unique(v[known])) >= 2 else None
-            row: dict = {"exposure": e}
-            row |= {"beta_i_observed": lane[0], "empirical_pval": lane[1], "n_perm_valid": lane[2]} if lane else {}
-            row |= {"levene_stat": spread[0], "levene_p": spread[1]} if spread else {}
+            lane = K.freedman_lane_hits(v[known], outcome[known], x[known], cs[known], sizes[block], np.random.default_rng([label_seed(f"{label}|{e}", base_seed), block])) if known.sum() >= 20 and len(np.unique(v[known])) >= 2 else None
+            row: dict = {"exposure": e, "n": sizes[block]}
+            row |= {"beta_i_observed": lane[0], "lane_hits": lane[1]} if lane else {}
+            row |= {"levene_stat": spread[0], "levene_hits": spread[1]} if spread else {}
             out.append(row)
         return out
 
-    return per_variant(geno, cov, kernel, "variant string, exposure string, beta_i_observed double, empirical_pval double, n_perm_valid bigint, levene_stat double, levene_p double", absent)
+    parts = geno.select(F.col("variant").cast("string").alias("variant")).distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(len(sizes) - 1))))
+    found = per_variant(geno, cov, kernel, "variant string, exposure string, block int, n bigint, beta_i_observed double, lane_hits bigint, levene_stat double, levene_hits bigint", absent, parts)
+
+    def p(hits: str):
+        return (1 + F.sum(hits)) / (1 + F.sum(F.when(F.col(hits).isNotNull(), F.col("n"))))
+
+    return found.groupBy("variant", "exposure").agg(
+        F.min_by("beta_i_observed", "block").alias("beta_i_observed"), p("lane_hits").alias("empirical_pval"), F.sum(F.when(F.col("lane_hits").isNotNull(), F.col("n"))).alias("n_perm_valid"),
+        F.min_by("levene_stat", "block").alias("levene_stat"), p("levene_hits").alias("levene_p"),
+    )
 
 
 def with_p_values(rows: DataFrame, chi2: str, out: str = "p_gc") -> DataFrame:

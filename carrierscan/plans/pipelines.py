@@ -63,7 +63,7 @@ def run_variance(geno: DataFrame, samples: DataFrame, config: StudyConfig, covar
         "interaction": tests.withColumn("is_significant", F.coalesce(F.col("pval") < config.alpha, F.lit(False))),
         "rge": scans.rge_and_spread(chosen, cov, config.target, exposures, covariates, config.alpha, absent),
         "robustness": scans.interaction_tests(loci, cov, config.target, exposures, covariates, scans.TRANSFORMS, absent),
-        "permutation": scans.permutation_checks(loci, cov, config.target, exposures, covariates, config.n_perm, config.seed, absent),
+        "permutation": scans.permutation_checks(loci, cov, config.target, exposures, covariates, config.n_perm_high, config.seed, absent),
     }
 
 

@@ -707,7 +707,7 @@ def _covariates(spark: SparkSession, sf_dir: str) -> scans.Covariates:
 @query()
 def interaction_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1 to M8: matched permutation test of every variant. Samples without a cell carry dosage 0."""
-    config = StudyConfig(n_perm=20, n_perm_high=40, check_every=10, min_obs_coef=0.1)
+    config = StudyConfig(min_obs_coef=0.1)
     found = scans.two_phase_model(study.carried(spark, sf_dir), _covariates(spark, sf_dir), "y", ["e"], ["n_orders"], pipelines.settings_of(config), absent=0.0)
     return statistics.benjamini_hochberg(found, "empirical_p", ["exposure"])
 
@@ -715,7 +715,7 @@ def interaction_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def onset_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank-sum p and bootstrap interval."""
-    return scans.onset_intervals(study.carried(spark, sf_dir), _covariates(spark, sf_dir), "y", 200)
+    return scans.onset_intervals(study.carried(spark, sf_dir), _covariates(spark, sf_dir), "y", StudyConfig().n_boot)
 
 
 @query()
@@ -733,14 +733,14 @@ def rge_heteroscedasticity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def permutation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Freedman-Lane and Brown-Forsythe permutations."""
-    return scans.permutation_checks(study.carried(spark, sf_dir), _covariates(spark, sf_dir), "y", ["e"], ["n_orders"], 50, absent=0.0)
+    return scans.permutation_checks(study.carried(spark, sf_dir), _covariates(spark, sf_dir), "y", ["e"], ["n_orders"], StudyConfig().n_perm_high, absent=0.0)
 
 
 @query()
 def variance_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variance scan with genomic control and candidates."""
     carriers = study.carried(spark, sf_dir).withColumn("dosage", X.carrier(F.col("dosage")))
-    found = scans.variance_scan(carriers, _covariates(spark, sf_dir), "residual", 30, absent=0.0)
+    found = scans.variance_scan(carriers, _covariates(spark, sf_dir), "residual", StudyConfig().scan_reps, absent=0.0)
     return pipelines.variance_candidates(found, StudyConfig(candidate_top=5))
 
 

@@ -108,3 +108,61 @@ def test_transforms():
     y = np.array([1.0, 2, 2, 50, math.nan])
     assert np.isnan(scans.transformed(y, "rint")[4]) and scans.transformed(y, "rint")[1] == scans.transformed(y, "rint")[2]
     assert scans.transformed(y, "log")[0] == pytest.approx(math.log(2))
+
+
+def brute_matches(v, features, k):
+    """All distances at once."""
+    one, zero = np.flatnonzero(v == 1), np.flatnonzero(v == 0)
+    base, other = (one, zero) if len(one) <= len(zero) else (zero, one)
+    d = np.sqrt(((features[base][:, None, :] - features[other][None, :, :]) ** 2).sum(axis=2))
+    kth = np.sort(d, axis=1)[:, k - 1]
+    return np.sort(np.concatenate([base, other[(d <= kth[:, None] + K.TIE).any(axis=0)]])).tolist()
+
+
+def test_neighbour_lists_give_the_matches_of_all_distances():
+    r = np.random.default_rng(3)
+    for n, features in ((700, r.normal(size=(700, 2))), (700, r.integers(0, 4, (700, 2)).astype(float)), (20, r.normal(size=(20, 3))), (500, np.column_stack([r.normal(size=500), r.integers(0, 3, 500)]))):
+        near = K.neighbours(features, 3)
+        for share in (0.05, 0.5, 0.9):
+            v = np.zeros(n)
+            v[r.permutation(n)[: int(n * share)]] = 1
+            want = brute_matches(v, features, 3)
+            assert K.matched_rows(v, features, 3, near).tolist() == want == K.matched_rows(v, features, 3).tolist()
+
+
+def test_registered_queries_do_the_settings_own_counts(spark, monkeypatch):
+    from carrierscan.config import StudyConfig
+    from carrierscan.plans import queries
+
+    seen = {}
+    for name in ("two_phase_model", "onset_intervals", "permutation_checks", "variance_scan"):
+        monkeypatch.setattr(scans, name, lambda *args, name=name, **_: seen.update({name: args}))
+    monkeypatch.setattr(queries.statistics, "benjamini_hochberg", lambda *_: None)
+    monkeypatch.setattr(queries.pipelines, "variance_candidates", lambda *_: None)
+    monkeypatch.setattr(queries, "_covariates", lambda *_: None)
+    for name in ("interaction_permutation", "onset_bootstrap", "permutation_checks", "variance_scan"):
+        queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    config = StudyConfig()
+    settings = seen["two_phase_model"][5]
+    assert (settings.n_perm, settings.n_perm_high, settings.check_every) == (config.n_perm, config.n_perm_high, config.check_every)
+    assert seen["onset_intervals"][3] == config.n_boot
+    assert seen["permutation_checks"][5] == config.n_perm_high
+    assert seen["variance_scan"][3] == config.scan_reps
+
+
+def test_blocks_over_tasks_give_one_tasks_result(spark):
+    v, e, c, y, _ = study(300)
+    samples = spark.createDataFrame([(i, float(y[i]), float(e[i]), float(c[i, 0])) for i in range(len(v))], "sample_id long, y double, e double, c double")
+    geno = spark.createDataFrame([("1_1_A_G", i, int(v[i])) for i in range(len(v)) if v[i]] + [("1_2_A_G", i, 1) for i in range(0, 300, 2)], "variant string, sample_id long, dosage int")
+    cov = scans.Covariates(samples, ["y", "e", "c"])
+    s = K.ScanSettings(n_perm=60, n_perm_high=1260, check_every=30, max_smd=1.0, min_obs_coef=0.0)
+    one = {r["variant"]: r for r in scans.interaction_model(geno, cov, "y", ["e"], ["c"], s).collect()}
+    spread = {r["variant"]: r for r in scans.two_phase_model(geno, cov, "y", ["e"], ["c"], s).collect()}
+    assert set(one) == set(spread) == {"1_1_A_G", "1_2_A_G"} and one["1_1_A_G"]["iterations"] == 1260
+    for variant, row in one.items():
+        got, want = spread[variant].asDict(), row.asDict()
+        assert {k: got[k] for k in got if not isinstance(got[k], float)} == {k: want[k] for k in want if not isinstance(want[k], float)}
+        assert [got[k] for k in got if isinstance(got[k], float)] == pytest.approx([want[k] for k in got if isinstance(got[k], float)])
+    checks = {r["variant"]: r for r in scans.permutation_checks(geno, cov, "y", ["e"], ["c"], 1100, absent=0.0).collect()}
+    assert checks["1_1_A_G"]["n_perm_valid"] == 1100 and checks["1_1_A_G"]["empirical_pval"] == pytest.approx(1 / 1101)
+    assert checks["1_2_A_G"]["levene_p"] > 0.001
