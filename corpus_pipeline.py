@@ -26,9 +26,15 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links of five-word shingles at 0.8 join, the one with the smallest id stays."""
-    found = jaccard.jaccard_components(docs, words=5, num=80, den=100)
-    return docs.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of documents that links of five-word shingles at 0.8 join, one row stays: that with the smallest id, null ids last, and any one of those that repeat it.
+
+    Rows are told apart by an own number, so that null and repeated ids count as documents like all others. A document without shingles is a group of its own.
+    """
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = jaccard.jaccard_components(rows, words=5, num=80, den=100, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")).alias("first")
+    kept = rows.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(first).select(F.col("first._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

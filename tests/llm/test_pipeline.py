@@ -43,3 +43,20 @@ def test_mix_and_pack_carry_every_copy(stages):
     words = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in stages["near_duplicates"].select("text").collect())
     taken = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in stages["mixing"].select("text").collect())
     assert abs(taken - 1.5 * words) < 0.05 * words
+
+
+def test_null_and_repeated_ids_are_documents_like_others(spark):
+    def text(name, last=""):
+        return " ".join(f"{name}{i}" for i in range(60)) + last
+
+    rows = [
+        (None, text("alone"), "clean without a copy"),
+        (None, text("none"), "group of null ids"), (None, text("none", " x"), "group of null ids"), (None, text("none"), "group of null ids"),
+        (7, text("same"), "copies of one id"), (7, text("same"), "copies of one id"), (7, text("same", " y"), "copies of one id"),
+        (9, text("mixed"), "null beside an id"), (None, text("mixed"), "null beside an id"), (8, text("mixed", " z"), "null beside an id"),
+        (7, text("other"), "another text of a repeated id"), (11, text("last"), "plain"),
+    ]
+    left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, kind string"), SF)
+    assert left.columns == ["doc_id", "text", "kind"]
+    got = sorted((r["kind"], r["doc_id"]) for r in left.collect())
+    assert got == [("another text of a repeated id", 7), ("clean without a copy", None), ("copies of one id", 7), ("group of null ids", None), ("null beside an id", 8), ("plain", 11)]
