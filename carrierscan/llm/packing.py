@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from carrierscan.llm.common import binary_array, materialize, salt, spread, text_slices
 
 CAPACITY = 1024
+#: Characters of one run of white space from which the tokenizer itself takes a text: the faster encoder overflows its stack on runs of about a million.
+LONG_BLANK = 100_000
 EOS = 2
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -39,14 +42,27 @@ def text_ids(path: str, ranks: str | None = None, pattern: str = "") -> Callable
     """Token ids (little-endian unsigned 32-bit) of whole texts, as the tokenizer file at ``path`` gives them.
 
     ``ranks`` may name the same vocabulary as merge ranks, with the ``pattern`` that splits texts: the ids are equal and come
-    several times faster. Texts that hold a special token's string go to the tokenizer itself.
+    several times faster. Texts that hold a special token's string or a long run of white space, and those that the faster encoder
+    fails on, go to the tokenizer itself.
     """
     tokenizer, special, fast = _encoders(path, ranks, pattern)
 
+    def quick(text: str) -> list[int] | None:
+        if fast is None or any(x in text for x in special):
+            return None
+        if len(text) >= LONG_BLANK and any(m.end() - m.start() >= LONG_BLANK for m in re.finditer(r"\s+", text)):
+            return None
+        try:
+            return fast.encode_ordinary(text)
+        except (KeyboardInterrupt, SystemExit):
+            raise
+        except BaseException:  # A panic of the encoder is no Exception.
+            return None
+
     def encode(texts: list[str]) -> list[bytes]:
-        plain = [fast is not None and not any(x in t for x in special) for t in texts]
-        rest = iter(tokenizer.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-        return [np.array(fast.encode_ordinary(t) if p else next(rest).ids, "<u4").tobytes() for t, p in zip(texts, plain, strict=True)]
+        found = [quick(t) for t in texts]
+        rest = iter(tokenizer.encode_batch_fast([t for t, ids in zip(texts, found, strict=True) if ids is None], add_special_tokens=False))
+        return [np.array(next(rest).ids if ids is None else ids, "<u4").tobytes() for ids in found]
 
     return encode
 

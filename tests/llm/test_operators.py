@@ -233,6 +233,29 @@ def test_both_encoders_agree():
             assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == tok.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_long_blank_runs_and_failures_of_the_fast_encoder_give_the_tokenizers_ids(monkeypatch):
+    from tokenizers import Tokenizer
+
+    names = queries.tokenizer()
+    tok = Tokenizer.from_file(names["tokenizer_path"])
+    encode = packing.text_ids(names["tokenizer_path"], names["ranks"], names["pattern"])
+    texts = ["a" + " " * 1_200_000 + "b", "short text", "\n" * 1_200_000, ("word " * 30_000) + " " * 99_999 + "end"]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [list(struct.unpack(f"<{len(ids) // 4}I", ids)) for ids in encode(texts)] == want
+
+    class Panic(BaseException):
+        pass
+
+    class Failing:
+        def encode_ordinary(self, text):
+            raise Panic
+
+    tokenizer, special, _ = packing._encoders(names["tokenizer_path"], names["ranks"], names["pattern"])
+    monkeypatch.setattr(packing, "_encoders", lambda *_: (tokenizer, special, Failing()))
+    encode = packing.text_ids(names["tokenizer_path"], names["ranks"], names["pattern"])
+    assert list(struct.unpack(f"<{len(want[1])}I", encode(texts[1:2])[0])) == want[1]
+
+
 # language
 
 
