@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +52,7 @@ def salt(column: Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each slice holds about ``most`` bytes of ``column``, and one row at least."""
     for batch in batches:
         if not batch.num_rows:
@@ -68,6 +68,25 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
     release()
 
 
+def with_text_columns(docs: DataFrame, score: Callable[[list[str | None]], list[pa.Array]], added: dict[str, str], keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` (columns ``keep``, all by default) with the ``added`` columns (names and types), which ``score`` gives for whole texts.
+
+    Texts go to the workers once, also where ``keep`` holds them. Columns named like an added one, in upper or lower case, are replaced.
+    """
+    wanted = {c.lower() for c in keep or docs.columns}
+    kept = [f for f in docs.schema if f.name.lower() in wanted and f.name.lower() not in added]
+    text = next((i for i, f in enumerate(kept) if f.name.lower() == text_col.lower()), None)
+    columns = [F.col(f"`{f.name}`") for f in kept] + ([F.col(text_col).alias("_scan")] if text is None else [])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} {t}" for n, t in added.items())])
+    at, name = (len(kept), "_scan") if text is None else (text, kept[text].name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, name):
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *score(batch.column(at).to_pylist())], names=[*batch.schema.names[: len(kept)], *added])
+
+    return docs.select(*columns).mapInArrow(run, schema)
+
+
 def release() -> None:
     """Give freed memory back to the system: an idle worker keeps none of a finished task's."""
     pa.default_memory_pool().release_unused()
