@@ -4,20 +4,19 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carrierscan.llm.common import materialize, text_slices
+from carrierscan.llm.common import materialize, text_slices, with_text_columns
 
 #: Labelled rows of each class and fold that a model is fitted on at most, chosen by the hash of their ids.
 SAMPLE_ROWS = 10_000
-#: Tokens and token beginnings that a model keeps at most, the most significant first.
-MOST_TOKENS = 200_000
 #: The Dirichlet prior counts for this share of the labelled documents, dealt by each token's share of them.
 PRIOR_SHARE = 0.02
 LEAST_Z, LEAST_ODDS, LEAST_DOCUMENTS = 2.5, 1.5, 4
@@ -29,8 +28,8 @@ STEMS = (5, 4)
 TAIL_FROM = 1.5
 CACHE_ENTRIES = 500_000
 TOKEN = re.compile(r"[^\W\d_]+")
-#: The same tokens as ``TOKEN`` for counting in Spark.
-TOKEN_SQL = r"[\p{L}]+"
+#: Different tokens and stems that a task counts before it passes them on.
+FLUSH = 200_000
 PASSAGE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())])
 
 
@@ -48,25 +47,30 @@ def maximal_segments(at: np.ndarray, gains: np.ndarray, neutral: float) -> list[
     """All maximal scoring segments ``(first, last, score)`` of a sequence in time linear in its positive tokens.
 
     ``at`` and ``gains`` are places and scores of the positive tokens; every other token scores ``neutral``. Each new positive token is
-    joined with earlier segments while that gives more than the segments alone.
+    joined with earlier segments while that gives more than the segments alone. A segment remembers the nearest earlier one that begins
+    lower; a search jumps along these links, so that no segment is passed twice.
     """
-    segments: list[tuple[int, int, float, float]] = []  # first, last, running sums before and after
-    before = 0.0
-    last = -1
+    first: list[int] = []
+    last: list[int] = []
+    low: list[float] = []  # running sum before the segment
+    high: list[float] = []  # and after it
+    link: list[int] = []
+    total, end = 0.0, -1
     for place, gain in zip(at.tolist(), gains.tolist(), strict=True):
-        before += neutral * (place - last - 1)
-        one = (place, place, before, before + gain)
-        before, last = one[3], place
-        while True:
-            j = len(segments) - 1
-            while j >= 0 and segments[j][2] >= one[2]:
-                j -= 1
-            if j < 0 or segments[j][3] >= one[3]:
-                segments.append(one)
-                break
-            one = (segments[j][0], one[1], segments[j][2], one[3])
-            del segments[j:]
-    return [(a, b, right - left) for a, b, left, right in segments]
+        total += neutral * (place - end - 1)
+        start, begin = place, total
+        total, end = total + gain, place
+        j = len(first) - 1
+        while j >= 0 and low[j] >= begin:
+            j = link[j]
+        while j >= 0 and high[j] < total:
+            start, begin, below = first[j], low[j], link[j]
+            for column in (first, last, low, high, link):
+                del column[j:]
+            j = below
+        for column, value in ((first, start), (last, end), (low, begin), (high, total), (link, j)):
+            column.append(value)
+    return [(a, b, right - left) for a, b, left, right in zip(first, last, low, high, strict=True)]
 
 
 def token_scorer(odds: dict[str, float]):
@@ -124,7 +128,7 @@ def _odds(counts: DataFrame, totals: dict[tuple[int, int], int], folds: tuple[in
     odds = F.log(k1 / (d1 + weight - k1 + 1e-6)) - F.log(k0 / (d0 + weight - k0 + 1e-6))
     error = F.sqrt(1 / k1 + 1 / k0)
     rows = counts.where(y1 >= LEAST_DOCUMENTS).select("token", (odds - F.sqrt(1 / k1)).alias("score"), odds.alias("odds"), (odds / error).alias("z"))
-    return {r["token"]: r["score"] for r in rows.where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("z"), "token").limit(MOST_TOKENS).collect()}
+    return {r["token"]: r["score"] for r in rows.where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).select("token", "score").collect()}
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
@@ -132,17 +136,27 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id
 
     Counts are of documents with a token; copies of a text count once. Two models, each of one fold, score the other fold: null segments of class 0
     give the exponential tail of scores (rate, and scale per token), and a logistic turns a document's evidence into a
-    probability. Labels without a text, and other labels than 0 and 1, teach nothing; with one class only, no text is toxic.
+    probability. The driver gets the significant tokens and three numbers for each sampled text. Labels without a text, and other labels than 0 and 1, teach nothing; with one class only, no text is toxic.
     """
     sample = materialize(_sample(docs, labels, rows, id_col, text_col, label_col), "toxic-sample")
     totals = {(r["y"], r["fold"]): r["n"] for r in sample.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len({y for y, _ in totals}) < 2:
         return ToxicityModel({}, weights=(-3.0, 0.0, 0.0))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN_SQL), F.lit(0)))
-    stems = [_stems(words, n) for n in STEMS]
-    tokens = sample.select("y", "fold", F.explode(F.array_distinct(F.concat(words, *stems))).alias("token"))
-    cells = [F.count(F.when((F.col("y") == y) & (F.col("fold") == f), 1)).alias(f"n{y}{f}") for y in (0, 1) for f in (0, 1)]
-    counts = materialize(tokens.groupBy("token").agg(*cells).where("n10 + n11 >= 2"), "tokens")
+    cells = [f"n{y}{f}" for y in (0, 1) for f in (0, 1)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Counter] = [Counter() for _ in cells]
+        for batch in text_slices(batches):
+            for y, fold, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = set(TOKEN.findall(text.lower()))
+                held[2 * y + fold].update(words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in STEMS)))
+            if sum(map(len, held)) >= FLUSH:
+                yield _counted(held, cells)
+                held = [Counter() for _ in cells]
+        yield _counted(held, cells)
+
+    tokens = sample.select("y", "fold", "text").mapInArrow(count, "token string, " + ", ".join(f"{c} long" for c in cells))
+    counts = materialize(tokens.groupBy("token").agg(*[F.sum(c).alias(c) for c in cells]).where("n10 + n11 >= 2"), "tokens")
     halves = [_odds(counts, totals, (f,)) for f in (0, 1)]
     shared = docs.sparkSession.sparkContext.broadcast(halves)
 
@@ -153,17 +167,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id
             found = [document_segments(t, scorers[f]) for t, f in zip(batch.column(2).to_pylist(), folds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([[s for *_, s in segs] for _, segs in found], pa.list_(pa.float64()))], names=["y", "n", "scores"])
 
-    seen = sample.mapInArrow(segments, "y int, n long, scores array<double>").toArrow().to_pylist()
-    null = [s - TAIL_FROM for r in seen if r["y"] == 0 for s in r["scores"] if s > TAIL_FROM]
-    rate = (len(null) + 1) / (sum(null) + 1.0)
-    scale = (len(null) + 1) * math.exp(rate * TAIL_FROM) / (1 + sum(r["n"] for r in seen if r["y"] == 0))
-    x = np.array([[1.0, *evidence(r["n"], r["scores"], rate, scale)] for r in seen])
-    return ToxicityModel(_odds(counts, totals, (0, 1)), rate, scale, tuple(_logistic(x, np.array([float(r["y"]) for r in seen]))))
+    seen = materialize(sample.select("y", "fold", "text").mapInArrow(segments, "y int, n long, scores array<double>"), "segments")
+    tail = F.filter("scores", lambda s: s > TAIL_FROM)
+    null = seen.where("y = 0").agg(F.sum(F.size(tail)).alias("k"), F.sum(F.aggregate(tail, F.lit(0.0), lambda a, s: a + s - TAIL_FROM)).alias("over"), F.sum("n").alias("n")).head()
+    rate = (null["k"] + 1) / (null["over"] + 1.0)
+    scale = (null["k"] + 1) * math.exp(rate * TAIL_FROM) / (1 + null["n"])
+    chance = F.log(F.lit(scale) * F.greatest("n", F.lit(1))) / rate
+    rows = seen.select("y", (rate * (F.array_max("scores") - chance)).alias("best"), F.size(F.filter("scores", lambda s: s > chance)).alias("few")).toArrow()
+    best = np.nan_to_num(np.array(rows.column("best").to_pylist(), np.float64), nan=-10.0).clip(-10.0, 30.0)
+    x = np.stack([np.ones(len(best)), best, np.log1p(rows.column("few").to_numpy())], axis=1)
+    return ToxicityModel(_odds(counts, totals, (0, 1)), rate, scale, tuple(_logistic(x, rows.column("y").to_numpy().astype(float))))
 
 
-def _stems(words: Column, length: int) -> Column:
-    longer = F.filter(words, lambda w: F.length(w) > length)
-    return F.transform(longer, lambda w: F.concat(F.substring(w, 1, length), F.lit("*")))
+def _counted(held: list[Counter], cells: list[str]) -> pa.RecordBatch:
+    tokens = sorted(set().union(*held))
+    return pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), *(pa.array([c[t] for t in tokens], pa.int64()) for c in held)], names=["token", *cells])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> list[float]:
@@ -182,25 +200,23 @@ def score_texts(docs: DataFrame, model: ToxicityModel, keep: list[str] | None =
     """Rows of ``docs`` (columns ``keep``, all by default) with ``toxic_score, toxic_pred, toxic_passages``, from whole texts.
 
     Passages are the maximal segments of which fewer than one is expected by chance in a text of that length, as token numbers (``end`` after the last). Null and
-    empty texts score as texts without evidence. Columns named like the added ones are replaced.
+    empty texts score as texts without evidence. Columns named like the added ones, in upper or lower case, are replaced.
     """
-    added = ("toxic_score", "toxic_pred", "toxic_passages")
-    kept = [f for f in docs.schema if f.name in (keep or docs.columns) and f.name not in added]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "toxic_score double, toxic_pred int, toxic_passages array<struct<start int, end int, score double, e_value double>>"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    scorers: list = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(texts: list[str | None]) -> list[pa.Array]:
         model = shared.value
-        scorer = token_scorer(model.odds)
-        for batch in text_slices(batches, "_scan"):
-            scores, passages = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                n, segments = document_segments(text, scorer)
-                x = evidence(n, [s for *_, s in segments], model.rate, model.scale)
-                scores.append(1 / (1 + math.exp(-(model.weights[0] + model.weights[1] * x[0] + model.weights[2] * x[1]))))
-                expected = [(a, b + 1, s, model.scale * max(n, 1) * math.exp(-model.rate * s)) for a, b, s in segments]
-                passages.append([dict(zip(("start", "end", "score", "e_value"), p, strict=True)) for p in expected if p[3] < 1])
-            columns = [*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(passages, pa.list_(PASSAGE))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *added])
-
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce(F.col(text_col), F.lit("")).alias("_scan")).mapInArrow(run, schema)
+        if not scorers:
+            scorers.append(token_scorer(model.odds))
+        scores, passages = [], []
+        for text in texts:
+            n, segments = document_segments(text or "", scorers[0])
+            x = evidence(n, [s for *_, s in segments], model.rate, model.scale)
+            scores.append(1 / (1 + math.exp(-(model.weights[0] + model.weights[1] * x[0] + model.weights[2] * x[1]))))
+            expected = [(a, b + 1, s, model.scale * max(n, 1) * math.exp(-model.rate * s)) for a, b, s in segments]
+            passages.append([dict(zip(("start", "end", "score", "e_value"), p, strict=True)) for p in expected if p[3] < 1])
+        return [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(passages, pa.list_(PASSAGE))]
+
+    added = {"toxic_score": "double", "toxic_pred": "int", "toxic_passages": "array<struct<start int, end int, score double, e_value double>>"}
+    return with_text_columns(docs, score, added, keep, text_col)

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import time
 from collections import Counter
 
 import numpy as np
@@ -163,6 +164,14 @@ def test_segments_match_brute_force():
         assert max((s for *_, s in got), default=0) == pytest.approx(max((sum(scores[a : b + 1]) for a, b in best(0, len(scores))), default=0))
 
 
+def test_segments_take_time_linear_in_the_positives():
+    n = 300_000
+    for gap, gains in ((50, np.ones(n)), (1, np.full(n, 0.2)), (2, np.random.default_rng(0).exponential(0.3, n))):
+        began = time.process_time()
+        assert toxicity.maximal_segments(np.arange(n) * gap, gains, -0.3)
+        assert time.process_time() - began < 10
+
+
 def test_toxicity_learns_and_handles_gaps(spark):
     r = random.Random(5)
     bad = ["slur" + x for x in ("aa", "bb", "cc", "dd", "ee")]
@@ -278,8 +287,43 @@ def test_masks_hold_every_language(spark):
     slices = np.zeros(1 << 14, np.uint8)
     for place in langid._places(grams, len(slices)):
         np.bitwise_or.at(slices, place, (np.arange(1000) % 3 + 1).astype(np.uint8))
-    model = langid.LanguageFilter(("a", "b"), slices, np.zeros(2))
-    assert ((model.masks(grams) & (np.arange(1000) % 3 + 1)) == np.arange(1000) % 3 + 1).all()
+    model = langid.LanguageFilter(("a", "b"), (slices,), np.zeros(2))
+    assert ((model.masks(grams)[0] & (np.arange(1000) % 3 + 1)) == np.arange(1000) % 3 + 1).all()
+
+
+def brute_grams(text):
+    """Character 3- and 4-grams of a lower-cased text, in which a run of other characters than letters is one blank."""
+    line = " " + re.sub(r"[^a-z]+", " ", text.lower()).strip(" ") + " "
+    return Counter(line[i : i + n] for n in langid.SIZES for i in range(len(line) - n + 1) if " " not in line[i + 1 : i + n - 1])
+
+
+def test_grams_of_texts_cut_in_parts(monkeypatch):
+    r = random.Random(8)
+    texts = ["".join(r.choice("aabbcd e.1\n") for _ in range(r.randrange(400))) for _ in range(20)] + ["", "x" * 900, " . "]
+    for part in (langid.PART, 64, 7):
+        monkeypatch.setattr(langid, "PART", part)
+        got = [Counter() for _ in texts]
+        for value, owner in langid.text_grams(texts):
+            for v, o in zip(value.tolist(), owner.tolist(), strict=True):
+                got[o][v] += 1
+        assert [sorted(c.values()) for c in got] == [sorted(brute_grams(t).values()) for t in texts]
+
+
+def test_more_languages_than_a_mask_holds(spark):
+    r = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{i:02d}": ["".join(r.choice(letters) for _ in range(6)) for _ in range(6)] for i in range(70)}
+    rows = [(70 * k + i, " ".join(r.choice(w) for _ in range(25)), lang) for k in range(6) for i, (lang, w) in enumerate(words.items())]
+    docs = spark.createDataFrame([(i, t, x, "old") for i, t, x in rows], "doc_id long, text string, lang string, Lang_Pred string")
+    got = langid.predict_languages(docs, langid.fit_languages(docs.where("doc_id < 350")))
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "lang_score"]
+    assert got.where("doc_id >= 350 and lang = lang_pred").count() == 70
+
+
+def test_a_very_long_text_has_a_language(spark):
+    docs = spark.createDataFrame([(i, ("ting shol wen " if i % 2 else "bla kro zim ") * (300_000 if i > 9 else 20), "yy" if i % 2 else "xx") for i in range(12)], "doc_id long, text string, lang string")
+    model = langid.fit_languages(docs.where("doc_id < 10"))
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict_languages(docs, model, ["doc_id"]).collect()} == {i: "yy" if i % 2 else "xx" for i in range(12)}
 
 
 # GIF
