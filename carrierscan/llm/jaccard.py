@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carrierscan.llm.common import binary_array, list_array, materialize, mix64, partitions, text_slices
+from carrierscan.llm.common import binary_array, list_array, materialize, mix64, partitions, release, released, text_slices
 from carrierscan.llm.urlfilter import Level, set_bits
 
 #: Shingles that a task holds before it deals them out.
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 #: Shingles that one bucket of the count gets on average at most.
 BUCKET = 2_000_000
 #: Bits of a token below its rarity level.
@@ -28,7 +28,9 @@ PAIRS_LEFT = 2
 #: Depth of the suffix filter.
 SUFFIX_DEPTH = 3
 #: Text bytes that are hashed at once.
-SLICE = 2 << 20
+SLICE = 1 << 20
+#: Tokens of sets that are worked on at once, but for a larger set.
+TOKENS = 1 << 20
 #: A class carries its size level in its low bits: steps of a sixteenth of a doubling.
 SIZE_BITS, SIZES_PER_DOUBLING = 9, 16
 #: The screening prefix has this share of a set beside the plain prefix, and as many of its shingles must be shared.
@@ -250,7 +252,7 @@ def _live_tokens(dealt: DataFrame, bucket_bits: int, num: int, den: int, tokens:
         packed = {"group": pa.array(groups.astype(np.int32)), "classes": binary_array(owner[begin], runs * 8), "lengths": binary_array(np.diff(ends).astype("<u4"), runs * 4)}
         return pa.table(packed | ({"tokens": binary_array(token, ends[runs] * 8)} if tokens else {}))
 
-    return dealt.groupBy("bucket").applyInArrow(run, "group int, classes binary, lengths binary" + ", tokens binary" * tokens)
+    return dealt.groupBy("bucket").applyInArrow(released(run), "group int, classes binary, lengths binary" + ", tokens binary" * tokens)
 
 
 def _by_class(packed: DataFrame, classes: DataFrame, bucket_bits: int, tokens: bool = True) -> DataFrame:
@@ -271,7 +273,7 @@ def _by_class(packed: DataFrame, classes: DataFrame, bucket_bits: int, tokens: b
 
     group = F.shiftright("class", SIZE_BITS).bitwiseAND(F.lit((1 << bucket_bits) - 1)).cast("int")
     sizes = classes.select("class", "n", group.alias("group"))
-    return packed.groupBy("group").cogroup(sizes.groupBy("group")).applyInArrow(run, "class long, n long, live long" + ", tokens array<long>" * tokens)
+    return packed.groupBy("group").cogroup(sizes.groupBy("group")).applyInArrow(released(run), "class long, n long, live long" + ", tokens array<long>" * tokens)
 
 
 def _need(n: str, num: int, den: int) -> Column:
@@ -285,12 +287,23 @@ def _candidates(dealt: DataFrame, classes: DataFrame, bucket_bits: int, num: int
     return whole.withColumn("take", (F.col("live") - _need("n", num, den) + 1).cast("int")).where("take > 0").select("class", "n", "tokens", "take")
 
 
+def _list_slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that each slice holds about ``TOKENS`` values of a list column, and one row at least."""
+    for batch in batches:
+        offsets, at = batch.column(column).offsets.to_numpy(), 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + TOKENS, "right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
+    release()
+
+
 def _prefix_rows(sets: DataFrame) -> DataFrame:
     """A row for each live token of a prefix: ``token, class, n, live, at`` and the parity bitmap of the class's live tokens."""
     words = [f"b{k}" for k in range(BITMAP_WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _list_slices(batches, 2):
             take = batch.column(3).to_numpy()
             offsets, tokens = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
             live = np.diff(offsets)
@@ -360,6 +373,7 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 found[found == len(x)] = 0
                 good[i] = np.count_nonzero(x[found] == y) >= need
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["x", "y"])
+        release()
 
     return both.mapInArrow(run, "x long, y long")
 
