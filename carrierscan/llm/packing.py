@@ -13,12 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from carrierscan.llm.common import binary_array, materialize, salt, spread, text_slices
+from carrierscan.llm.common import binary_array, materialize, salt, spread, text_slices, whole_row
 
 CAPACITY = 1024
 #: Characters of one run of white space from which the tokenizer itself takes a text: the faster encoder overflows its stack on runs of about a million.
 LONG_BLANK = 100_000
 EOS = 2
+#: Rows of equal length that look for their slot among the same entries of the plan.
+RANK_BLOCK = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
@@ -156,28 +158,30 @@ def plan_slots(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tupl
 def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``capacity``; other columns stay.
 
-    The histogram (at most ``capacity`` rows) goes to the driver, which plans; rows meet their slot by a join on
-    the rank within their length. Ranks come from salted windows, so one length may hold all rows. Rows of equal length are
-    interchangeable; an empty table gives an empty result. ``_uid`` and ``_salt`` are reserved column names.
+    The histogram (at most ``capacity`` rows) goes to the driver, which plans; rows meet their slot by a join on the length, the block of
+    the rank within it, and the rank. Ranks come from salted windows, so one length may hold all rows. Rows of equal length are
+    interchangeable; an empty table gives an empty result. Columns named like the added ones, in upper or lower case, are replaced.
     """
     spark = pieces.sparkSession
-    rows = materialize(pieces.withColumn("_uid", F.monotonically_increasing_id()), "pieces")
+    rows = materialize(pieces.select(whole_row(pieces, ("sequence_id", "offset")), "length", F.monotonically_increasing_id().alias("_uid")), "pieces")
     n = rows.count()
     rows = rows.withColumn("_salt", salt(F.col("_uid"), spread(spark, n)))
     counts = materialize(rows.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     if any(not 0 < length <= capacity for length in histogram):
         raise ValueError("every piece's length must be between 1 and the capacity")
-    plan = spark.createDataFrame(plan_slots(histogram, capacity), "length long, _from long, _to long, _sequence long, offset long")
+    plan = spark.createDataFrame(plan_slots(histogram, capacity), "length long, _from long, _to long, _sequence long, _offset long")
+    plan = materialize(plan.withColumn("_block", F.explode(F.expr(f"sequence(_from div {RANK_BLOCK}, (_to - 1) div {RANK_BLOCK})"))), "plan")
     base = counts.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_base"))
     ranked = (
         rows.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_uid")))
         .join(base, ["length", "_salt"])
         .withColumn("_rank", F.col("_base") + F.col("_row") - 1)
+        .withColumn("_block", F.expr(f"_rank div {RANK_BLOCK}"))
     )
     r, p = ranked.alias("r"), plan.alias("p")
-    slot = (F.col("r.length") == F.col("p.length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
-    return r.join(p, slot).select(*[F.col(f"r.`{c}`") for c in pieces.columns], (F.col("_sequence") + F.col("_rank") - F.col("_from")).alias("sequence_id"), F.col("offset"))
+    slot = (F.col("r.length") == F.col("p.length")) & (F.col("r._block") == F.col("p._block")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
+    return r.join(p, slot).select("r._all.*", (F.col("_sequence") + F.col("_rank") - F.col("_from")).alias("sequence_id"), F.col("_offset").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, eos: int = EOS, ranks: str | None = None, pattern: str = "") -> DataFrame:
