@@ -49,6 +49,11 @@ def spread(spark: SparkSession, rows: int, per_group: int = 200_000) -> int:
     return max(partitions(spark), -(-rows // per_group))
 
 
+def whole_row(df: DataFrame, without: tuple[str, ...]) -> Column:
+    """All columns of ``df`` but those in ``without`` (upper or lower case) as one struct, apart from an operator's own columns."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in without]).alias("_all")
+
+
 def salt(column: Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carrierscan.llm.common import WORD, materialize, salt, spread
+from carrierscan.llm.common import WORD, materialize, salt, spread, whole_row
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -103,12 +103,13 @@ def mix_sources(
     keeps the words of any run of sizes within one document of what the rates ask for; then copies of up to ``settle`` sizes
     per source make up what is left. Within a cell, ranks from salted windows say who gets the odd copy, by id.
     Null sources are one source, last in order; empty texts take part with size 0 and their rate's copies; an empty table gives
-    an empty result; repeated rows are separate rows. Columns named like the added ones are replaced.
+    an empty result; repeated rows are separate rows and null ids are ids like others. Columns named like the added ones, in upper or lower case, are replaced; any other names are kept.
     """
     spark = docs.sparkSession
-    salts = spread(spark, 0)
+    salts = spread(spark, docs.count())
     key = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string")))
-    rows = docs.drop("source_size", "target", "copies").withColumns({"_size": F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"), "_key": key, "_salt": salt(F.col(id_col), salts)})
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(whole_row(docs, ("size", "source_size", "target", "copies")), F.col(id_col).alias("_id"), size.alias("_size"), key.alias("_key"), salt(F.col(id_col), salts).alias("_salt"))
     grains = materialize(rows.groupBy("_key", "_size", "_salt").agg(F.count(F.lit(1)).alias("_n")), "grains")
     cells = materialize(grains.groupBy("_key", "_size").agg(F.sum("_n").alias("_n")), "cells")
     targets = source_targets(cells.groupBy("_key").agg(F.sum(F.col("_n") * F.col("_size")).alias("source_size")), weights, share, most)
@@ -124,10 +125,9 @@ def mix_sources(
         .join(taken.select("_key", "_size", "source_size", "target", F.col("_n").alias("_all"), "_take"), ["_key", "_size"])
         .select("_key", "_size", "_salt", "source_size", "target", "_before", F.floor(F.col("_take") / F.col("_all")).alias("_each"), F.expr("_take % _all").alias("_odd"))
     )
-    within = Window.partitionBy("_key", "_size", "_salt").orderBy(id_col)
+    within = Window.partitionBy("_key", "_size", "_salt").orderBy("_id")
     return (
         rows.withColumn("_row", F.row_number().over(within))
         .join(plan, ["_key", "_size", "_salt"])
-        .withColumns({"size": F.col("_size"), "copies": (F.col("_each") + F.when(F.col("_before") + F.col("_row") <= F.col("_odd"), 1).otherwise(0)).cast("int")})
-        .drop("_key", "_size", "_salt", "_row", "_before", "_each", "_odd")
+        .select("_all.*", F.col("_size").alias("size"), "source_size", "target", (F.col("_each") + F.when(F.col("_before") + F.col("_row") <= F.col("_odd"), 1).otherwise(0)).cast("int").alias("copies"))
     )

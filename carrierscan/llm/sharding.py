@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from carrierscan.llm.common import materialize, partitions, salt
+from carrierscan.llm.common import materialize, partitions, salt, whole_row
 
 #: Low bits of a sort key that tell documents with equal texts apart.
 LOW = 24
@@ -93,23 +93,23 @@ def shard_documents(docs: DataFrame, shards: int = 24, tolerance: float = 0.001,
     ``size`` is the text's UTF-8 bytes (null: none) plus 8. The sort key is the text's hash, then the id's, so
     copies are neighbours and a large group of copies can still be cut. Keys and sizes alone are probed; whole rows move
     once, by shard and salt. Slots are gapless from 0. Rows that agree in id and text have one key and stay together.
-    An empty table gives an empty result. Columns named ``size, shard, slot`` are replaced.
+    An empty table gives an empty result. Null ids are ids like others. Columns named ``size, shard, slot`` in upper or lower case are replaced; any other names are kept.
     """
     spark = docs.sparkSession
     low = (1 << LOW) - 1
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).bitwiseAND(F.lit(~low)).bitwiseOR(F.xxhash64(F.col(id_col)).bitwiseAND(F.lit(low)))
-    rows = docs.drop("shard", "slot").withColumns({"_key": key, "_size": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 8})
+    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 8
+    rows = docs.select(whole_row(docs, ("size", "shard", "slot")), F.col(id_col).alias("_id"), key.alias("_key"), size.alias("_size"))
     keyed = materialize(rows.select("_key", "_size"), "keys")
     cuts = splitters(keyed, shards, tolerance)
     salts = max(-(-4 * partitions(spark) // shards), -(-keyed.count() // (shards * 200_000)))
     placed = {"shard": F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: F.col("_key") >= cut)) if cuts else F.lit(0), "_salt": salt(F.col("_key"), salts)}
     counts = materialize(keyed.withColumns(placed).groupBy("shard", "_salt").agg(F.count(F.lit(1)).alias("_n")), "slots")
     base = counts.select("shard", "_salt", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_salt")) - F.col("_n")).alias("_base"))
-    within = Window.partitionBy("shard", "_salt").orderBy("_key", id_col)
+    within = Window.partitionBy("shard", "_salt").orderBy("_key", "_id")
     return (
         rows.withColumns(placed)
         .withColumn("_row", F.row_number().over(within))
         .join(base, ["shard", "_salt"])
-        .withColumns({"size": F.col("_size"), "slot": F.col("_base") + F.col("_row") - 1})
-        .drop("_key", "_size", "_salt", "_row", "_base")
+        .select("_all.*", F.col("_size").alias("size"), "shard", (F.col("_base") + F.col("_row") - 1).alias("slot"))
     )
