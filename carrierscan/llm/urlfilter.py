@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carrierscan.llm.common import LOWER, UPPER, materialize, mix64
+from carrierscan.llm.common import LOWER, UPPER, materialize, mix64, whole_row
 
 #: A filter larger than this is not broadcast; the keys are joined instead.
 FILTER_BYTES = 64 << 20
@@ -89,14 +89,15 @@ def _passing(keys: DataFrame, level: Level) -> DataFrame:
     return keys.select("_one", "_two").mapInArrow(run, "_one long, _two long")
 
 
-def build_cascade(universe: DataFrame, rate: float = FIRST_RATE, next_rate: float = NEXT_RATE, most_bytes: int = FILTER_BYTES) -> list[Level] | None:
-    """Levels over a complete key universe (``_one, _two`` key hashes, ``_listed`` boolean).
+def build_cascade(universe: DataFrame, listed: DataFrame, rate: float = FIRST_RATE, next_rate: float = NEXT_RATE, most_bytes: int = FILTER_BYTES) -> list[Level] | None:
+    """Levels over a complete key universe and the listed keys (``_one, _two`` key hashes of both; a listed key may be missing from the universe).
 
     Level 0 encodes the listed keys, level 1 the keys that level 0 lets through wrongly, level 2 the listed keys that level 1
-    lets through, and so on until a level lets nothing through wrongly: then membership is exact for every key of the universe. None when the listed keys
+    lets through, and so on until a level lets nothing through wrongly: then membership is exact for every key of the universe. Only keys
+    that level 0 lets through are compared with the list. None when the listed keys
     need more than ``most_bytes``, so that the caller joins.
     """
-    inside, outside = universe.where("_listed"), universe.where("not _listed")
+    inside, outside = listed.select("_one", "_two").distinct(), universe
     levels: list[Level] = []
     count, p = inside.count(), rate
     while count:
@@ -105,7 +106,8 @@ def build_cascade(universe: DataFrame, rate: float = FIRST_RATE, next_rate: floa
         if len(levels) >= MOST_LEVELS:
             raise ValueError("two keys of the universe agree in both hashes")
         levels.append(set_bits(inside, sized_bits(count, p), max(1, round(-math.log2(p))), len(levels)))
-        inside, outside, p = materialize(_passing(outside, levels[-1]), "cascade"), inside, next_rate
+        passed = _passing(outside, levels[-1])
+        inside, outside, p = materialize(passed if levels[1:] else passed.join(inside, ["_one", "_two"], "left_anti"), "cascade"), inside, next_rate
         count = inside.count()
     return levels
 
@@ -119,27 +121,30 @@ def is_member(levels: list[Level], one: np.ndarray, two: np.ndarray) -> np.ndarr
     return depth % 2 == 1
 
 
+ADDED = ("host", "path", "rule", "verdict")
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow", url_col: str = "url", most_bytes: int = FILTER_BYTES) -> DataFrame:
     """All rows and columns of ``pages`` with ``host, path, rule, verdict``.
 
     ``rules`` are (verdict, host, path) with verdict ``allow`` or ``block``. Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
     lower-cased; path: from there up to ``?``, ``#`` or the end. A rule fits its host and all subdomains where the path begins with its own; the
     longest host and path wins, and the later rule of two that are the same. Without a rule the verdict is ``default``. Null
-    urls and urls without ``://`` have empty parts and no rule. Keys are the only thing that is made distinct; rows never move,
+    urls and urls without ``://`` have empty parts and no rule; repeated rows stay. Columns named like the added ones, in upper or lower case, are replaced. Keys are the only thing that is made distinct; rows never move,
     unless the list is too large to broadcast.
     """
     spark = pages.sparkSession
     chosen = {host.lower() + path: (verdict, host.lower(), path) for verdict, host, path in rules}
     host, path = url_parts(F.col(url_col))
-    rows = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
+    rows = pages.select(whole_row(pages, ADDED), host.alias("host"), path.alias("path"))
     if not chosen:
-        return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return rows.select("_all.*", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     labels, lengths = max(h.count(".") + 1 for _, h, _ in chosen.values()), sorted({len(p) for _, _, p in chosen.values()})
     rows = rows.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), labels, lengths))
     listed = _rules(spark, chosen)
-    universe = rows.select(F.explode("_keys").alias("key")).distinct().join(listed, "key", "left")
-    hashed = materialize(universe.select(F.xxhash64("key").alias("_one"), F.xxhash64("key", F.lit(1)).alias("_two"), "_verdict"), "universe")
-    cascades = {v: build_cascade(hashed.select("_one", "_two", F.coalesce(F.col("_verdict") == v, F.lit(False)).alias("_listed")), most_bytes=most_bytes) for v in ("allow", "block")}
+    hashes = [F.xxhash64("key").alias("_one"), F.xxhash64("key", F.lit(1)).alias("_two")]
+    universe = materialize(rows.select(F.explode("_keys").alias("key")).select(*hashes).distinct(), "universe")
+    cascades = {v: build_cascade(universe, listed.where(F.col("_verdict") == v).select(*hashes), most_bytes=most_bytes) for v in ("allow", "block")}
     if any(c is None for c in cascades.values()):
         return _joined(rows, listed, default)
     shared = spark.sparkContext.broadcast(cascades)
@@ -163,7 +168,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str
     return (
         rows.withColumn("_hit", first_rule(*hashes))
         .withColumns({"rule": F.when(F.col("_hit") != 0, F.get("_keys", F.abs("_hit") - 1)), "verdict": F.when(F.col("_hit") > 0, "allow").when(F.col("_hit") < 0, "block").otherwise(default)})
-        .drop("_keys", "_hit")
+        .select("_all.*", *ADDED)
     )
 
 
@@ -175,4 +180,4 @@ def _joined(rows: DataFrame, listed: DataFrame, default: str) -> DataFrame:
     """The way for lists beyond the broadcast bound: keys meet rules in a shuffle join, and rows take their best hit back."""
     rows = materialize(rows.withColumn("_uid", F.monotonically_increasing_id()), "urls")
     hits = rows.select("_uid", F.posexplode("_keys").alias("_at", "key")).join(listed.hint("merge"), "key").groupBy("_uid").agg(F.min(F.struct("_at", "key", "_verdict")).alias("_hit"))
-    return rows.join(hits, "_uid", "left").withColumns({"rule": F.col("_hit.key"), "verdict": F.coalesce("_hit._verdict", F.lit(default))}).drop("_uid", "_keys", "_hit")
+    return rows.join(hits, "_uid", "left").withColumns({"rule": F.col("_hit.key"), "verdict": F.coalesce("_hit._verdict", F.lit(default))}).select("_all.*", *ADDED)
