@@ -18,25 +18,32 @@ from carrierscan.llm.common import materialize, shared_dir
 #: Fixed values of the file format: the magic number of the dictionary's skippable frame, and the revisit profile.
 DICTIONARY_MAGIC = 0x184D2A5D
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Parts to which the pages of one payload are dealt.
+SALTS = 16
 MANIFEST = "path string, records long, bytes long"
 RECORDS = "page_id string, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to string"
 
 
 def mark_revisits(pages: DataFrame, least: int = 100, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Add ``payload, payload_digest, record_type, refers_to``.
+    """``page_id, url, payload, payload_digest, record_type, refers_to`` of each row; columns ``url`` and the id must be there, others are left out.
 
     Payload: the html in UTF-8 (null: empty). Of equal payloads of at least ``least`` bytes the smallest id is the response
     (all its rows, if it repeats) and others, those without an id too, revisit it. Groups without any id are all responses.
+    Rows meet their group by digest and salt, shorter ones by a key of their own, so that no payload gathers in one task.
     """
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("payload_digest", F.sha2("payload", 256))
+    own = F.xxhash64("page_id", "url")
     long_rows = rows.where(F.octet_length("payload") >= least)
     groups = long_rows.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("_n"), F.min("page_id").alias("_first")).where("_n > 1 and _first is not null")
     revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")) & (F.octet_length("payload") >= least)
+    met = F.when(F.octet_length("payload") >= least, F.col("payload_digest")).otherwise(own.cast("string"))
+    firsts = groups.select(F.col("payload_digest").alias("_key"), "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     return (
-        rows.join(groups.drop("_n"), "payload_digest", "left")
+        rows.withColumns({"_key": met, "_salt": F.pmod(own, F.lit(SALTS)).cast("int")})
+        .join(firsts, ["_key", "_salt"], "left")
         .withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("_first"))})
-        .drop("_first")
+        .drop("_first", "_key", "_salt")
     )
 
 
