@@ -277,13 +277,13 @@ def text_media(docs: DataFrame, unit: int = UNIT, frame_rows: int = FRAME_ROWS,
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def decode_frames(rows: DataFrame, media_col: str = "media", pixels: bool = False) -> DataFrame:
+def decode_frames(rows: DataFrame, media_col: str = "media", pixels: bool = False, joined: bool = False) -> DataFrame:
     """All columns of ``rows`` with ``frames``: the media's timed frames, null where the media are null or no whole GIF.
 
-    A column named ``frames`` is replaced.
+    With ``joined``, the samples of all frames are one column ``samples`` instead of being in the frames. Columns named like the added ones are replaced.
     """
-    kept = rows.drop("frames")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), FRAMES])
+    kept = rows.drop("frames", "samples") if joined else rows.drop("frames")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), FRAMES, *["samples binary"] * joined])
     kind = pa.list_(pa.struct(FRAME_FIELDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,6 +294,9 @@ def decode_frames(rows: DataFrame, media_col: str = "media", pixels: bool = Fals
                     frames.append(None if data is None else list(decode_gif(data, pixels)))
                 except (GifError, IndexError, struct.error):
                     frames.append(None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(frames, kind)], names=[*batch.schema.names, "frames"])
+            whole = []
+            if joined:
+                whole = [pa.array([None if f is None else b"".join([x.pop("samples") for x in f]) for f in frames], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(frames, kind), *whole], names=[*batch.schema.names, "frames", *["samples"] * joined])
 
     return kept.mapInArrow(run, schema)

@@ -64,12 +64,11 @@ def op7_gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     from carrierscan.llm.common import materialize
 
     stored = materialize(gif.text_media(_table(spark, sf_dir, "documents")), "media")
-    frames = gif.decode_frames(stored)
-    payload = F.aggregate("frames", F.lit(b""), lambda got, f: F.concat(got, f["samples"]))
+    frames = gif.decode_frames(stored, joined=True)
     total = F.aggregate("frames", F.array_repeat(F.lit(0), 24), lambda got, f: F.zip_with(got, f["histogram"], lambda a, b: a + b))
     last = F.element_at("frames", -1)
     feature = F.concat(F.lit("frames="), F.size("frames"), F.lit(" ms="), last["at_ms"] + last["delay_ms"], F.lit(" red="), F.array_join(F.slice(total, 1, 8), ","))
-    rows = frames.select("doc_id", "n_bytes", payload.alias("_payload"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
+    rows = frames.select("doc_id", "n_bytes", F.col("samples").alias("_payload"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
     return rows.select(
         "doc_id", "n_bytes", F.octet_length("_payload").cast("long").alias("payload_bytes"), F.sha2("_payload", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(_payload, -32, 32)")).alias("tail_crc32"), "media_bytes", "media_sha256", "feature",

@@ -176,7 +176,7 @@ def test_rules_and_cascade(spark):
 
 def test_cascade_is_exact(spark):
     keys = spark.range(20_000).select(F.xxhash64("id").alias("_one"), F.xxhash64("id", F.lit(1)).alias("_two"), (F.col("id") % 7 == 0).alias("_listed"))
-    levels = urlfilter.build_cascade(keys, rate=0.3)
+    levels = urlfilter.build_cascade(keys.select("_one", "_two"), keys.where("_listed").unionByName(keys.select((F.col("_one") + 1).alias("_one"), "_two", "_listed").limit(5)), rate=0.3)
     table = keys.toPandas()
     assert len(levels) > 2
     assert (urlfilter.is_member(levels, table["_one"].to_numpy(), table["_two"].to_numpy()) == table["_listed"].to_numpy()).all()

@@ -60,3 +60,37 @@ def test_null_and_repeated_ids_are_documents_like_others(spark):
     assert left.columns == ["doc_id", "text", "kind"]
     got = sorted((r["kind"], r["doc_id"]) for r in left.collect())
     assert got == [("another text of a repeated id", 7), ("clean without a copy", None), ("copies of one id", 7), ("group of null ids", None), ("null beside an id", 8), ("plain", 11)]
+
+
+def test_filters_keep_clean_documents_and_drop_the_others(spark, tmp_path):
+    """Toxic, foreign and letterless documents go; clean ones stay, the short, long and repeated ones too, with all their columns."""
+    import random
+
+    r = random.Random(3)
+    english, german = ("river stone garden window market teacher winter summer morning letter".split(), "strasse fenster morgen winter garten lehrer brief sommer wasser schule".split())
+    bad = ["vilescum", "rotfilth", "slurword"]
+    rows, labels = [], []
+    for i in range(400):
+        words = [r.choice((english, german)[i % 2]) for _ in range(40)]
+        if i % 9 == 0:
+            words[10:10] = bad
+        rows.append((i, " ".join(words), ("en", "de")[i % 2], "clean" if i % 9 else "toxic"))
+        labels += [(i, int(i % 9 == 0))] * (i < 300)
+    rows += [(500, "river garden", "en", "clean"), (501, " ".join(english * 4000), "en", "clean"), (502, rows[1][1], "de", "clean"), (502, rows[1][1], "de", "clean"), (None, rows[3][1], None, "clean")]
+    rows += [(510, None, "en", "letterless"), (511, "", None, "letterless"), (512, "12 34 !!", "en", "letterless"), (513, "zzqx qqzzx xxqzq zxqqz " * 10, None, "foreign")]
+    docs = spark.createDataFrame([(*x, 1, 2, 3, 4) for x in rows], "doc_id long, text string, lang string, kind string, Toxic_Pred int, lang_pred int, size int, _row int")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    clean = corpus_pipeline.drop_toxic(spark, docs, f"file://{tmp_path}")
+    assert clean.columns == docs.columns
+    assert Counter(x["kind"] for x in clean.collect()) == {"clean": 360, "letterless": 3, "foreign": 1}
+    known = corpus_pipeline.keep_known_languages(spark, clean, "")
+    assert Counter(tuple(x)[3:] for x in known.collect()) == {("clean", 1, 2, 3, 4): 360}
+    assert corpus_pipeline.mix(spark, known.withColumn("source", known["lang"]), "").columns == [*docs.columns, "source"]
+    assert Counter(tuple(x)[4:] for x in corpus_pipeline.drop_near_duplicates(spark, known, "").collect()).keys() == {(1, 2, 3, 4)}
+
+
+def test_stages_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, size int")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, none, SF)
+        assert got.count() == 0 and (name == "packing" or got.columns == none.columns)
