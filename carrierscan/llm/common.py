@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 #: White space of the word contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,8 +34,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/carrierscan/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold ``BATCH_BYTES`` where the session has Spark's default: with rows of whole texts, that default takes many times its size in both processes."""
+    if spark.conf.get(BATCH_KEY, "") in ("", "64m", "64MB", "67108864", "67108864b"):
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts lineage, and gives the planner true sizes."""
+    small_batches(df.sparkSession)
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -79,6 +87,7 @@ def with_text_columns(docs: DataFrame, score: Callable[[list[str | None]], list[
 
     Texts go to the workers once, also where ``keep`` holds them. Columns named like an added one, in upper or lower case, are replaced.
     """
+    small_batches(docs.sparkSession)
     wanted = {c.lower() for c in keep or docs.columns}
     kept = [f for f in docs.schema if f.name.lower() in wanted and f.name.lower() not in added]
     text = next((i for i, f in enumerate(kept) if f.name.lower() == text_col.lower()), None)

@@ -26,7 +26,7 @@ NEUTRAL = -0.3
 STEMS = (5, 4)
 #: Null segments below this score do not count for the tail.
 TAIL_FROM = 1.5
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Different tokens and stems that a task counts before it passes them on.
 FLUSH = 200_000
