@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 from carrierscan.functions import expressions as X
 
-#: Words that mark pesticides, motor neuron disease, and the cell types of nervous tissue.
-PESTICIDE_WORDS = ["pesticide", "insecticide", "herbicide", "fungicide", "rotenone", "paraquat", "chlorpyrifos", "maneb", "glyphosate"]
-DISEASE_WORDS = ["amyotrophic lateral sclerosis", "motor neuron disease"]
+#: Words that mark pesticides; motor neuron disease in panels, disease scores and toxicogenomics; and the cell types of nervous tissue.
+PESTICIDE_WORDS = [
+    "pesticide", "herbicide", "insecticide", "fungicide", "rodenticide", "chlorpyrifos", "glyphosate", "paraquat", "atrazine", "malathion", "permethrin", "carbaryl", "diazinon",
+    "ddt", "dichlorodiphenyltrichloroethane", "rotenone", "fipronil", "2,4-d", "dieldrin", "endosulfan", "deltamethrin", "imidacloprid", "endrin", "lindane", "aldrin", "chlordane", "heptachlor",
+    "organophosphate", "organochlorine", "carbamate", "diquat", "metolachlor", "pyrethroid", "pyrethrin",
+]
+PANEL_WORDS = ["amyotrophic lateral sclerosis", "motor neuron", "motor neurone", "mnd"]
+SCORE_WORDS = ["amyotrophic lateral sclerosis", "motor neuron", "motor neurone"]
+DISEASE_WORDS = ["amyotrophic", "motor neuron"]
 NEURON_WORDS = ["neuron"]
-GLIA_WORDS = ["astrocyte", "oligodendrocyte", "microglia", "glia"]
+GLIA_WORDS = ["astro", "oligo", "microglia", "glia"]
 
 GENE_LOOKUP = "display_name string, biotype string, seq_region_name string, id string"
 TISSUES = "data array<struct<tissueSiteDetailId string, median double, gencodeId string>>"
@@ -42,13 +48,13 @@ def cell_types(payloads: DataFrame) -> DataFrame:
 
 def panel_confidence(payloads: DataFrame) -> DataFrame:
     """Largest confidence, compared as text, over panels of the disease."""
-    rows = F.filter(F.from_json("payload", PANELS)["results"], lambda r: X.any_keyword(r["panel"]["name"], ["amyotrophic lateral sclerosis", "als", "motor neuron"]))
+    rows = F.filter(F.from_json("payload", PANELS)["results"], lambda r: X.any_keyword(r["panel"]["name"], PANEL_WORDS))
     return payloads.select("gene_id", F.array_max(F.transform(rows, lambda r: r["confidence_level"])).alias("panel_confidence"))
 
 
 def disease_score(payloads: DataFrame) -> DataFrame:
     rows = F.from_json("payload", DISEASES)["data"]["target"]["associatedDiseases"]["rows"]
-    best = F.array_max(F.transform(F.filter(rows, lambda r: X.any_keyword(r["disease"]["name"], DISEASE_WORDS)), lambda r: F.struct(r["score"].alias("score"), r["disease"]["name"].alias("name"))))
+    best = F.array_max(F.transform(F.filter(rows, lambda r: X.any_keyword(r["disease"]["name"], SCORE_WORDS)), lambda r: F.struct(r["score"].alias("score"), r["disease"]["name"].alias("name"))))
     return payloads.select("gene_id", best["score"].alias("disease_score"), best["name"].alias("disease_name"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def first_wins(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """One row per key, the first in ``order``: a maximum of structs, so duplicates collapse before they move."""
+    """One row per key, the first in ``order``, by a window over the key; Spark drops later rows before they move."""
     rest = [c for c in rows.columns if c not in key]
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_rank = 1").select(*key, *rest)
 
@@ -124,3 +124,31 @@ def histogram(rows: DataFrame, column: str, low: float, high: float, bins: int)
 def split_scores(rows: DataFrame, column: str) -> DataFrame:
     """Rows by the sign of their score: positive, zero, missing."""
     return rows.withColumn("part", F.when(F.col(column).isNull(), "missing").when(F.col(column) > 0, "positive").when(F.col(column) == 0, "zero").otherwise("negative"))
+
+
+def same_batch(pairs: DataFrame, batches: DataFrame) -> DataFrame:
+    """Pairs of samples (``id1, id2``) with each one's batch (of ``sample_id, batch``), and whether both are known and equal."""
+    first, second = (batches.select(F.col("sample_id").alias(f"id{k}"), F.col("batch").alias(f"batch{k}")) for k in (1, 2))
+    return pairs.join(first, "id1", "left").join(second, "id2", "left").withColumn("same_batch", F.coalesce(F.col("batch1") == F.col("batch2"), F.lit(False)))
+
+
+def relatedness_verdict(pairs: DataFrame, above: float = 0.125, copy: float = 0.9, most_pct: float = 1.0) -> DataFrame:
+    """One row: how many pairs have a share of identity (``pi_hat``) over ``above``, how many of those are copies of one sample, and whether a mixed model seems needed."""
+    over = F.count(F.when(F.col("pi_hat") > above, 1))
+    pct = F.coalesce(F.try_divide(100.0 * over, F.count(F.lit(1))), F.lit(0.0))
+    return pairs.agg(F.count(F.lit(1)).alias("n_pairs"), over.alias("n_above"), F.count(F.when((F.col("pi_hat") > above) & (F.col("pi_hat") <= copy), 1)).alias("n_related"), F.count(F.when(F.col("pi_hat") > copy, 1)).alias("n_copies"), pct.alias("pct_above"), (pct >= most_pct).alias("needs_model"))
+
+
+def truth_recap(truth: DataFrame, results: DataFrame, key: list[str], p: str, alpha: float = 0.05) -> DataFrame:
+    """Every true effect with its result, if any: whether it was tested, and whether it was found at ``alpha``."""
+    found = results.select(*key, F.col(p).alias("p"), F.lit(True).alias("_in"))
+    return truth.join(found, key, "left").withColumns({"tested": F.coalesce("_in", F.lit(False)), "detected": F.coalesce(F.col("p") <= alpha, F.lit(False))}).drop("_in")
+
+
+def pooled_means(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, mean, n, mode`` of each column; the mode of all is ``binary`` where every known value is 0 or 1 and there is one, else ``continuous``."""
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("r")).select("r.*")
+    means = long.groupBy("column").agg(F.avg("x").alias("mean"), F.count("x").alias("n"), F.count(F.when(~F.col("x").isin(0.0, 1.0), 1)).alias("_other"))
+    everything = Window.partitionBy()  # a row for each column name
+    binary = (F.sum("_other").over(everything) == 0) & (F.sum("n").over(everything) > 0)
+    return means.select("column", "mean", "n", F.when(binary, "binary").otherwise("continuous").alias("mode"))

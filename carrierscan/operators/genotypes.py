@@ -128,7 +128,7 @@ def king_kinship(geno: DataFrame, block: int = 512) -> DataFrame:
 def ld_prune(geno: DataFrame, window: int = 50, step: int = 5, r2: float = 0.5, chrom: str = "chrom", pos: str = "pos") -> DataFrame:
     """Variants kept by sliding-window pruning: of two kept variants in a window with squared correlation above ``r2`` the rarer goes.
 
-    One task holds one chromosome's window at a time. Dosages come as one array per variant, ordered by sample; missing cells take the variant's
+    One task holds a chromosome's variants, since what a window drops changes the next. Dosages come as one array per variant, ordered by sample; missing cells take the variant's
     mean. The published definition, not another program's tie rules.
     """
     arrays = geno.groupBy(chrom, pos, "variant").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_id", F.col("dosage").cast("double").alias("d")))), lambda x: x["d"]).alias("d"))
@@ -158,13 +158,18 @@ def ld_prune(geno: DataFrame, window: int = 50, step: int = 5, r2: float = 0.5,
 
 
 def ld_pairs(geno: DataFrame, reach: int, pos: str = "pos") -> DataFrame:
-    """Squared correlation of variants at most ``reach`` apart in position, natively: cells of a sample meet on position blocks."""
+    """Squared correlation of variants at most ``reach`` apart in position, natively: cells of a sample meet on position blocks.
+
+    It comes from whole-number sums over samples with both cells, so that it does not depend on the order of rows; null where a variant does not vary.
+    """
     block = F.floor(F.col(pos) / reach)
     left = geno.select("sample_id", F.col("variant").alias("v1"), F.col(pos).alias("p1"), F.col("dosage").alias("d1"), block.alias("_b"))
     right = geno.select("sample_id", F.col("variant").alias("v2"), F.col(pos).alias("p2"), F.col("dosage").alias("d2"), F.explode(F.array(block, block - 1)).alias("_b"))
-    near = left.join(right, ["sample_id", "_b"]).where((F.col("p1") < F.col("p2")) & (F.col("p2") - F.col("p1") <= reach))
-    r = F.corr("d1", "d2")
-    return near.groupBy("v1", "v2").agg((r * r).alias("r2"))
+    near = left.join(right, ["sample_id", "_b"]).where((F.col("p1") < F.col("p2")) & (F.col("p2") - F.col("p1") <= reach) & F.col("d1").isNotNull() & F.col("d2").isNotNull())
+    x, y = F.col("d1").cast("long"), F.col("d2").cast("long")
+    sums = near.groupBy("v1", "v2").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"), F.sum(x * y).alias("xy"))
+    covariance, one, two = (F.expr(e).cast("double") for e in ("n * xy - x * y", "n * xx - x * x", "n * yy - y * y"))
+    return sums.select("v1", "v2", F.try_divide(covariance * covariance, one * two).alias("r2"))
 
 
 def principal_components(geno: DataFrame, components: int = 10) -> DataFrame:

@@ -122,7 +122,7 @@ def largest_smd(v: np.ndarray, features: np.ndarray) -> float:
     a, b = features[v == 1], features[v == 0]
     if len(a) < 2 or len(b) < 2:
         return 0.0
-    sd = np.sqrt((a.var(axis=0, ddof=1) + b.var(axis=0, ddof=1)) / 2)
+    sd = np.sqrt((a.var(axis=0) * len(a) + b.var(axis=0) * len(b)) / (len(a) + len(b) - 2))
     off = np.abs(a.mean(axis=0) - b.mean(axis=0))
     return float(np.where(sd > 0, off / np.where(sd > 0, sd, 1), 0).max(initial=0))
 

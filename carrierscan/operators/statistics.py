@@ -12,20 +12,56 @@ CHI2_MEDIAN = 0.4549364
 
 
 def balance(rows: DataFrame, arm: str, covariates: list[str], by: list[str]) -> DataFrame:
-    """Standardised mean difference of each covariate between the two arms (1 and 0): absolute difference over pooled sd, 0 where that is 0 or unknown."""
+    """Standardised mean difference of each covariate between the two arms (1 and 0): absolute difference over pooled sd, 0 where that is 0 or unknown.
+
+    Gaps take their arm's mean; the pooled variance weighs each arm's by its rows less one.
+    """
     aggs = []
     for c in covariates:
         for a in (1, 0):
             x = F.when(F.col(arm) == a, F.col(c))
-            aggs += [F.avg(x).alias(f"_m{a}_{c}"), F.var_samp(x).alias(f"_v{a}_{c}")]
-    out = rows.groupBy(*by).agg(*aggs)
+            aggs += [F.avg(x).alias(f"_m{a}_{c}"), (F.var_pop(x) * F.count(x)).alias(f"_s{a}_{c}")]
+    n1, n0 = F.count(F.when(F.col(arm) == 1, 1)), F.count(F.when(F.col(arm) == 0, 1))
+    out = rows.groupBy(*by).agg(*aggs, F.when((n1 >= 2) & (n0 >= 2), n1 + n0 - 2).alias("_free"))
     smd = {}
     for c in covariates:
-        sd = F.sqrt((F.col(f"_v1_{c}") + F.col(f"_v0_{c}")) / 2)
+        sd = F.sqrt((F.col(f"_s1_{c}") + F.col(f"_s0_{c}")) / F.col("_free"))
         smd[f"smd_{c}"] = F.coalesce(F.when(sd > 0, F.abs(F.col(f"_m1_{c}") - F.col(f"_m0_{c}")) / sd), F.lit(0.0))
     return out.withColumns(smd).select(*by, *smd)
 
 
+def level_balance(rows: DataFrame, arm: str, column: str, by: list[str]) -> DataFrame:
+    """``level, smd`` of each level of a category but the first: the arms' difference in its share over the sd of the pooled share. A gap is the level ``nan``."""
+    cells = rows.where(F.col(arm).isin(0, 1)).groupBy(*by, F.coalesce(F.col(column).cast("string"), F.lit("nan")).alias("level")).agg(F.count(F.when(F.col(arm) == 1, 1)).alias("_k1"), F.count(F.when(F.col(arm) == 0, 1)).alias("_k0"))
+    group = Window.partitionBy(*by)
+    n1, n0 = F.sum("_k1").over(group), F.sum("_k0").over(group)
+    p1, p0, pooled = F.try_divide("_k1", n1), F.try_divide("_k0", n0), F.try_divide(F.col("_k1") + F.col("_k0"), n1 + n0)
+    sd = F.sqrt(pooled * (1 - pooled))
+    out = cells.withColumns({"smd": F.coalesce(F.when(sd > 0, F.abs(p1 - p0) / sd), F.lit(0.0)), "_first": F.min("level").over(group)})
+    return out.where("level != _first").select(*by, "level", "smd")
+
+
+def dummies(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
+    """Text columns as one 0/1 column for each level but the first in order, and the new names; a gap has 0 in all. Numeric columns stay. The driver gets the levels' names."""
+    kinds = dict(rows.dtypes)
+    names: list[str] = []
+    for c in columns:
+        if kinds[c] != "string":
+            names.append(c)
+            continue
+        levels = sorted(r[0] for r in rows.select(c).where(F.col(c).isNotNull()).distinct().collect())[1:]
+        rows = rows.withColumns({f"{c}_{x}": F.when(F.col(c) == x, 1.0).otherwise(0.0) for x in levels}).drop(c)
+        names += [f"{c}_{x}" for x in levels]
+    return rows, names
+
+
+def genotype_fits(rows: DataFrame, y: str, x: str, dosage: str, by: list[str]) -> DataFrame:
+    """Points of a plot: line of ``y`` on ``x`` and quartiles of ``y`` for each rounded dosage."""
+    q = F.percentile(y, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    out = rows.where(F.col(dosage).isNotNull()).groupBy(*by, F.round(dosage).cast("int").alias("genotype")).agg(F.count(y).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), q.alias("_q"))
+    return out.select(*by, "genotype", "n", "slope", "intercept", *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(("q1", "median", "q3"))])
+
+
 def rank_sum(rows: DataFrame, value: str, arm: str, by: list[str]) -> DataFrame:
     """Mann-Whitney U of arm 1 with the rank-biserial effect, and the arms' sizes and medians; from average ranks by window."""
     known = rows.where(F.col(value).isNotNull() & F.col(arm).isNotNull())

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from carrierscan.config import StudyConfig
 from carrierscan.functions import expressions as X
-from carrierscan.operators import cohorts, genotypes, scans, statistics
-from carrierscan.plans import pipelines, study
+from carrierscan.operators import annotation, cohorts, genotypes, scans, statistics
+from carrierscan.plans import pipelines, state, study
 from carrierscan.plans.study import SQL, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,7 +55,7 @@ _RANKED = f"""
 """
 )
 def onset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Medians of both arms, their difference, rank-sum statistic and effect, per variant."""
+    """Medians of both arms, their difference, rank-sum statistic and effect, per variant."""
     out = statistics.onset_summary(study.analysis(spark, sf_dir), "y", "v", ["variant"])
     out = rounded(out, 4, "median_carrier", "median_noncarrier", "delta_median")
     return rounded(out, 6, "effect_size").select("variant", "n_carrier", "n_noncarrier", "median_carrier", "median_noncarrier", "delta_median", "u_stat", "effect_size")
@@ -70,7 +70,7 @@ def onset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 """
 )
 def onset_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Medians by exposure stratum."""
+    """Medians by exposure stratum."""
     rows = study.analysis(spark, sf_dir).where("y is not null").withColumn("stratum", F.when(F.col("e") > 0, "exposed").otherwise("not_exposed"))
     m = lambda a: F.median(F.when(F.col("v") == a, F.col("y")))
     out = rows.groupBy("variant", "stratum").agg(F.count(F.when(F.col("v") == 1, 1)).alias("n_carrier"), F.count(F.when(F.col("v") == 0, 1)).alias("n_noncarrier"), m(1).alias("median_carrier"), m(0).alias("median_noncarrier"))
@@ -187,29 +187,64 @@ _SUPPLIER = """
 """
 
 
-@query(
-    f"""
-    WITH {_SUPPLIER}, p AS (
+_KINSHIP = """
+    p AS (
         SELECT a.sample_id AS id1, b.sample_id AS id2, count(*) AS n_snp, count(*) FILTER (a.dosage = 1 AND b.dosage = 1) AS het_het, count(*) FILTER (abs(a.dosage - b.dosage) = 2) AS ibs0,
             CAST(count(*) FILTER (a.dosage = 1) AS DOUBLE) AS h1, CAST(count(*) FILTER (b.dosage = 1) AS DOUBLE) AS h2
         FROM cells a JOIN cells b ON a.variant = b.variant AND a.sample_id < b.sample_id GROUP BY 1, 2
     ), k AS (SELECT *, CASE WHEN least(h1, h2) > 0 THEN (het_het - 2 * ibs0) / (2 * least(h1, h2)) + 0.5 - (h1 + h2) / (4 * least(h1, h2)) END AS phi FROM p)
+"""
+
+
+def _kinship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = genotypes.king_kinship(_supplier_cells(spark, sf_dir))
+    return out.withColumns({"class": X.kinship_class(F.col("kinship")), "pi_hat": 2 * F.col("kinship")})
+
+
+@query(
+    f"""
+    WITH {_SUPPLIER}, {_KINSHIP}
     SELECT id1, id2, n_snp, het_het, ibs0, round(phi, 6) AS kinship,
         CASE WHEN phi IS NULL THEN NULL WHEN phi >= 0.354 THEN 'duplicate' WHEN phi >= 0.177 THEN 'first' WHEN phi >= 0.0884 THEN 'second' WHEN phi >= 0.0442 THEN 'third' ELSE 'unrelated' END AS class, round(2 * phi, 6) AS pi_hat
     FROM k
 """
 )
 def kinship_king(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kinship of all pairs with its class."""
-    out = genotypes.king_kinship(_supplier_cells(spark, sf_dir))
-    return rounded(out.withColumns({"class": X.kinship_class(F.col("kinship")), "pi_hat": 2 * F.col("kinship")}), 6, "kinship", "pi_hat")
+    """Kinship of all pairs with its class."""
+    return rounded(_kinship(spark, sf_dir), 6, "kinship", "pi_hat")
+
+
+@query(
+    f"""
+    WITH {_SUPPLIER}, {_KINSHIP}, b AS (SELECT s_suppkey AS sample_id, s_nationkey AS batch FROM supplier WHERE s_suppkey % 9 <> 0)
+    SELECT id1, id2, b1.batch AS batch1, b2.batch AS batch2, coalesce(b1.batch = b2.batch, false) AS same_batch FROM k LEFT JOIN b b1 ON b1.sample_id = id1 LEFT JOIN b b2 ON b2.sample_id = id2
+"""
+)
+def kinship_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pair's batches, and whether they are one."""
+    batches = table(spark, sf_dir, "supplier").where("s_suppkey % 9 <> 0").select(F.col("s_suppkey").alias("sample_id"), F.col("s_nationkey").alias("batch"))
+    return cohorts.same_batch(_kinship(spark, sf_dir).select("id1", "id2"), batches)
+
+
+@query(
+    f"""
+    WITH {_SUPPLIER}, {_KINSHIP}, c AS (SELECT count(*) AS n_pairs, count(*) FILTER (2 * phi > 0.125) AS n_above, count(*) FILTER (2 * phi > 0.125 AND 2 * phi <= 0.9) AS n_related, count(*) FILTER (2 * phi > 0.9) AS n_copies FROM k)
+    SELECT *, round(100.0 * n_above / n_pairs, 6) AS pct_above, 100.0 * n_above / n_pairs >= 1.0 AS needs_model FROM c
+"""
+)
+def relatedness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on relatedness over all pairs."""
+    return rounded(cohorts.relatedness_verdict(_kinship(spark, sf_dir)), 6, "pct_above")
 
 
 @query(
     f"""
     WITH {_SUPPLIER}
-    SELECT a.variant AS v1, b.variant AS v2, round(corr(a.dosage, b.dosage) * corr(a.dosage, b.dosage), 6) AS r2
-    FROM cells a JOIN cells b ON a.sample_id = b.sample_id AND a.variant < b.variant AND b.variant - a.variant <= 10 GROUP BY 1, 2
+    , s AS (
+        SELECT a.variant AS v1, b.variant AS v2, count(*) AS n, sum(a.dosage) AS x, sum(b.dosage) AS y, sum(a.dosage * a.dosage) AS xx, sum(b.dosage * b.dosage) AS yy, sum(a.dosage * b.dosage) AS xy
+        FROM cells a JOIN cells b ON a.sample_id = b.sample_id AND a.variant < b.variant AND b.variant - a.variant <= 10 GROUP BY 1, 2
+    )
+    SELECT v1, v2, round(CAST(n * xy - x * y AS DOUBLE) * CAST(n * xy - x * y AS DOUBLE) / nullif(CAST(n * xx - x * x AS DOUBLE) * CAST(n * yy - y * y AS DOUBLE), 0), 6) AS r2 FROM s
 """
 )
 def ld_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +304,7 @@ def variant_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 """
 )
 def scalar_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encodings, keywords, slugs, splits."""
+    """Encodings, keywords, slugs, splits."""
     sex = F.when(F.col("o_orderstatus") == "F", "F").otherwise("M")
     p = "o_orderpriority"
     return table(spark, sf_dir, "orders").select(
@@ -287,7 +322,7 @@ def scalar_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 """
 )
 def missing_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Missing marks, dosage range, both carrier rules, boolean words."""
+    """Missing marks, dosage range, both carrier rules, boolean words."""
     k = F.col("event_id")
     raw = F.when(k % 11 == 0, ".").when(k % 13 == 0, "NaN").when(k % 17 == 0, "-1").otherwise((k % 4).cast("string"))
     value = F.when(X.number(raw) >= 0, X.number(raw))
@@ -361,13 +396,14 @@ def genomic_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-    WITH {SQL}, a AS (SELECT variant, avg(e) FILTER (v = 1) AS e1, avg(e) FILTER (v = 0) AS e0, var_samp(e) FILTER (v = 1) AS ve1, var_samp(e) FILTER (v = 0) AS ve0,
-        avg(n_orders) FILTER (v = 1) AS o1, avg(n_orders) FILTER (v = 0) AS o0, var_samp(n_orders) FILTER (v = 1) AS vo1, var_samp(n_orders) FILTER (v = 0) AS vo0 FROM analysis GROUP BY 1)
-    SELECT variant, round(coalesce(CASE WHEN ve1 + ve0 > 0 THEN abs(e1 - e0) / sqrt((ve1 + ve0) / 2) END, 0), 6) AS smd_e, round(coalesce(CASE WHEN vo1 + vo0 > 0 THEN abs(o1 - o0) / sqrt((vo1 + vo0) / 2) END, 0), 6) AS smd_n_orders FROM a
+    WITH {SQL}, a AS (SELECT variant, count(*) FILTER (v = 1) AS n1, count(*) FILTER (v = 0) AS n0, avg(e) FILTER (v = 1) AS e1, avg(e) FILTER (v = 0) AS e0, var_samp(e) FILTER (v = 1) AS ve1, var_samp(e) FILTER (v = 0) AS ve0,
+        avg(n_orders) FILTER (v = 1) AS o1, avg(n_orders) FILTER (v = 0) AS o0, var_samp(n_orders) FILTER (v = 1) AS vo1, var_samp(n_orders) FILTER (v = 0) AS vo0 FROM analysis GROUP BY 1),
+    s AS (SELECT *, sqrt(((n1 - 1) * ve1 + (n0 - 1) * ve0) / greatest(n1 + n0 - 2, 1)) AS se, sqrt(((n1 - 1) * vo1 + (n0 - 1) * vo0) / greatest(n1 + n0 - 2, 1)) AS so FROM a)
+    SELECT variant, round(coalesce(CASE WHEN se > 0 THEN abs(e1 - e0) / se END, 0), 6) AS smd_e, round(coalesce(CASE WHEN so > 0 THEN abs(o1 - o0) / so END, 0), 6) AS smd_n_orders FROM s
 """
 )
 def smd_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M3: standardised mean differences of covariates between arms."""
+    """M3: standardised mean differences of numeric covariates between arms."""
     return rounded(statistics.balance(study.analysis(spark, sf_dir), "v", ["e", "n_orders"], ["variant"]), 6, "smd_e", "smd_n_orders")
 
 
@@ -527,7 +563,7 @@ def whitelist_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SQL} SELECT s.sample_id, s.cohort, round(y * n_orders, 2) AS total, n_name AS nation_name, r_name AS region FROM samples s JOIN nation ON n_nationkey = nation JOIN region ON r_regionkey = n_regionkey WHERE cohort IN ('BUILDING', 'MACHINERY')")
 def cohort_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples of cohorts with their covariates."""
+    """Samples of cohorts with their metadata."""
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("nation_name"), F.col("r_name").alias("region"))
     rows = study.samples(spark, sf_dir).where(F.col("cohort").isin("BUILDING", "MACHINERY")).join(nations, "nation")
     return rows.select("sample_id", "cohort", F.round(F.col("y") * F.col("n_orders"), 2).alias("total"), "nation_name", "region")
@@ -612,7 +648,7 @@ def first_wins_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS groups FROM events GROUP BY 1 HAVING count(DISTINCT event_type) > 1")
 def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids in more than one group."""
+    """Ids in more than one group."""
     return cohorts.duplicated(table(spark, sf_dir, "events"), "user_id", "event_type").select("user_id", F.array_join("groups", ",").alias("groups"))
 
 
@@ -625,14 +661,14 @@ def top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH r AS (SELECT p_brand, p_partkey, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey DESC) AS k FROM part) SELECT p_brand, p_partkey, round(p_retailprice, 2) AS p_retailprice FROM r WHERE k = 1")
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best-scored entry of each group."""
+    """The best-scored entry of each group."""
     best = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.max(F.struct("p_retailprice", "p_partkey")).alias("b"))
     return best.select("p_brand", F.col("b.p_partkey").alias("p_partkey"), F.round("b.p_retailprice", 2).alias("p_retailprice"))
 
 
 @query("SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT' EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '5-LOW'")
 def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of one set that another lacks."""
+    """Ids of one set that another lacks."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderpriority")
     return orders.where("o_orderpriority = '1-URGENT'").select("k").distinct().join(orders.where("o_orderpriority = '5-LOW'"), "k", "left_anti")
 
@@ -688,11 +724,164 @@ def manhattan_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 """
 )
 def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed fields of captured JSON."""
+    """Typed fields of JSON text."""
     j = F.from_json("props", "k long")["k"]
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("k"), j.alias("prop"), F.coalesce(j > 50, F.lit(False)).alias("flagged"))
 
 
+@query(
+    f"""
+    WITH {SQL}, c AS (SELECT variant, n_name AS level, count(*) FILTER (v = 1) AS k1, count(*) FILTER (v = 0) AS k0 FROM analysis JOIN nation ON n_nationkey = nation GROUP BY 1, 2),
+    t AS (SELECT *, sum(k1) OVER w AS n1, sum(k0) OVER w AS n0, min(level) OVER w AS first_level FROM c WINDOW w AS (PARTITION BY variant)),
+    p AS (SELECT *, CAST(k1 AS DOUBLE) / nullif(n1, 0) AS p1, CAST(k0 AS DOUBLE) / nullif(n0, 0) AS p0, CAST(k1 + k0 AS DOUBLE) / (n1 + n0) AS pp FROM t)
+    SELECT variant, level, round(coalesce(CASE WHEN pp * (1 - pp) > 0 THEN abs(p1 - p0) / sqrt(pp * (1 - pp)) END, 0), 6) AS smd FROM p WHERE level <> first_level
+"""
+)
+def smd_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3: standardised differences of a category's levels between arms."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), "n_name")
+    return rounded(statistics.level_balance(study.analysis(spark, sf_dir).join(nations, "nation"), "v", "n_name", ["variant"]), 6, "smd")
+
+
+@query(
+    """
+    SELECT o_orderkey AS k, CAST(o_orderpriority = '2-HIGH' AS DOUBLE) AS d_high, CAST(o_orderpriority = '3-MEDIUM' AS DOUBLE) AS d_medium, CAST(o_orderpriority = '4-NOT SPECIFIED' AS DOUBLE) AS d_none, CAST(o_orderpriority = '5-LOW' AS DOUBLE) AS d_low FROM orders
+"""
+)
+def dummy_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text covariate as 0/1 columns, the first level dropped."""
+    rows, names = statistics.dummies(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("p")), ["p"])
+    return rows.select("k", *[F.col(f"`{n}`").alias(x) for n, x in zip(names, ("d_high", "d_medium", "d_none", "d_low"), strict=True)])
+
+
+@query(
+    f"""
+    WITH {SQL} SELECT variant, dosage AS genotype, count(y) AS n, CASE WHEN regr_sxx(y, e) > 0 THEN round(regr_slope(y, e), 4) END AS slope, CASE WHEN regr_sxx(y, e) > 0 THEN round(regr_intercept(y, e), 3) END AS intercept,
+        round(quantile_cont(y, 0.25), 7) AS q1, round(quantile_cont(y, 0.5), 7) AS median, round(quantile_cont(y, 0.75), 7) AS q3 FROM analysis GROUP BY 1, 2
+"""
+)
+def genotype_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H5: lines and boxes of the phenotype for each genotype of a variant."""
+    out = statistics.genotype_fits(study.analysis(spark, sf_dir), "y", "e", "dosage", ["variant"])
+    return rounded(rounded(rounded(out, 4, "slope"), 7, "q1", "median", "q3"), 3, "intercept")
+
+
+@query(
+    """
+    WITH p AS (SELECT CAST(p_size % 2 AS DOUBLE) AS odd, CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_partkey % 3 = 0 AS DOUBLE) END AS third FROM part)
+    SELECT 'odd' AS "column", round(avg(odd), 8) AS mean, count(odd) AS n, 'binary' AS mode FROM p UNION ALL SELECT 'third', round(avg(third), 8), count(third), 'binary' FROM p
+"""
+)
+def pooled_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of columns, with the kind of their values."""
+    rows = table(spark, sf_dir, "part").select((F.col("p_size") % 2).alias("odd"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_partkey") % 3 == 0).alias("third"))
+    return rounded(cohorts.pooled_means(rows, ["odd", "third"]), 8, "mean")
+
+
+@query(
+    f"""
+    WITH {_RESULTS}, t AS (SELECT DISTINCT p_size AS variant, p_size % 2 AS exposure FROM part)
+    SELECT t.variant, t.exposure, round(empirical_p, 8) AS p, r.variant IS NOT NULL AS tested, coalesce(empirical_p <= 0.3, false) AS detected
+    FROM t LEFT JOIN (SELECT * FROM res WHERE cohort = 1) r ON r.variant = t.variant AND r.exposure = t.exposure
+"""
+)
+def truth_recap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """True effects with what the scan found of them."""
+    truth = table(spark, sf_dir, "part").select(F.col("p_size").alias("variant"), (F.col("p_size") % 2).alias("exposure")).distinct()
+    return rounded(cohorts.truth_recap(truth, _results(spark, sf_dir).where("cohort = 1"), ["variant", "exposure"], "empirical_p", 0.3), 8, "p")
+
+
+@query(f"WITH {_RESULTS} SELECT variant, exposure, cohort, round(empirical_p, 8) AS empirical_p FROM res WHERE variant IN (SELECT p_size FROM part WHERE p_size % 3 = 0)")
+def downstream_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U8: rows of later stages whose variant is still a candidate."""
+    candidates = table(spark, sf_dir, "part").where("p_size % 3 = 0").select(F.col("p_size").alias("variant"))
+    return rounded(state.without_orphans(_results(spark, sf_dir), candidates), 8, "empirical_p").select("variant", "exposure", "cohort", "empirical_p")
+
+
+def _parts_of_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Environment, cohort map and principal components as three tables; the map lacks some samples and the components others."""
+    people = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "sample_id")
+    pcs = table(spark, sf_dir, "orders").where("o_custkey % 11 <> 0").groupBy(F.col("o_custkey").alias("sample_id")).agg(F.count(F.lit(1)).alias("pc1"))
+    return people.select("sample_id", F.col("c_acctbal").alias("e")), people.where("sample_id % 13 <> 0").select("sample_id", F.col("c_mktsegment").alias("cohort")), pcs
+
+
+_PARTS = """
+    m AS (SELECT c_custkey AS sample_id, c_mktsegment AS cohort FROM customer WHERE c_custkey % 13 <> 0),
+    pcs AS (SELECT o_custkey AS sample_id, count(*) AS pc1 FROM orders WHERE o_custkey % 11 <> 0 GROUP BY 1)
+"""
+
+
+@query(f"WITH {_PARTS} SELECT c_custkey AS sample_id, c_acctbal AS e, cohort, pc1 FROM customer JOIN m ON m.sample_id = c_custkey LEFT JOIN pcs ON pcs.sample_id = c_custkey WHERE cohort = 'BUILDING'")
+def cohort_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One cohort's samples by the map, with their components where known."""
+    env, mapping, pcs = _parts_of_samples(spark, sf_dir)
+    return cohorts.with_covariates(cohorts.resolve_cohort(env, mapping, "BUILDING"), pcs)
+
+
+@query(f"WITH {SQL}, {_PARTS} SELECT m.sample_id, variant, dosage, pc1 FROM m JOIN pcs ON pcs.sample_id = m.sample_id JOIN carried c ON c.sample_id = m.sample_id")
+def covariates_with_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples with components, joined with their genotype cells."""
+    _, mapping, pcs = _parts_of_samples(spark, sf_dir)
+    rows = cohorts.with_covariates(mapping, pcs, "inner")
+    return rows.join(study.carried(spark, sf_dir), "sample_id").select("sample_id", "variant", "dosage", "pc1")
+
+
+@query(f"WITH {_PARTS} SELECT count(*) FILTER (c_custkey IN (SELECT sample_id FROM pcs)) AS kept, count(*) FILTER (c_custkey NOT IN (SELECT sample_id FROM pcs)) AS lost FROM customer")
+def lost_and_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many samples an inner join keeps and loses."""
+    env, _, pcs = _parts_of_samples(spark, sf_dir)
+    return cohorts.lost_and_kept(env, pcs, "sample_id")
+
+
+@query(
+    """
+    SELECT s_suppkey AS k, CASE WHEN p IS NULL THEN 'NA' WHEN p < 0.001 THEN printf('%.2e', p) ELSE printf('%.3f', p) END AS p_text,
+        CASE WHEN lower(word) IN ('true', '1', 'yes') THEN 'Yes' WHEN lower(word) IN ('false', '0', 'no') THEN 'No' ELSE word END AS answer
+    FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey / CAST(CASE WHEN s_suppkey % 2 = 0 THEN 7919 ELSE 79190000 END AS DOUBLE) END AS p, CASE s_suppkey % 4 WHEN 0 THEN 'True' WHEN 1 THEN 'no' WHEN 2 THEN '1' ELSE 'unsure' END AS word FROM supplier)
+"""
+)
+def number_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P-values and flags as a report shows them."""
+    k = F.col("s_suppkey")
+    p = F.when(k % 5 != 0, k / F.when(k % 2 == 0, 7919.0).otherwise(79190000.0))
+    word = F.when(k % 4 == 0, "True").when(k % 4 == 1, "no").when(k % 4 == 2, "1").otherwise("unsure")
+    return table(spark, sf_dir, "supplier").select(k.alias("k"), X.p_text(p).alias("p_text"), X.yes_no(word).alias("answer"))
+
+
+@query(
+    """
+    WITH g AS (SELECT s_suppkey AS k, 'G' || s_suppkey AS gene_id, s_nationkey AS n, s_acctbal AS bal FROM supplier),
+    c AS (SELECT 'G' || (c_custkey % 100) AS gene_symbol, bool_or(c_nationkey % 5 = 0) AS has_pesticide, count(DISTINCT c_nationkey % 5) AS n_chemicals FROM customer WHERE c_nationkey % 3 <> 0 AND c_custkey % 100 > 0 GROUP BY 1),
+    d AS (SELECT 'G' || (c_custkey % 50) AS gene_symbol, bool_or(c_nationkey % 2 = 0) AS direct_link, bool_or(c_nationkey % 2 = 1 AND c_nationkey % 5 = 0) AS pesticide_mediated FROM customer WHERE c_nationkey % 4 <> 3 AND c_custkey % 50 > 0 GROUP BY 1)
+    SELECT k, gene_id, CASE WHEN n % 6 <> 0 THEN 'protein_coding' END AS biotype, n % 2 = 0 AND bal > 0 AS in_brain, 'E.' || (k % 30) AS versioned_id, n % 3 = 0 AS in_neurons, n % 4 = 0 AS in_glia,
+        CASE WHEN n % 2 = 1 THEN CAST(k % 4 AS VARCHAR) END AS panel_confidence, CASE WHEN n % 5 < 2 THEN (k % 10) / 10.0::DOUBLE END AS disease_score,
+        coalesce(has_pesticide, false) AS has_pesticide, coalesce(n_chemicals, 0) AS n_chemicals, coalesce(direct_link, false) AS direct_link, coalesce(pesticide_mediated, false) AS pesticide_mediated
+    FROM g LEFT JOIN c ON c.gene_symbol = gene_id LEFT JOIN d ON d.gene_symbol = gene_id
+"""
+)
+def gene_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genes with what captured payloads and toxicogenomics rows say of them."""
+    k, n, bal = F.col("s_suppkey"), F.col("s_nationkey"), F.col("s_acctbal")
+    genes = table(spark, sf_dir, "supplier").withColumn("gene_id", F.concat(F.lit("G"), k))
+
+    def payload(*parts) -> DataFrame:
+        return genes.select("gene_id", F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts]).alias("payload"))
+
+    symbol = annotation.gene_lookup(payload(F.when(n % 6 != 0, "").otherwise("no json "), '{"display_name":"', F.lower("gene_id"), '","biotype":"protein_coding","seq_region_name":"1","id":"x"}'))
+    parts = [
+        annotation.brain_expression(payload('{"data":[{"tissueSiteDetailId":"', F.when(n % 2 == 0, "Brain_Cortex").otherwise("Liver"), '","median":', bal.cast("string"), ',"gencodeId":"E.', (k % 30).cast("string"), '"},{"tissueSiteDetailId":"Lung","median":1,"gencodeId":"E.0"}]}')),
+        annotation.cell_types(payload('{"RNA single cell type specific nCPM":{"', F.when(n % 3 == 0, "Excitatory neurons").otherwise("Hepatocytes"), '":"1","', F.when(n % 4 == 0, "Astrocytes").otherwise("Basal cells"), '":"2"}}')),
+        annotation.panel_confidence(payload('{"results":[{"confidence_level":"', (k % 4).cast("string"), '","panel":{"name":"', F.when(n % 2 == 1, "Adult MND panel").otherwise("Neonatals"), '"}}]}')),
+        annotation.disease_score(payload('{"data":{"target":{"associatedDiseases":{"rows":[{"score":', (k % 10 / 10.0).cast("string"), ',"disease":{"name":"', F.when(n % 5 == 0, "Amyotrophic Lateral Sclerosis").when(n % 5 == 1, "motor neurone disorder").otherwise("flu"), '"}}]}}}}')),
+    ]
+    people, c, cn = table(spark, sf_dir, "customer"), F.col("c_custkey"), F.col("c_nationkey")
+    chemical = F.element_at(F.array(*map(F.lit, ("p,p'-DDT", "Lead", "Zinc", "Arsenic", "Ozone"))), (cn % 5 + 1).cast("int"))
+    chemicals = annotation.chemical_index(people.select(F.when(c % 100 > 0, F.concat(F.lit(" g"), c % 100)).otherwise("").alias("GeneSymbol"), F.when(cn % 3 == 0, "Mus musculus").otherwise("Homo sapiens").alias("Organism"), chemical.alias("ChemicalName"), F.lit("1|2").alias("PubMedIDs")))
+    diseases = annotation.disease_index(people.select(F.when(c % 50 > 0, F.concat(F.lit("G"), c % 50)).otherwise(" ").alias("GeneSymbol"), F.when(cn % 4 == 3, "Influenza").otherwise("Motor Neuron Disease").alias("DiseaseName"), F.when(cn % 2 == 0, "marker").otherwise("").alias("DirectEvidence"), chemical.alias("InferenceChemicalName")))
+    out = annotation.annotate(genes.select("s_suppkey", "gene_id", F.col("gene_id").alias("symbol")), [symbol.drop("symbol"), *parts], chemicals, diseases)
+    return out.select(k.alias("k"), "gene_id", "biotype", "in_brain", "versioned_id", "in_neurons", "in_glia", "panel_confidence", "disease_score", "has_pesticide", F.coalesce(F.size("chemicals"), F.lit(0)).cast("long").alias("n_chemicals"), "direct_link", "pesticide_mediated")
+
+
 @query(f"WITH {SQL}, s AS (SELECT regr_slope(y, e) AS b, regr_intercept(y, e) AS a FROM samples) SELECT sample_id, round(y - a - b * e, 3) AS residual FROM samples, s")
 def residual_phenotype(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Residual of the phenotype on a covariate."""
