@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 def small_batches(spark: SparkSession) -> None:
     """Let Arrow batches hold ``BATCH_BYTES`` where the session has Spark's default: with rows of whole texts, that default takes many times its size in both processes."""
-    if spark.conf.get(BATCH_KEY, "") in ("", "64m", "64MB", "67108864", "67108864b"):
+    if spark.conf.get(BATCH_KEY, "64m") in ("64m", "64MB", "67108864", "67108864b"):
         spark.conf.set(BATCH_KEY, BATCH_BYTES)
 
 
