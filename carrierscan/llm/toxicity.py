@@ -103,7 +103,7 @@ def evidence(n: int, segments: list[float], rate: float, scale: float) -> tuple[
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """Different texts of at most about ``rows`` labelled documents of each class and fold: ``y, fold, text``."""
+    """Different texts of at most about ``rows`` labelled documents of each class and fold: ``y, fold, text``; of copies with several labels and folds, the least."""
     fold = F.pmod(F.xxhash64(F.col(id_col), F.lit(4)), F.lit(2))
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y"), fold.cast("int").alias("fold"))
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -112,7 +112,8 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col
     chosen = materialize(known.where(draw < share), "labels")
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     small = F.broadcast(chosen) if chosen.count() <= 8 * rows else chosen
-    return texts.join(small, "_id").withColumn("_h", F.xxhash64("text")).dropDuplicates(["_h"]).select("y", "fold", "text")
+    once = texts.join(small, "_id").groupBy(F.xxhash64("text")).agg(F.min(F.struct("y", "fold", "text")).alias("_one"))
+    return once.select("_one.y", "_one.fold", "_one.text")
 
 
 def _odds(counts: DataFrame, totals: dict[tuple[int, int], int], folds: tuple[int, ...]) -> dict[str, float]:
