@@ -451,7 +451,7 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     Documents link when intersection times ``den`` is at least ``num`` times union of their sets of ``words``-word shingles. ``component_id`` is the smallest
     id that links reach. Null, empty and blank texts have no shingles, link with nothing and are their own component. Equal sets are one class, met once;
     rows that repeat an id are in the component of their own text. Shingles and sets are told apart by
-    hashes (a set's has 55 bits beside its size's level, a shingle's 56 in comparisons). No pair of classes that could link is left out.
+    hashes (a set's has 55 bits beside its size's level, a shingle's 51 to 56 in comparisons, by the number of buckets). No pair of classes that could link is left out.
     """
     spark = docs.sparkSession
     table = materialize(_documents(docs, words, id_col, text_col), "shingled")
