@@ -25,6 +25,8 @@ LEVELS_PER_DOUBLING, MOST_LEVEL = 4, 127
 STAR_ROUNDS = 4
 #: Pairs left for each prefix token, from which another star round pays.
 PAIRS_LEFT = 2
+#: Share of the pairs left that a star round must have settled for another one to pay.
+SETTLED = 0.25
 #: Depth of the suffix filter.
 SUFFIX_DEPTH = 3
 #: Text bytes that are hashed at once.
@@ -396,13 +398,13 @@ def link_classes(sets: DataFrame, num: int, den: int) -> DataFrame:
 
     Classes meet on prefix tokens under the length and positional filters. In star rounds each token's classes are compared with one
     of them only, unless both are already in one component; which loses nothing, since pairs left out are linked
-    through others. When few pairs between components are left, all of those are compared. Each pair is verified once.
+    through others. When few pairs between components are left, or a round has settled few of them, all of those are compared. Each pair is verified once.
     """
     prefix = materialize(_prefix_rows(sets), "prefix")
     shared = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     prefix = materialize(prefix.join(shared.drop("k"), "token"), "prefix")
     rows = prefix.count()
-    links = tested = joined = None
+    links = tested = joined = before = None
     for turn in range(STAR_ROUNDS + 1):
         if joined is None:
             placed = prefix.withColumns({"comp": F.col("class"), "rank": F.xxhash64("class")})
@@ -416,7 +418,8 @@ def link_classes(sets: DataFrame, num: int, den: int) -> DataFrame:
             left = split.agg(F.sum(F.col("k") * F.col("k") - F.col("kk")) / 2).head()[0] or 0
             if not left:
                 break
-            last = left <= PAIRS_LEFT * rows or turn == STAR_ROUNDS
+            last = left <= PAIRS_LEFT * rows or turn == STAR_ROUNDS or (before is not None and left > (1 - SETTLED) * before)
+            before = left
             placed = placed.join(split.select("token"), "token")
             prefix = placed.drop("comp", "rank")
         if last:
