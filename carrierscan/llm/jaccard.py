@@ -324,21 +324,22 @@ def _prefix_rows(sets: DataFrame) -> DataFrame:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``class, comp`` of every end of ``edges`` (``u, v``): the smallest end reachable, by alternating large and small stars."""
 
-    def stored(df: DataFrame) -> tuple[DataFrame, tuple]:
+    def stored(df: DataFrame) -> tuple[DataFrame, bool]:
+        """The edges, and whether they are stars: every upper end has one edge and is no lower end."""
         rows = materialize(df.where("u != v").distinct(), name)
-        return rows, tuple(rows.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).head())
+        ends = rows.select(F.col("u").alias("end"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(rows.select(F.col("v").alias("end"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        unsettled = ends.groupBy("end").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1")
+        return rows, unsettled.agg(F.count(F.lit(1))).head()[0] == 0
 
-    edges, mark = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-    while True:
+    edges, stars = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    while not stars:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges, now = stored(small)
-        if now == mark:
-            return edges.select(F.col("u").alias("class"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("class"), F.col("v").alias("comp")).distinct())
-        mark = now
+        edges, stars = stored(small)
+    return edges.select(F.col("u").alias("class"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("class"), F.col("v").alias("comp")).distinct())
 
 
 def _suffix_bound(x: np.ndarray, y: np.ndarray, most: int, depth: int) -> int:
