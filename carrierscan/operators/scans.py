@@ -268,6 +268,19 @@ def binomial_tails(rows: DataFrame, k: str, n: str, p: str, out: str = "binom_p"
     return rows.withColumn(out, tail(F.col(k).cast("long"), F.col(n).cast("long"), F.col(p).cast("double")))
 
 
+def table_p(tests: DataFrame, out: str = "p") -> DataFrame:
+    """The p of each row of ``statistics.table_test``; null where there is no statistic."""
+
+    @F.pandas_udf("double")
+    def p_of(test, statistic, dof, a, b, c, d):
+        import pandas as pd
+
+        cells = zip(test, statistic, dof, a, b, c, d, strict=True)
+        return pd.Series([None if x != x else D.fisher_exact(*map(int, four)) if t == "fisher" else D.chi2_sf(float(x), float(n)) for t, x, n, *four in cells], dtype="float64")
+
+    return tests.withColumn(out, p_of("test", "statistic", "dof", "a", "b", "c", "d"))
+
+
 def residualize(samples: DataFrame, y: str, covariates: list[str], out: str = "residual") -> DataFrame:
     """Residual of ``y`` on a constant and covariates over complete rows; null elsewhere.
 

@@ -41,6 +41,45 @@ def level_balance(rows: DataFrame, arm: str, column: str, by: list[str]) -> Data
     return out.where("level != _first").select(*by, "level", "smd")
 
 
+def table_test(rows: DataFrame, arm: str, column: str, by: list[str]) -> DataFrame:
+    """The descriptive test of a category between arms 1 and 0: ``n_levels, least, test, statistic, dof`` and the cells ``a, b, c, d`` of a two by two table.
+
+    Two levels with a cell under five ask for Fisher's exact test; other tables for chi-square, with Yates' correction for two by two.
+    Rows without a level take no part; an empty arm or a single level has a null statistic.
+    """
+    cells = rows.where(F.col(arm).isin(0, 1) & F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("_level")).agg(F.count(F.when(F.col(arm) == 1, 1)).alias("_k1"), F.count(F.when(F.col(arm) == 0, 1)).alias("_k0"))
+    group = Window.partitionBy(*by)
+    n, share = F.col("_k1") + F.col("_k0"), F.try_divide(F.sum("_k1").over(group), F.sum(F.col("_k1") + F.col("_k0")).over(group))
+    cells = cells.withColumns({"_n": n, "_p": share, "_off": F.abs(F.col("_k1") - n * share)})
+    edge = F.struct("_level", "_k1", "_k0")
+    table = cells.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_levels"), F.min(F.least("_k1", "_k0")).alias("least"), F.first("_p").alias("_p"), F.max("_off").alias("_off"),
+        F.sum(F.col("_off") * F.col("_off") / F.col("_n")).alias("_sum"), F.sum(1 / F.col("_n")).alias("_inverse"), F.min(edge).alias("_low"), F.max(edge).alias("_high"),
+    )
+    off = F.greatest(F.col("_off") - 0.5, F.lit(0.0))
+    square = F.when(F.col("n_levels") == 2, off * off * F.col("_inverse")).otherwise(F.col("_sum"))
+    two = F.col("n_levels") == 2
+    found = {
+        "test": F.when(two & (F.col("least") < 5), "fisher").otherwise("chi2"),
+        "statistic": F.when(F.col("n_levels") > 1, F.try_divide(square, F.col("_p") * (1 - F.col("_p")))),
+        "dof": F.col("n_levels") - 1,
+        **{name: F.when(two, F.col(at)) for name, at in (("a", "_low._k1"), ("b", "_low._k0"), ("c", "_high._k1"), ("d", "_high._k0"))},
+    }
+    return table.withColumns(found).select(*by, "n_levels", "least", "test", "statistic", "dof", "a", "b", "c", "d")
+
+
+def welch_test(rows: DataFrame, value: str, arm: str, by: list[str]) -> DataFrame:
+    """``t, df, d`` of the arms' means (1 less 0) with unequal variances; ``d`` is the difference in pooled standard deviations. Null where an arm has under two values or none differ."""
+    x = {a: F.when(F.col(arm) == a, F.col(value)) for a in (1, 0)}
+    out = rows.groupBy(*by).agg(*[f(x[a]).alias(f"_{name}{a}") for a in (1, 0) for name, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
+    n1, n0, v1, v0 = F.col("_n1"), F.col("_n0"), F.col("_v1"), F.col("_v0")
+    e1, e0, gap = F.try_divide(v1, n1), F.try_divide(v0, n0), F.col("_m1") - F.col("_m0")
+    known = (n1 > 1) & (n0 > 1) & (e1 + e0 > 0)
+    pooled = F.sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2))
+    found = {"t": gap / F.sqrt(e1 + e0), "df": (e1 + e0) * (e1 + e0) / (e1 * e1 / (n1 - 1) + e0 * e0 / (n0 - 1)), "d": gap / pooled}
+    return out.select(*by, n1.alias("n1"), n0.alias("n0"), *[F.when(known, c).alias(k) for k, c in found.items()])
+
+
 def dummies(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
     """Text columns as one 0/1 column for each level but the first in order, and the new names; a gap has 0 in all. Numeric columns stay. The driver gets the levels' names."""
     kinds = dict(rows.dtypes)

@@ -77,6 +77,43 @@ def onset_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, 4, "median_carrier", "median_noncarrier")
 
 
+@query(_RANKED.replace("y IS NOT NULL", "y IS NOT NULL AND e > 0") + "SELECT variant, n1 AS n_carrier, n0 AS n_noncarrier, CASE WHEN n1 >= 5 AND n0 >= 5 THEN r1 - n1 * (n1 + 1) / 2.0 END AS u_stat, CASE WHEN n1 >= 5 AND n0 >= 5 THEN round(1 - 2 * (r1 - n1 * (n1 + 1) / 2.0) / (n1 * n0), 6) END AS effect_size FROM u")
+def near_stratum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank-sum statistic of carriers against others among exposed samples only; no p."""
+    out = statistics.onset_summary(study.analysis(spark, sf_dir).where("e > 0"), "y", "v", ["variant"])
+    return rounded(out, 6, "effect_size").select("variant", "n_carrier", "n_noncarrier", "u_stat", "effect_size")
+
+
+@query(
+    f"""
+    WITH {SQL}, k AS (SELECT variant, dosage, count(*) FILTER (cohort = 'BUILDING') AS k1, count(*) FILTER (cohort = 'MACHINERY') AS k0 FROM analysis WHERE cohort IN ('BUILDING', 'MACHINERY') GROUP BY 1, 2),
+    c AS (SELECT *, sum(k1) OVER (PARTITION BY variant) AS t1, sum(k0) OVER (PARTITION BY variant) AS t0, count(*) OVER (PARTITION BY variant) AS l FROM k),
+    e AS (SELECT *, CAST((k1 + k0) * t1 AS DOUBLE) / (t1 + t0) AS e1, CAST((k1 + k0) * t0 AS DOUBLE) / (t1 + t0) AS e0 FROM c),
+    o AS (SELECT *, abs(k1 - e1) - CASE WHEN l = 2 THEN least(0.5, abs(k1 - e1)) ELSE 0 END AS off FROM e)
+    SELECT variant, CAST(max(l) AS BIGINT) AS n_levels, CASE WHEN max(l) = 2 AND min(least(k1, k0)) < 5 THEN 'fisher' ELSE 'chi2' END AS test,
+        CASE WHEN max(l) > 1 AND max(t1) > 0 AND max(t0) > 0 THEN round(sum(off * off / nullif(e1, 0) + off * off / nullif(e0, 0)), 5) END AS statistic, CAST(max(l) - 1 AS BIGINT) AS dof
+    FROM o GROUP BY 1
+"""
+)
+def table_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which test a category takes between two cohorts, and its statistic."""
+    rows = study.analysis(spark, sf_dir).where("cohort in ('BUILDING', 'MACHINERY')").withColumn("arm", (F.col("cohort") == "BUILDING").cast("int"))
+    return rounded(statistics.table_test(rows, "arm", "dosage", ["variant"]), 5, "statistic").select("variant", "n_levels", "test", "statistic", "dof")
+
+
+@query(
+    f"""
+    WITH {SQL}, a AS (SELECT variant, count(y) FILTER (v = 1) AS n1, count(y) FILTER (v = 0) AS n0, avg(y) FILTER (v = 1) AS m1, avg(y) FILTER (v = 0) AS m0, var_samp(y) FILTER (v = 1) AS v1, var_samp(y) FILTER (v = 0) AS v0 FROM analysis GROUP BY 1)
+    SELECT variant, n1, n0, CASE WHEN n1 > 1 AND n0 > 1 AND v1 + v0 > 0 THEN round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 5) END AS t,
+        CASE WHEN n1 > 1 AND n0 > 1 AND v1 + v0 > 0 THEN round(pow(v1 / n1 + v0 / n0, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v0 / n0, 2) / (n0 - 1)), 3) END AS df,
+        CASE WHEN n1 > 1 AND n0 > 1 AND v1 + v0 > 0 THEN round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 5) END AS d FROM a
+"""
+)
+def welch_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Welch's statistic, its degrees of freedom and the effect, per variant."""
+    return rounded(rounded(statistics.welch_test(study.analysis(spark, sf_dir), "y", "v", ["variant"]), 5, "t", "d"), 3, "df")
+
+
 @query(f"WITH {SQL} SELECT sample_id, variant, CAST(dosage AS INTEGER) AS dosage FROM dense")
 def geno_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of every sample and variant."""

@@ -8,7 +8,7 @@ import pytest
 
 from carrierscan.functions import distributions as D
 from carrierscan.operators import kernels as K
-from carrierscan.operators import scans
+from carrierscan.operators import scans, statistics
 
 
 def test_distributions_match_the_jvm(spark):
@@ -166,3 +166,24 @@ def test_blocks_over_tasks_give_one_tasks_result(spark):
     checks = {r["variant"]: r for r in scans.permutation_checks(geno, cov, "y", ["e"], ["c"], 1100, absent=0.0).collect()}
     assert checks["1_1_A_G"]["n_perm_valid"] == 1100 and checks["1_1_A_G"]["empirical_pval"] == pytest.approx(1 / 1101)
     assert checks["1_2_A_G"]["levene_p"] > 0.001
+
+
+def test_table_tests_choose_and_give_p(spark):
+    counts = {"few": [[3, 9], [8, 2]], "many": [[12, 30], [25, 14]], "three": [[12, 3], [25, 14], [4, 9]], "single": [[5, 6]], "one_arm": [[5, 0], [7, 0]]}
+    rows = [(name, arm, f"l{i}") for name, cells in counts.items() for i, (one, zero) in enumerate(cells) for arm, k in ((1, one), (0, zero)) for _ in range(k)]
+    rows += [("few", 1, None), ("few", None, "l0")]
+    found = {r["g"]: r for r in scans.table_p(statistics.table_test(spark.createDataFrame(rows, "g string, arm int, level string"), "arm", "level", ["g"])).collect()}
+    assert {g: r["test"] for g, r in found.items()} == {"few": "fisher", "many": "chi2", "three": "chi2", "single": "chi2", "one_arm": "fisher"}
+    assert found["few"]["p"] == pytest.approx(D.fisher_exact(3, 9, 8, 2))
+    for g in ("many", "three"):
+        assert (found[g]["statistic"], found[g]["p"]) == pytest.approx(D.chi2_table(np.array(counts[g])))
+    assert found["single"]["p"] is None and found["one_arm"]["statistic"] is None and found["one_arm"]["p"] is None
+
+
+def test_welch_matches_kernel(spark):
+    x = {1: [1.0, 2.5, 4.0, 9.0], 0: [2.0, 2.0, 7.5, 8.0, 1.5]}
+    rows = [("a", a, v) for a, values in x.items() for v in values] + [("b", 1, 3.0), ("b", 0, 3.0)]
+    found = {r["g"]: r for r in statistics.welch_test(spark.createDataFrame(rows, "g string, arm int, y double"), "y", "arm", ["g"]).collect()}
+    t, p, d = D.welch(np.array(x[1]), np.array(x[0]))
+    assert (found["a"]["t"], D.t_two_sided(found["a"]["t"], found["a"]["df"]), found["a"]["d"]) == pytest.approx((t, p, d))
+    assert found["b"]["t"] is None
