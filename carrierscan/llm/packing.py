@@ -6,14 +6,13 @@ import base64
 import os
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from carrierscan.llm.common import binary_array, materialize, salt, spread, text_slices, whole_row
+from carrierscan.llm.common import binary_array, materialize, release, salt, spread, text_slices, whole_row
 
 CAPACITY = 1024
 #: Characters of one run of white space from which the tokenizer itself takes a text: the faster encoder overflows its stack on runs of about a million.
@@ -24,9 +23,8 @@ RANK_BLOCK = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
-@lru_cache(maxsize=2)
 def _encoders(path: str, ranks: str | None, pattern: str):
-    """A worker's tokenizer, its special strings, and a faster encoder of the same vocabulary where a rank file is given."""
+    """A tokenizer, its special strings, and a faster encoder of the same vocabulary where a rank file is given."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -103,6 +101,9 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
                 ],
                 names=["doc_id", "piece", "start", "length", "ids"],
             )
+        # Encoders are a task's own: an idle worker keeps none of their memory.
+        del encode
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, PIECES)
 
