@@ -96,6 +96,22 @@ def chi2_sf(x: float, df: float) -> float:
     return gamma_q(df / 2, x / 2)
 
 
+#: Values of the smaller arm up to which a rank-sum p without ties is exact.
+EXACT_ARM = 8
+
+
+def rank_sum_exact(u: float, n: int, m: int) -> float:
+    """Two-sided exact p of a rank-sum statistic ``u`` of arms of ``n`` and ``m`` values without ties."""
+    ways = [1] + [0] * (n * m)
+    for i in range(1, n + 1):  # ways that a statistic arises, as coefficients of a Gaussian binomial
+        top = m + i
+        for s in range(n * m, top - 1, -1):
+            ways[s] -= ways[s - top]
+        for s in range(i, n * m + 1):
+            ways[s] += ways[s - i]
+    return min(1.0, 2 * sum(ways[math.ceil(max(u, n * m - u)) :]) / math.comb(n + m, n))
+
+
 def mann_whitney(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """U of ``x``, two-sided p, and rank-biserial effect ``1 - 2U/(nm)``.
 
@@ -107,15 +123,8 @@ def mann_whitney(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     ranks = (np.cumsum(counts) - (counts - 1) / 2)[inverse]
     u = float(ranks[:n].sum() - n * (n + 1) / 2)
     high = max(u, n * m - u)
-    if min(n, m) <= 8 and len(values) == n + m:
-        ways = [1] + [0] * (n * m)
-        for i in range(1, n + 1):  # ways that a statistic arises, as coefficients of a Gaussian binomial
-            top = m + i
-            for s in range(n * m, top - 1, -1):
-                ways[s] -= ways[s - top]
-            for s in range(i, n * m + 1):
-                ways[s] += ways[s - i]
-        p = min(1.0, 2 * sum(ways[math.ceil(high) :]) / math.comb(n + m, n))
+    if min(n, m) <= EXACT_ARM and len(values) == n + m:
+        p = rank_sum_exact(u, n, m)
     else:
         total = n + m
         spread = n * m / 12 * ((total + 1) - float((counts**3 - counts).sum()) / (total * (total - 1)))
@@ -154,3 +163,48 @@ def chi2_table(table: np.ndarray) -> tuple[float, float]:
     df = (table.shape[0] - 1) * (table.shape[1] - 1)
     x = float((off**2 / expected).sum())
     return x, chi2_sf(x, df)
+
+
+#: The published polynomials of the Shapiro-Wilk test, lowest power first. The outer two weights in 1/sqrt(n), then
+#: mean and log deviation of the transformed statistic for 4 to 11 values (in n, with a bound) and for more (in ln n).
+SHAPIRO_LAST = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
+SHAPIRO_SECOND = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+SHAPIRO_FEW = ((-2.273, 0.459), (0.544, -0.39978, 0.025054, -6.714e-4), (1.3822, -0.77857, 0.062767, -0.0020322))
+SHAPIRO_MANY = ((-1.5861, -0.31082, -0.083751, 0.0038915), (-0.4803, -0.082676, 0.0030302))
+#: Values from which the test is done.
+SHAPIRO_LEAST = 8
+
+
+def normal_scores(i, n):
+    """Approximate expected normal order statistics of rank ``i`` among ``n``."""
+    return normal_quantile((np.asarray(i, float) - 0.375) / (np.asarray(n, float) + 0.25))
+
+
+def shapiro_wilk(n: int, score_x: float, score_score: float, low: tuple[float, float], high: tuple[float, float], squares: float) -> tuple[float, float]:
+    """W and p from sums over a sample: of scores times values and of squared scores, the two lowest and two highest values, and the squares about the mean.
+
+    NaN below ``SHAPIRO_LEAST`` values; values that are all equal give 1 and 1.
+    """
+    if n < SHAPIRO_LEAST:
+        return math.nan, math.nan
+    if not squares > 0:
+        return 1.0, 1.0
+
+    def poly(c: tuple[float, ...], x: float) -> float:
+        return float(np.polynomial.polynomial.polyval(x, c))
+
+    second, last = normal_scores([n - 1, n], n)
+    a_last, a_second = (m / math.sqrt(score_score) + poly(c, 1 / math.sqrt(n)) for m, c in ((last, SHAPIRO_LAST), (second, SHAPIRO_SECOND)))
+    inner = (score_score - 2 * last**2 - 2 * second**2) / (1 - 2 * a_last**2 - 2 * a_second**2)
+    outer, next_outer = high[1] - low[0], high[0] - low[1]
+    weighted = a_last * outer + a_second * next_outer + (score_x - last * outer - second * next_outer) / math.sqrt(inner)
+    w = min(1.0, weighted**2 / squares)
+    off = math.log(max(1 - w, 1e-300))
+    if n <= 11:
+        bound = poly(SHAPIRO_FEW[0], n)
+        if off >= bound:
+            return w, 0.0
+        off, mean, sd = -math.log(bound - off), poly(SHAPIRO_FEW[1], n), math.exp(poly(SHAPIRO_FEW[2], n))
+    else:
+        mean, sd = poly(SHAPIRO_MANY[0], math.log(n)), math.exp(poly(SHAPIRO_MANY[1], math.log(n)))
+    return w, float(normal_sf((off - mean) / sd))

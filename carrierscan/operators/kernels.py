@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -23,8 +23,12 @@ def least_squares(x: np.ndarray, y: np.ndarray) -> np.ndarray | None:
     return None if len(y) < x.shape[1] else np.linalg.lstsq(x, y, rcond=None)[0]
 
 
+def all_betas(v: np.ndarray, y: np.ndarray, e: np.ndarray, c: np.ndarray) -> np.ndarray | None:
+    return least_squares(design(v, e, c), y)
+
+
 def interaction_beta(v: np.ndarray, y: np.ndarray, e: np.ndarray, c: np.ndarray) -> float | None:
-    beta = least_squares(design(v, e, c), y)
+    beta = all_betas(v, y, e, c)
     return None if beta is None else float(beta[2 + e.shape[1]])
 
 
@@ -152,14 +156,14 @@ def blocks(count: int) -> list[int]:
     return [min(BLOCK, count - at) for at in range(0, count, BLOCK)]
 
 
-def permuted_betas(v, y, e, c, features, near, settings: ScanSettings, count: int, rng: np.random.Generator, stop_at: float | None = None, observed: float = 0.0) -> np.ndarray:
-    """Interaction coefficients after permuting the arm, matching and fitting anew; stops early where significance is out of reach."""
+def permuted_betas(v, y, e, c, features, near, settings: ScanSettings, count: int, rng: np.random.Generator, stop_at: float | None = None, observed: float = 0.0, fit=interaction_beta) -> np.ndarray:
+    """Coefficients (of the interaction, by default) after permuting the arm, matching and fitting anew; stops early where significance is out of reach."""
     out = []
     for i in range(count):
         w = rng.permutation(v)
         rows = matched_rows(w, features, settings.match_k, near)
         if len(rows) >= settings.min_sample:
-            beta = interaction_beta(w[rows], y[rows], e[rows], c[rows])
+            beta = fit(w[rows], y[rows], e[rows], c[rows])
             if beta is not None:
                 out.append(beta)
         if stop_at is not None and (i + 1) % settings.check_every == 0 and i + 1 < count and out and np.mean(np.abs(out) >= abs(observed)) >= stop_at:
@@ -211,6 +215,22 @@ def heavy_block(v: np.ndarray, y: np.ndarray, e: np.ndarray, c: np.ndarray, sett
     return permuted_betas(*rows, settings, blocks(settings.n_perm_high - settings.n_perm)[block], np.random.default_rng([seed, block]))
 
 
+def coefficient_table(v: np.ndarray, y: np.ndarray, e: np.ndarray, c: np.ndarray, settings: ScanSettings, seed: int) -> list[dict]:
+    """One row for each coefficient of the matched model, with its permutation mean, deviation and p; none where a gate other than that on small effects stops the variant."""
+    rows = gated(v, y, e, c, replace(settings, min_obs_coef=0.0))[1]
+    if rows is None:
+        return []
+    v, y, e, c, features, near = rows
+    matched = matched_rows(v, features, settings.match_k, near)
+    observed = all_betas(v[matched], y[matched], e[matched], c[matched])
+    betas = permuted_betas(*rows, settings, settings.n_perm, np.random.default_rng(seed), fit=all_betas)
+    some = len(betas) > 0
+    return [
+        {"obs": float(b), "perm_mean": float(betas[:, i].mean()) if some else None, "perm_sd": float(betas[:, i].std()) if some else None, "p_emp": float(np.mean(np.abs(betas[:, i]) >= abs(b))) if some else None, "iterations": len(betas)}
+        for i, b in enumerate(observed)
+    ]
+
+
 def summary(observed: float, betas: np.ndarray) -> dict:
     return {"mean_coef": float(betas.mean()), "sd_coef": float(betas.std()), "empirical_p": float(np.mean(np.abs(betas) >= abs(observed))), "iterations": len(betas)}
 

@@ -12,11 +12,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carrierscan.functions.expressions import SEED_MODULUS
 from carrierscan.operators import kernels as K
+from carrierscan.operators import statistics
 from carrierscan.functions import distributions as D
 
 #: Samples of one study whose covariates are broadcast at most (8 bytes each and column).
@@ -281,6 +282,109 @@ def table_p(tests: DataFrame, out: str = "p") -> DataFrame:
     return tests.withColumn(out, p_of("test", "statistic", "dof", "a", "b", "c", "d"))
 
 
+def rank_sum_p(sums: DataFrame, out: str = "p") -> DataFrame:
+    """The two-sided p of each row of ``statistics.rank_sum``: exact for a small arm without ties, else of its ``z``; null where ``z`` is."""
+
+    @F.pandas_udf("double")
+    def p_of(u, n, m, ties, z):
+        import pandas as pd
+
+        rows = zip(u, n, m, ties, z, strict=True)
+        return pd.Series([None if s != s else D.rank_sum_exact(a, int(b), int(c)) if min(b, c) <= D.EXACT_ARM and t == 0 else float(D.normal_two_sided(s)) for a, b, c, t, s in rows], dtype="float64")
+
+    return sums.withColumn(out, p_of("u_stat", "n_carrier", "n_noncarrier", "ties", F.col("z").cast("double")))
+
+
+def normality(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """``n, w, normal_p`` of the Shapiro-Wilk test of each group: order scores by window, then sums, so that no task holds a group's array. Null under eight values; gaps take no part."""
+
+    @F.pandas_udf("double")
+    def score(i, n):
+        import pandas as pd
+
+        return pd.Series(D.normal_scores(i.to_numpy(), n.to_numpy()))
+
+    @F.pandas_udf("w double, p double")
+    def test(n, sx, ss, x1, x2, y2, y1, squares):
+        import pandas as pd
+
+        found = [D.shapiro_wilk(int(k), a, b, (c, d), (e, f), q) if k >= D.SHAPIRO_LEAST else (None, None) for k, a, b, c, d, e, f, q in zip(n, sx, ss, x1, x2, y2, y1, squares, strict=True)]
+        return pd.DataFrame(found, columns=["w", "p"], dtype="float64")
+
+    group = Window.partitionBy(*by)
+    known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
+    ranked = known.withColumns({"_i": F.row_number().over(group.orderBy("_x")), "_n": F.count(F.lit(1)).over(group)}).withColumn("_s", score("_i", "_n"))
+    x = F.col("_x")
+    ends = [F.max(F.when(F.col("_i") == i, x)) for i in (F.lit(1), F.lit(2), F.col("_n") - 1, F.col("_n"))]
+    sums = ranked.groupBy(*by).agg(
+        F.count(x).alias("n"), F.sum(F.col("_s") * x).alias("_sx"), F.sum(F.col("_s") * F.col("_s")).alias("_ss"), *[e.alias(f"_e{i}") for i, e in enumerate(ends)], (F.var_pop(x) * F.count(x)).alias("_q")
+    )
+    return sums.withColumn("_t", test("n", "_sx", "_ss", "_e0", "_e1", "_e2", "_e3", "_q")).select(*by, "n", F.col("_t.w").alias("w"), F.col("_t.p").alias("normal_p"))
+
+
+def numeric_test(rows: DataFrame, value: str, arm: str, by: list[str], alpha: float = 0.05) -> DataFrame:
+    """The descriptive test of a number between arms 1 and 0: ``n1, n0, test, statistic, p``.
+
+    Welch's where neither arm departs from the normal at ``alpha`` (an arm of under eight values does not), else the rank-sum. The
+    test's statistic and p are null where it is undefined; a null in ``by`` has no test.
+    """
+
+    @F.pandas_udf("double")
+    def t_p(t, df):
+        import pandas as pd
+
+        return pd.Series([None if x != x else D.t_two_sided(x, k) for x, k in zip(t, df, strict=True)], dtype="float64")
+
+    rows = rows.where(F.col(arm).isin(0, 1))
+    departs = normality(rows, value, [*by, arm]).groupBy(*by).agg(F.coalesce(F.min("normal_p") <= alpha, F.lit(False)).alias("_departs"))
+    means = statistics.welch_test(rows, value, arm, by)
+    ranks = rank_sum_p(statistics.rank_sum(rows, value, arm, by), "_rank_p").select(*by, "u_stat", "_rank_p")
+    both = means.join(departs, by, "left").join(ranks, by, "left").withColumn("_mean_p", t_p("t", "df"))
+    pick = F.coalesce("_departs", F.lit(False))
+    return both.select(*by, "n1", "n0", F.when(pick, "rank_sum").otherwise("welch").alias("test"), F.when(pick, F.col("u_stat")).otherwise(F.col("t")).alias("statistic"), F.when(pick, F.col("_rank_p")).otherwise(F.col("_mean_p")).alias("p"))
+
+
+#: Shares of the exposure's variance that components explain, above which they belong in the model.
+COMPONENT_BANDS = ((0.10, "main model"), (0.03, "base model"), (0.0, "sensitivity only"))
+
+
+def component_links(rows: DataFrame, exposure: str, components: list[str]) -> DataFrame:
+    """``component, n, r, p`` of each component with the exposure, and the ``joint_r2`` of the exposure on all of them with its ``verdict``.
+
+    Rows with a gap take no part. Correlations come from one aggregate; the driver solves a matrix of components by components.
+    A column that does not vary has null ``r`` and ``p`` and no share in the joint model.
+    """
+    names = [*components, exposure]
+    known = rows.select(*[F.col(c).cast("double").alias(c) for c in names]).dropna()
+    pairs = [(i, j) for j in range(len(names)) for i in range(j)]
+    sums = known.agg(F.count(F.lit(1)).alias("n"), *[F.try_divide(F.covar_pop(names[i], names[j]), F.stddev_pop(names[i]) * F.stddev_pop(names[j])).alias(f"r{i}_{j}") for i, j in pairs]).head()
+    n, last = sums["n"], len(components)
+    corr = np.eye(len(names))
+    for i, j in pairs:
+        r = sums[f"r{i}_{j}"]
+        corr[i, j] = corr[j, i] = np.nan if r is None else r
+    used = [i for i in range(last) if corr[i, last] == corr[i, last]]
+    joint = float(corr[used, last] @ np.linalg.lstsq(corr[np.ix_(used, used)], corr[used, last], rcond=None)[0]) if used else None
+    verdict = None if joint is None else next((name for least, name in COMPONENT_BANDS if joint > least), COMPONENT_BANDS[-1][1])
+    out = []
+    for i, name in enumerate(components):
+        r = float(corr[i, last]) if i in used else None
+        p = None if r is None or n < 3 else 0.0 if abs(r) >= 1 else D.t_two_sided(r * np.sqrt((n - 2) / (1 - r * r)), n - 2)
+        out.append((name, n, r, None if p is None else float(p), joint, verdict))
+    return rows.sparkSession.createDataFrame(out, "component string, n long, r double, p double, joint_r2 double, verdict string")
+
+
+def full_model(geno: DataFrame, cov: Covariates, y: str, exposures: list[str], covariates: list[str], settings: K.ScanSettings, base_seed: int = 42, absent: float = 0.0) -> DataFrame:
+    """Every coefficient of the matched interaction model of each variant: ``term, obs, perm_mean, perm_sd, p_emp`` over ``n_perm`` permutations, without the gate on small effects. A variant that a gate stops has no rows."""
+    terms = ["intercept", "variant", *exposures, *(f"variant:{e}" for e in exposures), *covariates]
+
+    def kernel(label: str, v: np.ndarray, c: Covariates) -> list[dict]:
+        found = K.coefficient_table(_carriers(v), c.values[y], c.stack(exposures), c.stack(covariates), settings, label_seed(label, base_seed))
+        return [{"term": t, **row} for t, row in zip(terms, found, strict=True)] if found else []
+
+    return per_variant(geno, cov, kernel, "variant string, term string, obs double, perm_mean double, perm_sd double, p_emp double, iterations bigint", absent)
+
+
 def residualize(samples: DataFrame, y: str, covariates: list[str], out: str = "residual") -> DataFrame:
     """Residual of ``y`` on a constant and covariates over complete rows; null elsewhere.
 

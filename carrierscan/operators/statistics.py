@@ -102,22 +102,28 @@ def genotype_fits(rows: DataFrame, y: str, x: str, dosage: str, by: list[str]) -
 
 
 def rank_sum(rows: DataFrame, value: str, arm: str, by: list[str]) -> DataFrame:
-    """Mann-Whitney U of arm 1 with the rank-biserial effect, and the arms' sizes and medians; from average ranks by window."""
+    """Mann-Whitney U of arm 1 with the rank-biserial effect, the arms' sizes and medians; from average ranks by window.
+
+    ``ties`` is the sum of the cubes less the counts of equal values, and ``z`` the normal score of the larger U with tie and continuity corrections: 0 at least, and where nothing differs.
+    """
     known = rows.where(F.col(value).isNotNull() & F.col(arm).isNotNull())
-    ranked = known.withColumn("_rank", X.average_rank(F.col(value), *by))
+    ranked = known.withColumns({"_rank": X.average_rank(F.col(value), *by), "_same": F.count(F.lit(1)).over(Window.partitionBy(*by, value))})
     one = F.col(arm) == 1
     sums = ranked.groupBy(*by).agg(
-        F.count(F.when(one, 1)).alias("n_carrier"), F.count(F.when(~one, 1)).alias("n_noncarrier"), F.median(F.when(one, F.col(value))).alias("median_carrier"), F.median(F.when(~one, F.col(value))).alias("median_noncarrier"), F.sum(F.when(one, F.col("_rank"))).alias("_r1")
+        F.count(F.when(one, 1)).alias("n_carrier"), F.count(F.when(~one, 1)).alias("n_noncarrier"), F.median(F.when(one, F.col(value))).alias("median_carrier"), F.median(F.when(~one, F.col(value))).alias("median_noncarrier"), F.sum(F.when(one, F.col("_rank"))).alias("_r1"), F.sum(F.col("_same") * F.col("_same") - 1).alias("ties")
     )
     u = F.col("_r1") - F.col("n_carrier") * (F.col("n_carrier") + 1) / 2.0
-    return sums.withColumns({"u_stat": u, "effect_size": 1 - 2 * u / F.nullif((F.col("n_carrier") * F.col("n_noncarrier")).cast("double"), F.lit(0.0)), "delta_median": F.col("median_carrier") - F.col("median_noncarrier")}).drop("_r1")
+    all_pairs, n = (F.col("n_carrier") * F.col("n_noncarrier")).cast("double"), F.col("n_carrier") + F.col("n_noncarrier")
+    spread = all_pairs / 12 * (n + 1 - F.try_divide(F.col("ties").cast("double"), (n * (n - 1)).cast("double")))
+    score = F.when(all_pairs > 0, F.when(spread > 0, F.greatest(F.lit(0.0), (F.abs(u - all_pairs / 2) - 0.5) / F.sqrt(spread))).otherwise(0.0))
+    return sums.withColumns({"u_stat": u, "effect_size": 1 - 2 * u / F.nullif((F.col("n_carrier") * F.col("n_noncarrier")).cast("double"), F.lit(0.0)), "delta_median": F.col("median_carrier") - F.col("median_noncarrier"), "z": score}).drop("_r1")
 
 
 def onset_summary(rows: DataFrame, value: str, arm: str, by: list[str], least: int = 5, low_power: int = 10) -> DataFrame:
     """``rank_sum`` with statistics null unless both arms have ``least`` rows, and a flag where either has fewer than ``low_power``."""
     out = rank_sum(rows, value, arm, by)
     enough = (F.col("n_carrier") >= least) & (F.col("n_noncarrier") >= least)
-    stats = ("median_carrier", "median_noncarrier", "delta_median", "u_stat", "effect_size")
+    stats = ("median_carrier", "median_noncarrier", "delta_median", "u_stat", "effect_size", "z")
     return out.withColumns({c: F.when(enough, F.col(c)) for c in stats}).withColumn("low_power", (F.col("n_carrier") < low_power) | (F.col("n_noncarrier") < low_power))
 
 

@@ -925,6 +925,35 @@ def residual_phenotype(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scans.residualize(study.samples(spark, sf_dir), "y", ["e"]).select("sample_id", "residual"), 3, "residual")
 
 
+@query(
+    _RANKED
+    + """, t AS (SELECT variant, sum(c * c * c - c) AS ties FROM (SELECT variant, y, count(*) AS c FROM k GROUP BY 1, 2) GROUP BY 1),
+    s AS (SELECT variant, n1, n0, r1 - n1 * (n1 + 1) / 2.0 AS u, CAST(n1 * n0 AS DOUBLE) AS a, n1 + n0 AS n, ties FROM u JOIN t USING (variant)),
+    x AS (SELECT *, a / 12 * (n + 1 - ties / CAST(nullif(n * (n - 1), 0) AS DOUBLE)) AS spread FROM s)
+    SELECT variant, n1 AS n_carrier, n0 AS n_noncarrier, CAST(ties AS BIGINT) AS ties, CASE WHEN a > 0 THEN CASE WHEN spread > 0 THEN round(greatest(0.0, (abs(u - a / 2) - 0.5) / sqrt(spread)), 6) ELSE 0.0 END END AS z FROM x
+"""
+)
+def rank_sum_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normal score of the rank-sum with tie and continuity corrections."""
+    out = statistics.rank_sum(study.analysis(spark, sf_dir), "y", "v", ["variant"])
+    return rounded(out, 6, "z").select("variant", "n_carrier", "n_noncarrier", "ties", "z")
+
+
+@query(
+    f"""
+    WITH {SQL}, k AS (SELECT e, y, n_orders FROM samples WHERE e IS NOT NULL AND y IS NOT NULL AND n_orders IS NOT NULL),
+    c AS (SELECT count(*) AS n, corr(y, e) AS r1, corr(n_orders, e) AS r2, corr(y, n_orders) AS r12 FROM k),
+    j AS (SELECT *, (r1 * r1 + r2 * r2 - 2 * r1 * r2 * r12) / (1 - r12 * r12) AS q FROM c),
+    b AS (SELECT *, CASE WHEN q > 0.10 THEN 'main model' WHEN q > 0.03 THEN 'base model' ELSE 'sensitivity only' END AS verdict FROM j)
+    SELECT 'y' AS component, n, round(r1, 6) AS r, round(q, 6) AS joint_r2, verdict FROM b UNION ALL SELECT 'n_orders', n, round(r2, 6), round(q, 6), verdict FROM b
+"""
+)
+def component_confounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlation of columns with the exposure, what they explain of it together, and the verdict; the p is tested apart."""
+    out = scans.component_links(study.samples(spark, sf_dir), "e", ["y", "n_orders"])
+    return rounded(out, 6, "r", "joint_r2").select("component", "n", "r", "joint_r2", "verdict")
+
+
 def _covariates(spark: SparkSession, sf_dir: str) -> scans.Covariates:
     s = study.samples(spark, sf_dir).withColumns({"y": (F.col("y") - 100000) / 10000, "e": X.standardized(F.col("e")), "n_orders": X.standardized(F.col("n_orders").cast("double"))})
     return scans.Covariates(scans.residualize(s, "y", ["e", "n_orders"]), ["y", "e", "n_orders", "residual"])
@@ -975,3 +1004,23 @@ def enrichment_binomial(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact binomial p of enrichment with adjusted p."""
     out = scans.binomial_tails(enrichment_expected(spark, sf_dir), "n_significant", "n_tested", "p_rate")
     return statistics.benjamini_hochberg(out, "binom_p", ["exposure"], "binom_p_adj")
+
+
+@query()
+def near_stratum_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank-sum of carriers against others among exposed samples only, with its p."""
+    out = statistics.onset_summary(study.analysis(spark, sf_dir).where("e > 0"), "y", "v", ["variant"])
+    return scans.rank_sum_p(out).select("variant", "n_carrier", "n_noncarrier", "u_stat", "effect_size", "p")
+
+
+@query()
+def numeric_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Welch's test or the rank-sum of the phenotype between carriers and others, by the Shapiro-Wilk test of both arms."""
+    return scans.numeric_test(study.analysis(spark, sf_dir), "y", "v", ["variant"])
+
+
+@query()
+def full_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: permutation mean, deviation and p of every coefficient of the matched model."""
+    config = StudyConfig(min_obs_coef=0.1)
+    return scans.full_model(study.carried(spark, sf_dir), _covariates(spark, sf_dir), "y", ["e"], ["n_orders"], pipelines.settings_of(config), absent=0.0)

@@ -48,3 +48,16 @@ class ResultStore:
 def without_orphans(downstream: DataFrame, candidates: DataFrame, key: str = "variant") -> DataFrame:
     """Rows of later stages whose variant is still a candidate."""
     return downstream.join(candidates.select(key).distinct(), key, "left_semi")
+
+
+def export_csv(rows: DataFrame, folder: str, stamp: str) -> DataFrame:
+    """Write ``rows`` as CSV with a header to ``snapshots/<stamp>`` below ``folder``, then as ``latest``; gives the snapshot's rows.
+
+    The work runs once: ``latest`` is a copy of the snapshot. An existing snapshot of that stamp is an error, and stays as it is. Nulls are empty fields, empty texts quoted.
+    """
+    options = {"header": True, "emptyValue": '""', "escape": '"'}
+    snapshot = f"{folder.rstrip('/')}/snapshots/{stamp}"
+    rows.write.options(**options).csv(snapshot)
+    kept = rows.sparkSession.read.schema(rows.schema).options(header=True, escape='"', multiLine=True).csv(snapshot)
+    kept.write.mode("overwrite").options(**options).csv(f"{folder.rstrip('/')}/latest")
+    return kept

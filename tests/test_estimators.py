@@ -187,3 +187,89 @@ def test_welch_matches_kernel(spark):
     t, p, d = D.welch(np.array(x[1]), np.array(x[0]))
     assert (found["a"]["t"], D.t_two_sided(found["a"]["t"], found["a"]["df"]), found["a"]["d"]) == pytest.approx((t, p, d))
     assert found["b"]["t"] is None
+
+
+def shapiro(x):
+    x = np.sort(np.array(x, float))
+    m = D.normal_scores(np.arange(1, len(x) + 1), len(x))
+    return D.shapiro_wilk(len(x), float(m @ x), float(m @ m), tuple(x[:2]), tuple(x[-2:]), float(((x - x.mean()) ** 2).sum()))
+
+
+def test_shapiro_wilk_of_published_samples():
+    weights = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
+    skewed = [0.11, 7.87, 4.61, 10.14, 7.95, 3.14, 0.46, 4.43, 0.21, 4.75, 0.71, 1.52, 3.24, 0.93, 0.42, 4.97, 9.53, 4.55, 0.47, 6.66]
+    assert shapiro(weights) == pytest.approx((0.78881, 0.006704), rel=1e-4)
+    assert shapiro(skewed) == pytest.approx((0.900473, 0.0420897), rel=1e-5)
+    assert np.isnan(shapiro(range(7))[0]) and shapiro([3.0] * 9) == (1.0, 1.0)
+
+
+def test_descriptive_tests_of_numbers(spark):
+    r = np.random.default_rng(5)
+    samples = {
+        "normal": (r.normal(5, 1, 60), r.normal(5.5, 2, 40)),
+        "skewed": (r.exponential(1, 60), r.normal(1, 1, 40)),
+        "ties": (r.integers(0, 3, 50).astype(float), r.integers(0, 4, 30).astype(float)),
+        "exact": (r.normal(0, 1, 7), r.exponential(1, 90) ** 2),
+        "few": (r.normal(0, 1, 3), r.normal(0, 1, 4)),
+        "flat": (np.ones(9), np.ones(10)),
+        "one": (np.ones(1), r.normal(0, 1, 4)),
+    }
+    rows = [(k, a, float(x)) for k, pair in samples.items() for a, arm in zip((1, 0), pair, strict=True) for x in arm]
+    rows += [("normal", 1, None), ("normal", None, 3.0), ("empty", 1, None), ("one arm", 1, 2.0)]
+    df = spark.createDataFrame(rows, "g string, arm int, x double")
+    got = {row["g"]: row for row in scans.numeric_test(df, "x", "arm", ["g"]).collect()}
+    for k, (one, zero) in samples.items():
+        normal = all(len(x) < 8 or shapiro(x)[1] > 0.05 for x in (one, zero))
+        assert got[k]["test"] == ("welch" if normal else "rank_sum")
+        if k in ("flat", "one"):
+            assert got[k]["p"] is None
+            continue
+        want = D.welch(one, zero)[:2] if normal else D.mann_whitney(one, zero)[:2]
+        assert (got[k]["statistic"], got[k]["p"]) == pytest.approx(want, rel=1e-9)
+    assert {got[k]["test"] for k in ("skewed", "ties", "exact")} == {"rank_sum"} and got["normal"]["test"] == "welch"
+    assert (got["normal"]["n1"], got["normal"]["n0"]) == (60, 40) and got["empty"]["p"] is None and got["one arm"]["p"] is None
+    ranks = scans.rank_sum_p(statistics.rank_sum(df, "x", "arm", ["g"]))
+    for row in ranks.where("g in ('normal', 'skewed', 'ties', 'exact', 'few', 'flat')").collect():
+        assert row["p"] == pytest.approx(D.mann_whitney(*samples[row["g"]])[1], rel=1e-9)
+    assert scans.numeric_test(df.limit(0), "x", "arm", ["g"]).count() == 0
+
+
+def test_component_links(spark):
+    r = np.random.default_rng(2)
+    c = r.normal(size=(80, 2))
+    e = c[:, 0] + r.normal(size=80)
+    rows = [(*map(float, x), 7.0, float(y)) for x, y in zip(c, e, strict=True)] + [(None, 1.0, 7.0, 1.0), (1.0, 1.0, 7.0, None)]
+    df = spark.createDataFrame(rows, "pc1 double, pc2 double, same double, e double")
+    got = {x["component"]: x for x in scans.component_links(df, "e", ["pc1", "pc2", "same"]).collect()}
+    x = np.column_stack([np.ones(80), c])
+    off = e - x @ np.linalg.lstsq(x, e, rcond=None)[0]
+    assert got["pc1"]["n"] == 80 and got["same"]["r"] is None and got["same"]["p"] is None
+    assert got["pc1"]["joint_r2"] == pytest.approx(1 - (off @ off) / ((e - e.mean()) ** 2).sum())
+    assert got["pc1"]["verdict"] == "main model"
+    for i, name in enumerate(("pc1", "pc2")):
+        one = np.corrcoef(c[:, i], e)[0, 1]
+        assert got[name]["r"] == pytest.approx(one)
+        assert got[name]["p"] == pytest.approx(D.t_two_sided(one * np.sqrt(78 / (1 - one**2)), 78))
+    assert scans.component_links(df.limit(0), "e", ["pc1"]).head()["r"] is None
+
+
+def test_coefficient_table():
+    v, e, c, y, _ = study()
+    s = K.ScanSettings(n_perm=40, max_smd=1.0, min_obs_coef=1e9)
+    got = K.coefficient_table(v, y, e[:, None], c, s, 3)
+    assert [x["iterations"] for x in got] == [40] * 5 and got == K.coefficient_table(v, y, e[:, None], c, s, 3)
+    features = K.scaled(np.column_stack([e, c]))
+    rows = K.matched_rows(v, features, s.match_k)
+    x = np.column_stack([np.ones(len(rows)), v[rows], e[rows], (v * e)[rows], c[rows]])
+    assert [g["obs"] for g in got] == pytest.approx(np.linalg.lstsq(x, y[rows], rcond=None)[0])
+    r, fits = np.random.default_rng(3), []
+    for _ in range(40):
+        w = r.permutation(v)
+        at = K.matched_rows(w, features, s.match_k)
+        fits.append(np.linalg.lstsq(np.column_stack([np.ones(len(at)), w[at], e[at], (w * e)[at], c[at]]), y[at], rcond=None)[0])
+    fits = np.array(fits)
+    assert [g["perm_mean"] for g in got] == pytest.approx(fits.mean(axis=0))
+    assert [g["perm_sd"] for g in got] == pytest.approx(fits.std(axis=0))
+    assert [g["p_emp"] for g in got] == [np.mean(np.abs(fits[:, i]) >= abs(g["obs"])) for i, g in enumerate(got)]
+    few = np.zeros(len(v))
+    assert K.coefficient_table(few, y, e[:, None], c, s, 3) == []

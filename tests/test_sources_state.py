@@ -131,3 +131,23 @@ def test_streams(spark, tmp_path):
         spark.createDataFrame(rows, "k int, v string").coalesce(1).write.mode("append").parquet(source)
         incremental.append_batches(incremental.stream_results(spark, source, "k int, v string"), target, str(tmp_path / "ck"), ["k"]).awaitTermination()
     assert {(r["k"], r["v"]) for r in incremental.current(spark, target, ["k"]).collect()} == {(1, "x"), (2, "y"), (3, "y")}
+
+
+def test_csv_latest_and_snapshots(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    from carrierscan.plans.state import export_csv
+
+    kind = "variant string, p double, note string"
+    first = [("a", 0.5, 'say "x", twice'), ("b", None, None), ("c", 1e-300, "two\nlines")]
+    got = export_csv(spark.createDataFrame(first, kind), str(tmp_path), "one")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(first, key=str)
+    export_csv(spark.createDataFrame([("d", 1.0, "x")], kind), str(tmp_path), "two")
+
+    def read(name):
+        return sorted(map(tuple, spark.read.schema(kind).options(header=True, escape='"', multiLine=True).csv(f"{tmp_path}/{name}").collect()), key=str)
+
+    assert read("latest") == [("d", 1.0, "x")] and read("snapshots/one") == sorted(first, key=str)
+    with pytest.raises(AnalysisException):
+        export_csv(spark.createDataFrame(first, kind), str(tmp_path), "two")
+    assert read("latest") == [("d", 1.0, "x")]
