@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carrierscan.llm import ann, gif, jaccard, langid, mixing, packing, sharding, toxicity, urlfilter, warc
+from carrierscan.llm import ann, gif, jaccard, langid, lloyd, mixing, packing, pivots, sharding, toxicity, urlfilter, warc, whitening
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -89,13 +89,64 @@ def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_chan_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_hamerly_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_collision_ann, op2_warc_dictionary, op3_bloom_cascade, op4_toxic_segments, op5_best_fit_packing, op6_language_bitmask, op7_gif_frames, op8_prefix_jaccard, op9_histogram_shards, op10_entropy_mix,
+        op11_pivot_topk, op12_chan_whitening, op13_hamerly_codes,
     )
 }
 
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Lloyd rounds as one step of SQL for each: nearest entries by whole-number distances, then floors of means."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+        a{k} AS MATERIALIZED (
+            SELECT r, p, min_by(e, d * {entries} + e) AS e, min(d) AS d FROM (
+                SELECT v.r, v.p, b.e, sum((v.x - b.x) * (v.x - b.x)) AS d FROM v JOIN b{k} b ON v.p = b.p AND v.i = b.i GROUP BY ALL
+            ) GROUP BY ALL
+        )""")
+        if k < rounds:
+            steps.append(f"""
+        b{k + 1} AS MATERIALIZED (
+            SELECT b.p, b.e, b.i, CAST(coalesce(any_value(m.x), any_value(b.x)) AS BIGINT) AS x
+            FROM b{k} b LEFT JOIN (
+                SELECT v.p, a.e, v.i, floor(sum(v.x) / count(*)) AS x FROM v JOIN a{k} a ON v.r = a.r AND v.p = a.p GROUP BY ALL
+            ) m ON b.p = m.p AND b.e = m.e AND b.i = m.i GROUP BY ALL
+        )""")
+    return f"""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda c: CAST(floor(4096 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+        ), v AS MATERIALIZED (
+            SELECT r, (i - 1) // (n // {parts}) AS p, (i - 1) % (n // {parts}) AS i, x FROM (SELECT r, len(x) AS n, unnest(x) AS x, unnest(range(1, len(x) + 1)) AS i FROM kept)
+        ), b0 AS MATERIALIZED (
+            SELECT p, r - 1 AS e, i, x FROM v WHERE r <= {entries}
+        ), {",".join(steps)}, c AS (
+            SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r
+        ), l AS (
+            SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM kept JOIN c USING (r) GROUP BY label
+        )
+        SELECT vec_id, code, error, label_error, (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, i)) FROM b{rounds}) AS codebooks_sha256
+        FROM kept JOIN c USING (r) JOIN l ON kept.label IS NOT DISTINCT FROM l.label
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_dictionary": """
         WITH p AS (
@@ -122,4 +173,15 @@ ORACLE_SQL: dict[str, str] = {
         SELECT u.page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(rverdict, 'allow') AS verdict
         FROM u LEFT JOIN f ON u.page_id = f.page_id AND k = 1
     """,
+    "op11_pivot_topk": """
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: floor(64 * CAST(c AS DOUBLE))) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+        ), s AS (
+            SELECT q.r, q.vec_id AS query_id, v.vec_id, v.r AS other, CAST(list_dot_product(q.x, v.x) AS BIGINT) AS score FROM kept q JOIN kept v ON q.vec_id % 20 = 0 AND v.r <> q.r
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+        QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 20
+    """,
+    "op13_hamerly_codes": _codes_sql(),
 }
