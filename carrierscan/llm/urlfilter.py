@@ -35,7 +35,9 @@ class Level:
 
 def _places(one: np.ndarray, two: np.ndarray, bits: int, probes: int, level: int):
     seed = np.uint64(((level + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1))
-    a, b = mix64(one.view(np.uint64) ^ seed), mix64(two.view(np.uint64) + seed) | np.uint64(1)
+    # The first place depends on both hashes too: later levels have one probe.
+    b = mix64(two.view(np.uint64) + seed)
+    a, b = mix64((one.view(np.uint64) ^ seed) + b), b | np.uint64(1)
     for k in range(probes):
         yield (a + b * np.uint64(k)) % np.uint64(bits)
 
@@ -56,6 +58,11 @@ def candidate_keys(host: Column, path: Column, labels: int, lengths: list[int])
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_sort(keys)["key"])
 
 
+def key_hashes(key: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a key under different seeds: the second starts from the hash of a constant, so neither follows from the other."""
+    return F.xxhash64(key), F.xxhash64(F.lit(1), key)
+
+
 def sized_bits(count: int, rate: float) -> int:
     return max(64, -(-math.ceil(count * -math.log(rate) / math.log(2) ** 2) // 64) * 64)
 
@@ -72,10 +79,9 @@ def set_bits(keys: DataFrame, bits: int, probes: int, level: int) -> Level:
             value = np.bitwise_or.reduceat(np.uint64(1) << (place & np.uint64(63)), first) if len(place) else place
             yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], names=["word", "bits"])
 
-    got = keys.select("_one", "_two").mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
+    got = keys.select("_one", "_two").mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(bits // 64, np.uint64)
-    for r in got:
-        table[r["word"]] = np.uint64(r["bits"] & (2**64 - 1))
+    table[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     return Level(table, probes, level)
 
 
@@ -142,7 +148,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str
     labels, lengths = max(h.count(".") + 1 for _, h, _ in chosen.values()), sorted({len(p) for _, _, p in chosen.values()})
     rows = rows.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), labels, lengths))
     listed = _rules(spark, chosen)
-    hashes = [F.xxhash64("key").alias("_one"), F.xxhash64("key", F.lit(1)).alias("_two")]
+    hashes = [h.alias(n) for h, n in zip(key_hashes(F.col("key")), ("_one", "_two"), strict=True)]
     universe = materialize(rows.select(F.explode("_keys").alias("key")).select(*hashes).distinct(), "universe")
     cascades = {v: build_cascade(universe, listed.where(F.col("_verdict") == v).select(*hashes), most_bytes=most_bytes) for v in ("allow", "block")}
     if any(c is None for c in cascades.values()):
@@ -164,7 +170,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str
         out[first] = place * sign[hits[at]]
         return pa.array(out)
 
-    hashes = [F.transform("_keys", lambda k: F.xxhash64(k)), F.transform("_keys", lambda k: F.xxhash64(k, F.lit(1)))]
+    hashes = [F.transform("_keys", lambda k: key_hashes(k)[0]), F.transform("_keys", lambda k: key_hashes(k)[1])]
     return (
         rows.withColumn("_hit", first_rule(*hashes))
         .withColumns({"rule": F.when(F.col("_hit") != 0, F.get("_keys", F.abs("_hit") - 1)), "verdict": F.when(F.col("_hit") > 0, "allow").when(F.col("_hit") < 0, "block").otherwise(default)})
