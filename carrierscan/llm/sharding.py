@@ -13,6 +13,8 @@ from carrierscan.llm.common import materialize, partitions, salt, whole_row
 
 #: Low bits of a sort key that tell documents with equal texts apart.
 LOW = 24
+#: Rows that agree in text and id are told apart by a number where together they are more than this share of a shard: under a hundred keys for each shard.
+REPEATED = 0.01
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
@@ -92,7 +94,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, tolerance: float = 0.001,
 
     ``size`` is the text's UTF-8 bytes (null: none) plus 8. The sort key is the text's hash, then the id's, so
     copies are neighbours and a large group of copies can still be cut. Keys and sizes alone are probed; whole rows move
-    once, by shard and salt. Slots are gapless from 0. Rows that agree in id and text have one key and stay together.
+    once, by shard and salt. Slots are gapless from 0. Rows that agree in id and text have one key and stay together, unless they are many: then a number of their own tells them apart.
     An empty table gives an empty result. Null ids are ids like others. Columns named ``size, shard, slot`` in upper or lower case are replaced; any other names are kept.
     """
     spark = docs.sparkSession
@@ -101,6 +103,13 @@ def shard_documents(docs: DataFrame, shards: int = 24, tolerance: float = 0.001,
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 8
     rows = docs.select(whole_row(docs, ("size", "shard", "slot")), F.col(id_col).alias("_id"), key.alias("_key"), size.alias("_size"))
     keyed = materialize(rows.select("_key", "_size"), "keys")
+    heavy = [r["_key"] for r in keyed.groupBy("_key").agg(F.sum("_size").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1").join(keyed.agg(F.sum("_size").alias("all"))).where(F.col("n") > F.col("all") * (REPEATED / shards)).select("_key").collect()]
+    if heavy:
+        # Written once, so that all passes see the same numbers.
+        own = F.col("_key").bitwiseAND(F.lit(~low)).bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit(low)))
+        repeats = materialize(rows.where(F.col("_key").isin(heavy)).withColumn("_key", own), "repeated")
+        rows = rows.where(~F.col("_key").isin(heavy)).unionByName(repeats)
+        keyed = materialize(rows.select("_key", "_size"), "keys")
     cuts = splitters(keyed, shards, tolerance)
     salts = max(-(-4 * partitions(spark) // shards), -(-keyed.count() // (shards * 200_000)))
     placed = {"shard": F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: F.col("_key") >= cut)) if cuts else F.lit(0), "_salt": salt(F.col("_key"), salts)}
