@@ -21,6 +21,8 @@ LEAST_COUNT = 3
 RATE_SHARE = 0.25
 PROBES = 3
 BITS_PER_GRAM = 12
+#: Bytes of all slices, which are broadcast, at most: beyond it an n-gram has fewer bits, so that more hits are by chance and are taken off.
+MOST_BYTES = 128 << 20
 #: Languages of one mask; more languages take more masks for each bit.
 MASK_BITS = 64
 #: Characters whose n-grams are held at once.
@@ -155,7 +157,9 @@ def fit_languages(docs: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_i
     held = rated.withColumn("best", best).where((F.col("times") >= LEAST_COUNT) & (F.col("rate") >= RATE_SHARE * F.col("best")))
     word = F.expr(f"lang div {MASK_BITS}").cast("int").alias("word")
     grams = materialize(held.groupBy("gram", word).agg(F.bit_or(F.expr(f"shiftleft(1L, lang % {MASK_BITS})")).alias("mask")), "masks")
+    most = MOST_BYTES // -(-len(languages) // 8) if len(languages) <= MASK_BITS else MOST_BYTES // (8 * -(-len(languages) // MASK_BITS))
     bits = 1 << max(10, int(grams.select("gram").distinct().count() * BITS_PER_GRAM - 1).bit_length())
+    bits = max(1024, min(bits, 1 << (most.bit_length() - 1)))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
