@@ -394,12 +394,19 @@ def _fits(a: str, b: str, num: int, den: int) -> Column:
     return (n * den >= m * num) & (m * den >= n * num) & ((F.least(f"{a}.at", f"{b}.at") + rest) * (num + den) >= (n + m) * num) & (live + other - differ >= 2 * need)
 
 
+def _meets_first(a: str, b: str, num: int, den: int) -> Column:
+    """Whether the token is the first that two prefixes share, so that a pair meets once; and what is left of both from there on can be enough."""
+    rest = F.least(F.col(f"{a}.live") - F.col(f"{a}.at"), F.col(f"{b}.live") - F.col(f"{b}.at"))
+    return (rest * (num + den) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * num) & ~F.arrays_overlap(f"{a}.earlier", f"{b}.earlier")
+
+
 def link_classes(sets: DataFrame, num: int, den: int) -> DataFrame:
     """``class, comp`` of classes that link with another one, from ``class, n, tokens, take``.
 
     Classes meet on prefix tokens under the length and positional filters. In star rounds each token's classes are compared with one
     of them only, unless both are already in one component; which loses nothing, since pairs left out are linked
-    through others. When few pairs between components are left, or a round has settled few of them, all of those are compared. Each pair is verified once.
+    through others. When few pairs between components are left, or a round has settled few of them, all of those are compared, each pair on the
+    first token that both prefixes have. Each pair is verified once.
     """
     prefix = materialize(_prefix_rows(sets), "prefix")
     shared = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
@@ -425,10 +432,12 @@ def link_classes(sets: DataFrame, num: int, den: int) -> DataFrame:
             prefix = placed.drop("comp", "rank")
         if last:
             largest = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "comp")).alias("_l")).select("token", F.col("_l.comp").alias("large"))
+            tokens = sets.select(F.col("class").alias("_class"), F.col("tokens").alias("_tokens"))
+            placed = materialize(placed.join(tokens, F.col("class") == F.col("_class")).withColumn("earlier", F.slice("_tokens", 1, F.col("at"))).drop("_class", "_tokens"), "placed")
             few = placed.join(largest, "token").where("comp != large")
             a, b = few.alias("a"), placed.alias("b")
             once = (F.col("b.comp") == F.col("a.large")) | (F.col("a.class") < F.col("b.class"))
-            found = b.join(a, (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & once & _fits("a", "b", num, den))
+            found = b.join(a, (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & once & _fits("a", "b", num, den) & _meets_first("a", "b", num, den))
         else:
             pivots = placed.groupBy("token").agg(F.min(F.struct("rank", "class", "n", "live", "at", "comp", *[f"b{k}" for k in range(BITMAP_WORDS)])).alias("p")).select("token", "p.*")
             a, b = pivots.alias("a"), placed.alias("b")
