@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,70 +88,46 @@ def heterozygosity(geno: DataFrame) -> DataFrame:
     return sums.withColumn("f", F.try_divide(F.col("o_hom") - F.col("e_hom"), F.col("n_sites") - F.col("e_hom")))
 
 
-def king_kinship(geno: DataFrame, block: int = 512) -> DataFrame:
+def king_kinship(geno: DataFrame, block: int = 512, slice_variants: int = 4096) -> DataFrame:
     """KING-robust kinship of every pair of samples, ``id1 < id2``, as sums over variants that both have.
 
-    Samples go to blocks; a task holds the cells of two blocks and multiplies their indicator matrices. A task's
-    size is two blocks by all variants, so ``block`` bounds it.
+    Samples go to blocks and variants to slices; a task multiplies the indicator matrices of two blocks in one slice, and whole-number
+    counts of pairs are added up over slices. So ``block`` and ``slice_variants`` bound a task's size.
     """
-    people = geno.select("sample_id").distinct()
-    count = max(1, -(-people.count() // block))
+    people, loci = geno.select("sample_id").distinct(), geno.select("variant").distinct()
+    count, slices = max(1, -(-people.count() // block)), max(1, -(-loci.count() // slice_variants))
     of = F.pmod(F.xxhash64("sample_id"), F.lit(count)).cast("int")
-    cells = geno.where(F.col("dosage").isNotNull()).select("sample_id", "variant", F.col("dosage").cast("int").alias("dosage"), of.alias("_b"))
+    cells = geno.where(F.col("dosage").isNotNull()).select("sample_id", "variant", F.col("dosage").cast("int").alias("dosage"), of.alias("_b"), F.pmod(F.xxhash64("variant"), F.lit(slices)).cast("int").alias("slice"))
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.struct(F.least("_b", k).alias("a"), F.greatest("_b", k).alias("b")))).alias("cell")
-    dealt = cells.select("*", pairs).select("sample_id", "variant", "dosage", "_b", "cell.a", "cell.b")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = int(frame["a"].iloc[0]), int(frame["b"].iloc[0])
-        wide = frame.pivot_table(index="sample_id", columns="variant", values="dosage")
-        block_of = frame.drop_duplicates("sample_id").set_index("sample_id")["_b"].reindex(wide.index).to_numpy()
-        values, ids = wide.to_numpy(), wide.index.to_numpy()
-        known, het, zero, two = (m.astype(float) for m in (~np.isnan(values), values == 1, values == 0, values == 2))
-        both_het, ibs0 = het @ het.T, zero @ two.T + two @ zero.T
-        het_i = het @ known.T
-        low = np.minimum(het_i, het_i.T)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            phi = (both_het - 2 * ibs0) / (2 * low) + 0.5 - (het_i + het_i.T) / (4 * low)
-        i, j = np.nonzero(np.less.outer(ids, ids))
-        mine = (np.minimum(block_of[i], block_of[j]) == a) & (np.maximum(block_of[i], block_of[j]) == b)
-        i, j = i[mine], j[mine]
-        return pd.DataFrame({"id1": ids[i], "id2": ids[j], "n_snp": (known @ known.T)[i, j].astype(int), "het_het": both_het[i, j].astype(int), "ibs0": ibs0[i, j].astype(int), "kinship": np.where(np.isfinite(phi[i, j]), phi[i, j], np.nan)})
-
+    dealt = cells.select("*", pairs).select("sample_id", "variant", "dosage", "_b", "cell.a", "cell.b", "slice")
     kind = geno.schema["sample_id"].dataType.simpleString()
-    found = dealt.groupBy("a", "b").applyInPandas(run, f"id1 {kind}, id2 {kind}, n_snp long, het_het long, ibs0 long, kinship double")
-    return found.withColumn("kinship", F.when(~F.isnan("kinship"), F.col("kinship")))
-
 
-def ld_prune(geno: DataFrame, window: int = 50, step: int = 5, r2: float = 0.5, chrom: str = "chrom", pos: str = "pos") -> DataFrame:
-    """Variants kept by sliding-window pruning: of two kept variants in a window with squared correlation above ``r2`` the rarer goes.
-
-    One task holds a chromosome's variants, since what a window drops changes the next. Dosages come as one array per variant, ordered by sample; missing cells take the variant's
-    mean. The published definition, not another program's tie rules.
-    """
-    arrays = geno.groupBy(chrom, pos, "variant").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_id", F.col("dosage").cast("double").alias("d")))), lambda x: x["d"]).alias("d"))
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        frame = pd.concat(list(frames)) if not isinstance(frames, pd.DataFrame) else frames
-        frame = frame.sort_values([pos, "variant"]).reset_index(drop=True)
-        values = np.array(frame["d"].tolist(), float)
-        mean = np.nanmean(values, axis=1, keepdims=True)
-        values = np.where(np.isnan(values), mean, values)
-        maf = np.minimum(mean[:, 0] / 2, 1 - mean[:, 0] / 2)
-        centred = values - values.mean(axis=1, keepdims=True)
-        norm = np.sqrt((centred**2).sum(axis=1))
-        unit = centred / np.where(norm > 0, norm, 1)[:, None]
-        keep = norm > 0
-        for start in range(0, max(1, len(frame) - window + step), step):
-            at = start + np.flatnonzero(keep[start : start + window])
-            tied = np.argwhere(np.triu((unit[at] @ unit[at].T) ** 2 > r2, 1))
-            for i, j in tied:
-                a, b = at[i], at[j]
-                if keep[a] and keep[b]:
-                    keep[a if maf[a] < maf[b] else b] = False
-        return pd.DataFrame({chrom: frame[chrom], pos: frame[pos], "variant": frame["variant"], "maf": maf})[keep]
-
-    schema = f"{chrom} {geno.schema[chrom].dataType.simpleString()}, {pos} {geno.schema[pos].dataType.simpleString()}, variant {geno.schema['variant'].dataType.simpleString()}, maf double"
-    return arrays.groupBy(chrom).applyInPandas(lambda key, frame: run(key, frame), schema)
+    def run(table: pa.Table) -> pa.Table:
+        a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
+        people, variants = (table.column(c).combine_chunks().dictionary_encode() for c in ("sample_id", "variant"))
+        row, col, d = people.indices.to_numpy(), variants.indices.to_numpy(), table.column("dosage").to_numpy()
+        n = len(people.dictionary)
+        block_of = np.zeros(n, np.int64)
+        block_of[row] = table.column("_b").to_numpy()
+        # Of repeated cells the last one counts. Counts up to a slice's variants are exact in single precision.
+        known, het, zero, two = (np.zeros((n, len(variants.dictionary)), np.float32) for _ in range(4))
+        value = np.full(known.shape, -1, np.int8)
+        value[row, col] = d
+        known[:], het[:], zero[:], two[:] = value >= 0, value == 1, value == 0, value == 2
+        first, second = np.flatnonzero(block_of == a), np.flatnonzero(block_of == b)
+        ibs0 = zero[first] @ two[second].T + two[first] @ zero[second].T
+        counts = [known[first] @ known[second].T, het[first] @ het[second].T, ibs0, het[first] @ known[second].T, known[first] @ het[second].T]
+        i, j = np.nonzero(np.ones(ibs0.shape, bool) if a != b else np.less.outer(first, second))
+        names = [people.dictionary.take(pa.array(first[i])), people.dictionary.take(pa.array(second[j]))]
+        return pa.table(names + [pa.array(c[i, j].astype(np.int64)) for c in counts], names=["x", "y", "n_snp", "het_het", "ibs0", "hx", "hy"])
+
+    found = dealt.groupBy("a", "b", "slice").applyInArrow(run, f"x {kind}, y {kind}, n_snp long, het_het long, ibs0 long, hx long, hy long")
+    swap = F.col("x") > F.col("y")
+    turned = found.select(F.least("x", "y").alias("id1"), F.greatest("x", "y").alias("id2"), "n_snp", "het_het", "ibs0", F.when(swap, F.col("hy")).otherwise(F.col("hx")).alias("h1"), F.when(swap, F.col("hx")).otherwise(F.col("hy")).alias("h2"))
+    sums = turned.groupBy("id1", "id2").agg(*[F.sum(c).alias(c) for c in ("n_snp", "het_het", "ibs0", "h1", "h2")]).where("n_snp > 0")
+    low = F.least("h1", "h2")
+    phi = (F.col("het_het") - 2 * F.col("ibs0")) / (2 * low) + 0.5 - (F.col("h1") + F.col("h2")) / (4 * low)
+    return sums.select("id1", "id2", "n_snp", "het_het", "ibs0", F.when(low > 0, phi).alias("kinship"))
 
 
 def ld_pairs(geno: DataFrame, reach: int, pos: str = "pos") -> DataFrame:
@@ -170,42 +143,3 @@ def ld_pairs(geno: DataFrame, reach: int, pos: str = "pos") -> DataFrame:
     sums = near.groupBy("v1", "v2").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"), F.sum(x * y).alias("xy"))
     covariance, one, two = (F.expr(e).cast("double") for e in ("n * xy - x * y", "n * xx - x * x", "n * yy - y * y"))
     return sums.select("v1", "v2", F.try_divide(covariance * covariance, one * two).alias("r2"))
-
-
-def principal_components(geno: DataFrame, components: int = 10) -> DataFrame:
-    """``sample_id, pc1 ...``: eigenvectors of the samples' relationship matrix over standardised dosages.
-
-    Each task adds its variants' outer products into one matrix of samples by samples; matrices are summed by row. So samples, not
-    variants, are bounded: up to some ten thousands, by the driver's memory. Signs are such that each component's largest entry is positive.
-    """
-    spark = geno.sparkSession
-    ids = [r[0] for r in geno.select("sample_id").distinct().orderBy("sample_id").collect()]
-    if len(ids) > 20_000:
-        raise ValueError("more samples than one relationship matrix holds")
-    place = spark.sparkContext.broadcast({v: i for i, v in enumerate(ids)})
-    arrays = geno.where(F.col("dosage").isNotNull()).groupBy("variant").agg(F.collect_list("sample_id").alias("s"), F.collect_list(F.col("dosage").cast("double")).alias("d"))
-    n = len(ids)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, used = np.zeros((n, n)), 0
-        for batch in batches:
-            rows = []
-            for s, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                p = sum(d) / len(d) / 2
-                if 0 < p < 1:
-                    one = np.zeros(n)
-                    one[[place.value[x] for x in s]] = (np.array(d) - 2 * p) / np.sqrt(2 * p * (1 - p))
-                    rows.append(one)
-            if rows:
-                block = np.array(rows)
-                total += block.T @ block
-                used += len(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(list(total), pa.list_(pa.float64())), pa.array(np.full(n, used))], names=["row", "v", "m"])
-
-    summed = arrays.select("s", "d").mapInArrow(run, "row long, v array<double>, m long").select("row", F.posexplode("v").alias("col", "x"), "m").groupBy("row", "col").agg(F.sum("x").alias("x")).groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "x"))), lambda c: c["x"]).alias("v"))
-    matrix = np.array([r["v"] for r in summed.orderBy("row").collect()])
-    values, vectors = np.linalg.eigh(matrix)
-    top = vectors[:, np.argsort(values)[::-1][:components]]
-    top = top * np.sign(top[np.abs(top).argmax(axis=0), np.arange(top.shape[1])])
-    schema = ", ".join([f"sample_id {geno.schema['sample_id'].dataType.simpleString()}", *(f"pc{i + 1} double" for i in range(top.shape[1]))])
-    return spark.createDataFrame([(i, *map(float, row)) for i, row in zip(ids, top, strict=True)], schema)

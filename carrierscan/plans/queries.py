@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from carrierscan.config import StudyConfig
 from carrierscan.functions import expressions as X
-from carrierscan.operators import annotation, cohorts, genotypes, scans, statistics
+from carrierscan.operators import annotation, cohorts, genotypes, linkage, scans, statistics
 from carrierscan.plans import pipelines, state, study
 from carrierscan.plans.study import SQL, table
 
@@ -289,17 +289,34 @@ def ld_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(genotypes.ld_pairs(_supplier_cells(spark, sf_dir).withColumn("pos", F.col("variant")), 10), 6, "r2")
 
 
-@query()
+@query(
+    f"""
+    WITH RECURSIVE {_SUPPLIER}
+    , i AS (SELECT variant, variant % 3 AS chrom, row_number() OVER (PARTITION BY variant % 3 ORDER BY variant) - 1 AS idx, avg(dosage) / 2 AS p, count(*) AS n, sum(dosage) AS x, sum(dosage * dosage) AS xx FROM cells GROUP BY variant),
+    g AS (
+        SELECT a.chrom, a.idx AS i, b.idx AS j, a.variant AS v1, b.variant AS v2, CASE WHEN least(a.p, 1 - a.p) < least(b.p, 1 - b.p) THEN a.variant ELSE b.variant END AS loser,
+            greatest(0, CAST(ceil((b.idx - 19) / 5.0) AS BIGINT) * 5) AS w, CAST(a.n * s.xy - a.x * b.x AS DOUBLE) AS cov, CAST(a.n * a.xx - a.x * a.x AS DOUBLE) AS va, CAST(b.n * b.xx - b.x * b.x AS DOUBLE) AS vb
+        FROM i a JOIN i b ON a.chrom = b.chrom AND a.idx < b.idx AND b.idx < a.idx + 20
+        JOIN (SELECT a.variant AS v1, b.variant AS v2, sum(a.dosage * b.dosage) AS xy FROM cells a JOIN cells b ON a.sample_id = b.sample_id AND a.variant < b.variant GROUP BY 1, 2) s ON s.v1 = a.variant AND s.v2 = b.variant
+    ),
+    e AS (SELECT row_number() OVER (ORDER BY chrom, w, i, j) AS k, v1, v2, loser FROM g WHERE w <= i AND cov * cov > 0.05 * va * vb AND va > 0 AND vb > 0),
+    r AS (
+        SELECT CAST(0 AS BIGINT) AS k, CAST([] AS INTEGER[]) AS gone
+        UNION ALL SELECT e.k, CASE WHEN list_contains(gone, v1) OR list_contains(gone, v2) THEN gone ELSE list_append(gone, loser) END FROM r JOIN e ON e.k = r.k + 1
+    )
+    SELECT chrom, variant AS pos, variant, round(least(p, 1 - p), 9) AS maf FROM i WHERE n * xx > x * x AND NOT list_contains((SELECT gone FROM r ORDER BY k DESC LIMIT 1), variant)
+"""
+)
 def ld_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants that sliding-window pruning keeps."""
     cells = _supplier_cells(spark, sf_dir).withColumns({"chrom": F.col("variant") % 3, "pos": F.col("variant")})
-    return genotypes.ld_prune(cells, 20, 5, 0.05)
+    return rounded(linkage.ld_prune(cells, 20, 5, 0.05), 9, "maf")
 
 
 @query()
 def sample_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Principal components of samples."""
-    return genotypes.principal_components(_supplier_cells(spark, sf_dir), 5)
+    return linkage.principal_components(_supplier_cells(spark, sf_dir), 5)
 
 
 @query(
