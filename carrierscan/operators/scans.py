@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,14 +38,18 @@ class Covariates:
         if rows.count() > MOST_SAMPLES:
             raise ValueError("more samples than the covariates' broadcast allows")
         table = rows.orderBy("sample_id").toArrow()
-        ids = table.column("sample_id").to_pylist()
-        self.place = {s: i for i, s in enumerate(ids)}
-        if len(self.place) != len(ids):
+        self.count = table.num_rows
+        if pc.count_distinct(table.column("sample_id"), "all").as_py() != self.count:
             raise ValueError("a sample id repeats")
-        self.values = {c: np.array([np.nan if x is None else x for x in table.column(c).to_pylist()], float) for c in columns}
+        self.values = {c: pc.fill_null(table.column(c), np.nan).to_numpy() for c in columns}
+        #: ``sample_id`` and its place in the arrays.
+        self.places = samples.sparkSession.createDataFrame(table.select(["sample_id"]).append_column("_at", pa.array(np.arange(self.count), pa.int32())))
+
+    def __getstate__(self) -> dict:
+        return {"count": self.count, "values": self.values}
 
     def stack(self, names: list[str]) -> np.ndarray:
-        return np.column_stack([self.values[c] for c in names]) if names else np.zeros((len(self.place), 0))
+        return np.column_stack([self.values[c] for c in names]) if names else np.zeros((self.count, 0))
 
 
 def per_variant(geno: DataFrame, covariates: Covariates, kernel: Callable[..., list[dict]], schema: str, absent: float = np.nan, parts: DataFrame | None = None) -> DataFrame:
@@ -55,8 +60,9 @@ def per_variant(geno: DataFrame, covariates: Covariates, kernel: Callable[..., l
     A kernel's failure becomes a row with status ``failed`` and the message, when the schema has those columns.
     """
     shared = geno.sparkSession.sparkContext.broadcast(covariates)
-    known = geno.where(F.col("dosage").isNotNull())
-    arrays = known.groupBy(F.col("variant").cast("string").alias("variant")).agg(F.collect_list("sample_id").alias("s"), F.collect_list(F.col("dosage").cast("double")).alias("d"))
+    known = geno.where(F.col("dosage").isNotNull()).join(covariates.places, "sample_id", "left")
+    cell = F.when(F.col("_at").isNotNull(), F.struct("_at", F.col("dosage").cast("double").alias("d")))
+    arrays = known.groupBy(F.col("variant").cast("string").alias("variant")).agg(F.collect_list(cell).alias("c")).select("variant", F.col("c._at").alias("s"), F.col("c.d").alias("d"))
     extra = [c for c in parts.columns if c != "variant"] if parts is not None else []
     if parts is not None:
         arrays = arrays.join(parts, "variant")
@@ -70,13 +76,10 @@ def per_variant(geno: DataFrame, covariates: Covariates, kernel: Callable[..., l
         cov = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
-                label, ids, values, *rest = (column[i].as_py() for column in batch.columns)
+                label, *rest = (batch.column(c)[i].as_py() for c in ("variant", *extra))
                 part = dict(zip(extra, rest, strict=True))
-                dosages = np.full(len(cov.place), absent)
-                for s, d in zip(ids, values, strict=True):
-                    at = cov.place.get(s)
-                    if at is not None:
-                        dosages[at] = d
+                dosages = np.full(cov.count, absent)
+                dosages[batch.column("s")[i].values.to_numpy()] = batch.column("d")[i].values.to_numpy()
                 try:
                     rows = kernel(label, dosages, cov, **part)
                 except (ValueError, ArithmeticError, np.linalg.LinAlgError) as error:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carrierscan.functions import expressions as X
+from carrierscan.operators import order
 
 #: Fixed value: the median of chi-square with one degree of freedom.
 CHI2_MEDIAN = 0.4549364
@@ -128,18 +129,31 @@ def onset_summary(rows: DataFrame, value: str, arm: str, by: list[str], least: i
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, by: list[str], out: str = "fdr") -> DataFrame:
-    """Adjusted p-values: the running minimum, from the largest p down, of p times count over rank. Null p stays null."""
-    known = F.when(F.col(p).isNotNull(), 1)
-    w = Window.partitionBy(*by, known)
-    up = w.orderBy(p).rowsBetween(0, Window.unboundedFollowing)
-    raw = F.col(p) * F.count(F.lit(1)).over(w) / F.row_number().over(w.orderBy(p))
-    return rows.withColumn("_raw", raw).withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_raw").over(up)))).drop("_raw")
+    """Adjusted p-values: the running minimum, from the largest p down, of p times count over rank. Null p stays null.
+
+    Without ``by``, ranks and minima of the whole table come from sorted ranges (see ``order``), else from a window over each group.
+    """
+    if by:
+        known = F.when(F.col(p).isNotNull(), 1)
+        w = Window.partitionBy(*by, known)
+        up = w.orderBy(p).rowsBetween(0, Window.unboundedFollowing)
+        raw = F.col(p) * F.count(F.lit(1)).over(w) / F.row_number().over(w.orderBy(p))
+        return rows.withColumn("_raw", raw).withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_raw").over(up)))).drop("_raw")
+    # Null values are a group of their own, so that they count for no rank.
+    ranks = order.ranked(rows.withColumn("_known", F.col(p).isNotNull()), [F.col(p)], ["_known"], "_rank", "_count")
+    least = order.running_least(ranks.withColumn("_raw", F.col(p) * F.col("_count") / F.col("_rank")), "_raw", "_rank", ["_known"], "_running")
+    return least.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col("_running")))).drop("_known", "_rank", "_count", "_raw", "_running", "_range")
 
 
 def genomic_control(rows: DataFrame, z: str, by: list[str]) -> DataFrame:
-    """Inflation factor and corrected chi-square of each row; a factor of 0 leaves the statistic as it is."""
-    factor = F.median(F.col(z) * F.col(z)).over(Window.partitionBy(*by)) / CHI2_MEDIAN
-    return rows.withColumn("lambda_gc", factor).withColumn("chi2_gc", F.when(F.col("lambda_gc") > 0, F.col(z) * F.col(z) / F.col("lambda_gc")).otherwise(F.col(z) * F.col(z)))
+    """Inflation factor and corrected chi-square of each row; a factor of 0 leaves the statistic as it is. Without ``by`` the median is found by counting probes."""
+    square = F.col(z) * F.col(z)
+    if by:
+        factor = F.median(square).over(Window.partitionBy(*by)) / CHI2_MEDIAN
+    else:
+        median = order.exact_quantile(rows, square)
+        factor = F.lit(None if median is None else median / CHI2_MEDIAN).cast("double")
+    return rows.withColumn("lambda_gc", factor).withColumn("chi2_gc", F.when(F.col("lambda_gc") > 0, square / F.col("lambda_gc")).otherwise(square))
 
 
 def inflation(rows: DataFrame, z: str, by: list[str]) -> DataFrame:
@@ -201,8 +215,13 @@ def enrichment(rows: DataFrame, tested: str, found: str, by: list[str]) -> DataF
 
 
 def sd_outliers(rows: DataFrame, value: str, by: list[str], times: float = 3.0) -> DataFrame:
-    w = Window.partitionBy(*by)
-    off = F.abs(F.col(value) - F.avg(value).over(w)) > times * F.stddev_samp(value).over(w)
+    """Rows beyond ``times`` sample deviations of their group's mean, or of the whole table's, which one aggregate gives; null values are none."""
+    if by:
+        w = Window.partitionBy(*by)
+        off = F.abs(F.col(value) - F.avg(value).over(w)) > times * F.stddev_samp(value).over(w)
+    else:
+        mean, sd = rows.agg(F.avg(value), F.stddev_samp(value)).head()
+        off = F.abs(F.col(value) - F.lit(mean)) > F.lit(None if sd is None else times * sd).cast("double")
     return rows.withColumn("is_outlier", F.coalesce(off, F.lit(False)))
 
 

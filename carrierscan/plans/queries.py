@@ -972,15 +972,15 @@ def component_confounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _covariates(spark: SparkSession, sf_dir: str) -> scans.Covariates:
-    s = study.samples(spark, sf_dir).withColumns({"y": (F.col("y") - 100000) / 10000, "e": X.standardized(F.col("e")), "n_orders": X.standardized(F.col("n_orders").cast("double"))})
-    return scans.Covariates(scans.residualize(s, "y", ["e", "n_orders"]), ["y", "e", "n_orders", "residual"])
+    s = study.samples(spark, sf_dir).withColumns({"y": (F.col("y") - 100000) / 10000, "e": X.standardized(F.col("e")), "n_orders": X.standardized(F.col("n_orders").cast("double")), "nation": X.standardized(F.col("nation").cast("double"))})
+    return scans.Covariates(scans.residualize(s, "y", ["e", "n_orders"]), ["y", "e", "n_orders", "nation", "residual"])
 
 
 @query()
 def interaction_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1 to M8: matched permutation test of every variant. Samples without a cell carry dosage 0."""
-    config = StudyConfig(min_obs_coef=0.1)
-    found = scans.two_phase_model(study.carried(spark, sf_dir), _covariates(spark, sf_dir), "y", ["e"], ["n_orders"], pipelines.settings_of(config), absent=0.0)
+    """M1 to M8: matched permutation test of every variant. Samples without a cell carry dosage 0; arms are matched on the exposure and the nation, which carrying a variant does not depend on."""
+    config = StudyConfig(min_obs_coef=0.02)
+    found = scans.two_phase_model(study.carried(spark, sf_dir), _covariates(spark, sf_dir), "y", ["e"], ["nation"], pipelines.settings_of(config), absent=0.0)
     return statistics.benjamini_hochberg(found, "empirical_p", ["exposure"])
 
 
@@ -1039,5 +1039,5 @@ def numeric_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def full_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M9: permutation mean, deviation and p of every coefficient of the matched model."""
-    config = StudyConfig(min_obs_coef=0.1)
-    return scans.full_model(study.carried(spark, sf_dir), _covariates(spark, sf_dir), "y", ["e"], ["n_orders"], pipelines.settings_of(config), absent=0.0)
+    config = StudyConfig(min_obs_coef=0.02)
+    return scans.full_model(study.carried(spark, sf_dir), _covariates(spark, sf_dir), "y", ["e"], ["nation"], pipelines.settings_of(config), absent=0.0)
