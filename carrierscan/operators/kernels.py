@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 
 from carrierscan.functions import distributions as D
+from carrierscan.operators.quantiles import three_level_slopes
 
 TIE = 1e-9
 
@@ -401,7 +402,7 @@ TAUS = tuple(round(0.05 * i, 2) for i in range(1, 10))
 
 
 def quantile_index(v: np.ndarray, y: np.ndarray, taus: tuple[float, ...] = TAUS, least: int = 20) -> float | None:
-    """Mean over taus of the upper less the lower quantile effect of the dosage; discrete group quantiles where the dosage has two levels."""
+    """Mean over taus of the upper less the lower quantile effect of the dosage; discrete group quantiles where the dosage has two levels, an exact minimiser where it has three, reweighted least squares for more (imputed dosages)."""
     levels = np.unique(v)
     if len(v) < least or len(levels) < 2:
         return None
@@ -413,6 +414,8 @@ def quantile_index(v: np.ndarray, y: np.ndarray, taus: tuple[float, ...] = TAUS,
 
         gap = levels[1] - levels[0]
         effects = [(at(high, t + 0.5) - at(low, t + 0.5) - at(high, t) + at(low, t)) / gap for t in taus]
+    elif len(levels) == 3:
+        return float(_three_level_index(v, y, levels, np.ones((1, len(v)), np.int64), taus)[0])
     else:
         x = np.column_stack([np.ones(len(v)), v])
         effects = []
@@ -423,6 +426,34 @@ def quantile_index(v: np.ndarray, y: np.ndarray, taus: tuple[float, ...] = TAUS,
     return float(np.mean(effects)) if effects else None
 
 
+def _three_level_index(v: np.ndarray, y: np.ndarray, levels: np.ndarray, weights: np.ndarray, taus: tuple[float, ...]) -> np.ndarray:
+    """The index of each row of ``weights``, how often it has every subject."""
+    rows = [v == g for g in levels]
+    slopes = three_level_slopes(levels, [y[r] for r in rows], [weights[:, r] for r in rows], np.array([*taus, *(t + 0.5 for t in taus)]))
+    return (slopes[:, len(taus) :] - slopes[:, : len(taus)]).mean(axis=1)
+
+
+#: Bootstrap replicates of three levels that are solved at once.
+REPLICATES = 50
+
+
+def bootstrap_indices(v: np.ndarray, y: np.ndarray, reps: int, rng: np.random.Generator) -> list[float | None]:
+    """The quantile index of ``reps`` resamples of subjects. Resamples with all of three levels are solved together."""
+    levels, out = np.unique(v), []
+    for at in range(0, reps, REPLICATES):
+        drawn = [rng.integers(0, len(v), len(v)) for _ in range(min(REPLICATES, reps - at))]
+        if len(levels) != 3:
+            out += [quantile_index(v[rows], y[rows]) for rows in drawn]
+            continue
+        counts = np.array([np.bincount(rows, minlength=len(v)) for rows in drawn])
+        whole = np.array([(counts[:, v == g].sum(axis=1) > 0) for g in levels]).all(axis=0)
+        found = np.zeros(len(drawn))
+        if whole.any():
+            found[whole] = _three_level_index(v, y, levels, counts[whole], TAUS)
+        out += [float(f) if w else quantile_index(v[rows], y[rows]) for f, w, rows in zip(found, whole, drawn, strict=True)]
+    return out
+
+
 def variance_scan(v: np.ndarray, y: np.ndarray, reps: int, rng: np.random.Generator, failed_as_zero: bool = False) -> dict:
     """Quantile index with a subject bootstrap's standard error. Replicates without an index are dropped, or count as 0 for parity."""
     known = ~(np.isnan(v) | np.isnan(y))
@@ -431,12 +462,7 @@ def variance_scan(v: np.ndarray, y: np.ndarray, reps: int, rng: np.random.Genera
     beta = quantile_index(v, y)
     if beta is None:
         return out
-    found = []
-    for _ in range(reps):
-        rows = rng.integers(0, len(v), len(v))
-        one = quantile_index(v[rows], y[rows])
-        if one is not None or failed_as_zero:
-            found.append(one or 0.0)
+    found = [one or 0.0 for one in bootstrap_indices(v, y, reps, rng) if one is not None or failed_as_zero]
     se = float(np.std(found, ddof=1)) if len(found) > 1 else 0.0
     if not se > 0:
         return out | {"beta_qi": beta}

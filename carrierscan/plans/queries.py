@@ -1010,9 +1010,8 @@ def permutation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def variance_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variance scan with genomic control and candidates."""
-    carriers = study.carried(spark, sf_dir).withColumn("dosage", X.carrier(F.col("dosage")))
-    found = scans.variance_scan(carriers, _covariates(spark, sf_dir), "residual", StudyConfig().scan_reps, absent=0.0)
+    """Variance scan on dosages 0, 1 and 2 with genomic control and candidates."""
+    found = scans.variance_scan(study.carried(spark, sf_dir), _covariates(spark, sf_dir), "residual", StudyConfig().scan_reps, absent=0.0)
     return pipelines.variance_candidates(found, StudyConfig(candidate_top=5))
 
 
