@@ -122,7 +122,11 @@ def rank_sum(rows: DataFrame, value: str, arm: str, by: list[str]) -> DataFrame:
 
 def onset_summary(rows: DataFrame, value: str, arm: str, by: list[str], least: int = 5, low_power: int = 10) -> DataFrame:
     """``rank_sum`` with statistics null unless both arms have ``least`` rows, and a flag where either has fewer than ``low_power``."""
-    out = rank_sum(rows, value, arm, by)
+    return gated_summary(rank_sum(rows, value, arm, by), least, low_power)
+
+
+def gated_summary(out: DataFrame, least: int, low_power: int) -> DataFrame:
+    """Rank-sum rows with the gate on small arms and the flag of low power."""
     enough = (F.col("n_carrier") >= least) & (F.col("n_noncarrier") >= least)
     stats = ("median_carrier", "median_noncarrier", "delta_median", "u_stat", "effect_size", "z")
     return out.withColumns({c: F.when(enough, F.col(c)) for c in stats}).withColumn("low_power", (F.col("n_carrier") < low_power) | (F.col("n_noncarrier") < low_power))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from carrierscan.config import StudyConfig
 from carrierscan.functions import expressions as X
-from carrierscan.operators import annotation, cohorts, genotypes, linkage, scans, statistics
+from carrierscan.operators import annotation, cohorts, genotypes, linkage, scans, sparse, statistics
 from carrierscan.plans import pipelines, state, study
 from carrierscan.plans.study import SQL, table
 
@@ -56,7 +56,7 @@ _RANKED = f"""
 )
 def onset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Medians of both arms, their difference, rank-sum statistic and effect, per variant."""
-    out = statistics.onset_summary(study.analysis(spark, sf_dir), "y", "v", ["variant"])
+    out = sparse.onset_summary(*study.sparse(spark, sf_dir), "y")
     out = rounded(out, 4, "median_carrier", "median_noncarrier", "delta_median")
     return rounded(out, 6, "effect_size").select("variant", "n_carrier", "n_noncarrier", "median_carrier", "median_noncarrier", "delta_median", "u_stat", "effect_size")
 
@@ -71,16 +71,15 @@ def onset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def onset_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Medians by exposure stratum."""
-    rows = study.analysis(spark, sf_dir).where("y is not null").withColumn("stratum", F.when(F.col("e") > 0, "exposed").otherwise("not_exposed"))
-    m = lambda a: F.median(F.when(F.col("v") == a, F.col("y")))
-    out = rows.groupBy("variant", "stratum").agg(F.count(F.when(F.col("v") == 1, 1)).alias("n_carrier"), F.count(F.when(F.col("v") == 0, 1)).alias("n_noncarrier"), m(1).alias("median_carrier"), m(0).alias("median_noncarrier"))
+    parts = [sparse.rank_sum(*study.sparse(spark, sf_dir, where), "y").withColumn("stratum", F.lit(name)) for where, name in (("e > 0", "exposed"), ("not coalesce(e > 0, false)", "not_exposed"))]
+    out = parts[0].unionByName(parts[1]).select("variant", "stratum", "n_carrier", "n_noncarrier", "median_carrier", "median_noncarrier")
     return rounded(out, 4, "median_carrier", "median_noncarrier")
 
 
 @query(_RANKED.replace("y IS NOT NULL", "y IS NOT NULL AND e > 0") + "SELECT variant, n1 AS n_carrier, n0 AS n_noncarrier, CASE WHEN n1 >= 5 AND n0 >= 5 THEN r1 - n1 * (n1 + 1) / 2.0 END AS u_stat, CASE WHEN n1 >= 5 AND n0 >= 5 THEN round(1 - 2 * (r1 - n1 * (n1 + 1) / 2.0) / (n1 * n0), 6) END AS effect_size FROM u")
 def near_stratum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank-sum statistic of carriers against others among exposed samples only; no p."""
-    out = statistics.onset_summary(study.analysis(spark, sf_dir).where("e > 0"), "y", "v", ["variant"])
+    out = sparse.onset_summary(*study.sparse(spark, sf_dir, "e > 0"), "y")
     return rounded(out, 6, "effect_size").select("variant", "n_carrier", "n_noncarrier", "u_stat", "effect_size")
 
 
@@ -128,7 +127,8 @@ def geno_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def geno_qc_maf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequencies of the variants that pass the frequency filter."""
-    out = genotypes.allele_frequency(study.dense(spark, sf_dir)).where("maf >= 0.25 and variance > 0")
+    cells, variants, _ = study.sparse(spark, sf_dir)
+    out = sparse.allele_frequency(cells, variants, table(spark, sf_dir, "customer").count()).where("maf >= 0.25 and variance > 0")
     return rounded(out, 8, "alt_freq", "maf", "carrier_freq", "variance").drop("call_rate")
 
 
@@ -458,7 +458,7 @@ def genomic_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def smd_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3: standardised mean differences of numeric covariates between arms."""
-    return rounded(statistics.balance(study.analysis(spark, sf_dir), "v", ["e", "n_orders"], ["variant"]), 6, "smd_e", "smd_n_orders")
+    return rounded(sparse.balance(*study.sparse(spark, sf_dir), ["e", "n_orders"]), 6, "smd_e", "smd_n_orders")
 
 
 @query(
@@ -469,7 +469,7 @@ def smd_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ols_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M4: interaction coefficient of carrier and exposure."""
-    return rounded(statistics.interaction_slope(study.analysis(spark, sf_dir), "y", "v", "e", ["variant"]), 6, "beta_interaction").select("variant", "n_carrier", "n_noncarrier", "beta_interaction")
+    return rounded(sparse.interaction_slope(*study.sparse(spark, sf_dir), "y", "e"), 6, "beta_interaction").select("variant", "n_carrier", "n_noncarrier", "beta_interaction")
 
 
 @query(
@@ -952,7 +952,7 @@ def residual_phenotype(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rank_sum_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normal score of the rank-sum with tie and continuity corrections."""
-    out = statistics.rank_sum(study.analysis(spark, sf_dir), "y", "v", ["variant"])
+    out = sparse.rank_sum(*study.sparse(spark, sf_dir), "y")
     return rounded(out, 6, "z").select("variant", "n_carrier", "n_noncarrier", "ties", "z")
 
 
@@ -1025,7 +1025,7 @@ def enrichment_binomial(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def near_stratum_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank-sum of carriers against others among exposed samples only, with its p."""
-    out = statistics.onset_summary(study.analysis(spark, sf_dir).where("e > 0"), "y", "v", ["variant"])
+    out = sparse.onset_summary(*study.sparse(spark, sf_dir, "e > 0"), "y")
     return scans.rank_sum_p(out).select("variant", "n_carrier", "n_noncarrier", "u_stat", "effect_size", "p")
 
 

@@ -35,6 +35,12 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genotypes.densify(samples(spark, sf_dir), variants(spark, sf_dir), carried(spark, sf_dir))
 
 
+def sparse(spark: SparkSession, sf_dir: str, where: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Carried cells, all variants, and samples (those of ``where``): what estimators over carriers take."""
+    people = samples(spark, sf_dir)
+    return carried(spark, sf_dir), variants(spark, sf_dir), people.where(where) if where else people
+
+
 def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense cells with their sample's columns and the carrier flag ``v``."""
     return dense(spark, sf_dir).join(samples(spark, sf_dir), "sample_id").withColumn("v", (F.col("dosage") > 0).cast("int"))

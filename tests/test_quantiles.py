@@ -53,9 +53,9 @@ def test_scan_of_three_levels_refits_each_resample():
     rng = np.random.default_rng(9)
     some = [K.quantile_index(v[r], y[r]) for r in (rng.integers(0, 83, 83) for _ in range(60))]
     assert got["beta_qi"] == pytest.approx(K.quantile_index(v, y)) and got["se"] == pytest.approx(np.std(some, ddof=1))
-    effects = []
+    # Where several lines are minimisers, any of their slopes will do.
+    low = high = 0.0
     for tau in K.TAUS:
-        ends = [least_loss(v, y, np.ones(83, int), t)[1] for t in (tau, tau + 0.5)]
-        assert all(max(e) - min(e) < 1e-9 for e in ends)
-        effects.append(ends[1][0] - ends[0][0])
-    assert got["beta_qi"] == pytest.approx(np.mean(effects))
+        lower, upper = (least_loss(v, y, np.ones(83, int), t)[1] for t in (tau, tau + 0.5))
+        low, high = low + min(upper) - max(lower), high + max(upper) - min(lower)
+    assert low / len(K.TAUS) - 1e-9 <= got["beta_qi"] <= high / len(K.TAUS) + 1e-9
