@@ -26,14 +26,6 @@ def prepared_samples(env: DataFrame, config: StudyConfig, mapping: DataFrame | N
     return rows
 
 
-def run_model(geno: DataFrame, samples: DataFrame, config: StudyConfig, covariates: list[str], absent: float = float("nan")) -> DataFrame:
-    """Interaction results of every variant and exposure with adjusted p-values."""
-    cov = scans.Covariates(samples, [config.target, *config.exposures, *covariates])
-    kept = geno.join(samples.select("sample_id"), "sample_id", "left_semi")
-    found = scans.two_phase_model(kept, cov, config.target, list(config.exposures), covariates, settings_of(config), config.seed, absent)
-    return statistics.benjamini_hochberg(found, "empirical_p", ["exposure"])
-
-
 def replicate(results: DataFrame, first, second, alpha: float) -> DataFrame:
     return cohorts.replicated(results, first, second, alpha)
 
@@ -48,25 +40,6 @@ def variance_candidates(scan: DataFrame, config: StudyConfig) -> DataFrame:
     return rows.withColumn("is_candidate", F.coalesce(F.col("p_gc") < config.candidate_p, F.lit(False)))
 
 
-def run_variance(geno: DataFrame, samples: DataFrame, config: StudyConfig, covariates: list[str], absent: float = float("nan")) -> dict[str, DataFrame]:
-    """Variance scan, candidates, and their interaction, correlation, robustness and permutation tables."""
-    rows = scans.residualize(samples, config.target, covariates)
-    cov = scans.Covariates(rows, ["residual", config.target, *config.exposures, *covariates])
-    scan = variance_candidates(scans.variance_scan(geno, cov, "residual", config.scan_reps, config.seed, absent=absent), config).cache()
-    chosen = geno.withColumn("variant", F.col("variant").cast("string")).join(scan.where("is_candidate").select("variant"), "variant", "left_semi").cache()
-    exposures = list(config.exposures)
-    tests = scans.interaction_tests(chosen, cov, config.target, exposures, covariates, absent=absent)
-    top = tests.where("pval is not null").orderBy("pval", "variant").limit(config.top_loci).select("variant").distinct()
-    loci = chosen.join(top, "variant", "left_semi")
-    return {
-        "scan": scan,
-        "interaction": tests.withColumn("is_significant", F.coalesce(F.col("pval") < config.alpha, F.lit(False))),
-        "rge": scans.rge_and_spread(chosen, cov, config.target, exposures, covariates, config.alpha, absent),
-        "robustness": scans.interaction_tests(loci, cov, config.target, exposures, covariates, scans.TRANSFORMS, absent),
-        "permutation": scans.permutation_checks(loci, cov, config.target, exposures, covariates, config.n_perm_high, config.seed, absent),
-    }
-
-
 def quality_attrition(geno: DataFrame, samples: DataFrame, config: StudyConfig) -> DataFrame:
     """Cells, variants and samples after each filter of the quality chain."""
     stages = [("raw", geno)]

@@ -12,6 +12,8 @@ from carrierscan.functions import expressions as X
 from carrierscan.operators import annotation, cohorts, genotypes, linkage, scans, sparse, statistics
 from carrierscan.plans import pipelines, state, study
 from carrierscan.plans.study import SQL, table
+from carrierscan.shared import shared_dir
+from carrierscan.sources import store, vcf, wide
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1040,3 +1042,82 @@ def full_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M9: permutation mean, deviation and p of every coefficient of the matched model."""
     config = StudyConfig(min_obs_coef=0.02)
     return scans.full_model(study.carried(spark, sf_dir), _covariates(spark, sf_dir), "y", ["e"], ["nation"], pipelines.settings_of(config), absent=0.0)
+
+
+def _sites(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """The suppliers' cells as block-compressed VCF files, a chromosome each; gives the folder."""
+    call = F.element_at(F.array(F.lit("0/0"), F.lit("0|1"), F.lit("1/1")), F.col("dosage") + 1)
+    cells = _supplier_cells(spark, sf_dir).withColumns({"_c": F.struct("sample_id", call.alias("g"))})
+    calls = F.array_sort(F.collect_list("_c"))
+    sites = cells.groupBy("variant").agg(calls.alias("_c")).select(
+        F.concat(F.lit("chr"), F.col("variant") % 3 + 1).alias("chrom"), (F.col("variant") * 100).cast("long").alias("pos"), F.lit("A").alias("ref"), F.array(F.lit("G")).alias("alts"),
+        F.transform("_c.sample_id", lambda s: F.concat(F.lit("S"), s)).alias("sample_ids"), F.col("_c.g").alias("genotypes"),
+    )
+    path = shared_dir(spark, name)
+    vcf.write_sites(sites.repartitionByRange(3, "chrom").sortWithinPartitions("chrom", "pos"), path)
+    return path
+
+
+@query(
+    f"""
+    WITH {_SUPPLIER} SELECT 'S' || sample_id AS sample_id, CAST(variant % 3 + 1 AS VARCHAR) AS chrom, CAST(variant * 100 AS BIGINT) AS pos, (variant % 3 + 1) || '_' || variant * 100 || '_A_G' AS variant, CAST(dosage AS INTEGER) AS dosage
+    FROM cells WHERE variant % 3 = 1 AND variant * 100 BETWEEN 700 AND 3500
+"""
+)
+def vcf_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chromosome's region of VCF files by index and range, as dosages; the name without ``chr`` finds it."""
+    path = _sites(spark, sf_dir, "vcf-region")
+    index = shared_dir(spark, "vcf-index")
+    vcf.write_index(spark, path, index, 4096)
+    sites = vcf.read_sites(spark, path, ["2"], 700, 3500, index, 4096)
+    return vcf.to_dosages(sites).select("sample_id", "chrom", "pos", "variant", "dosage")
+
+
+@query("SELECT 'S' || s_suppkey AS sample_id, row_number() OVER (ORDER BY s_suppkey) - 1 AS place FROM supplier")
+def vcf_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample ids and their places from headers alone."""
+    return vcf.sample_list(spark, _sites(spark, sf_dir, "vcf-samples")).select("sample_id", F.col("place").cast("long").alias("place")).distinct()
+
+
+@query("SELECT 'chr' || (p_size % 3 + 1) AS chrom, count(DISTINCT p_size) AS sites, true AS valid FROM part GROUP BY 1")
+def file_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7: sites of each chromosome, and whether all blocks of its files are whole."""
+    path = _sites(spark, sf_dir, "vcf-probes")
+    probed = vcf.probe_files(spark, path).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "valid")
+    sites = vcf.read_sites(spark, path).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "chrom")
+    return sites.join(probed, "file").groupBy("chrom").agg(F.count(F.lit(1)).alias("sites"), F.bool_and("valid").alias("valid"))
+
+
+@query(f"WITH {_SUPPLIER} SELECT CAST(sample_id AS VARCHAR) AS sample_id, 'v' || variant AS variant, CAST(dosage AS INTEGER) AS dosage FROM cells WHERE variant % 5 = 0")
+def wide_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chosen columns of a wide table, a column for each variant, as long cells."""
+    names = [f"v{r[0]}" for r in study.variants(spark, sf_dir).orderBy("variant").collect()]
+    cells = _supplier_cells(spark, sf_dir).select(F.col("sample_id").alias("id"), F.concat(F.lit("v"), "variant").alias("variant"), F.col("dosage").cast("byte").alias("dosage"))
+    path = shared_dir(spark, "wide")
+    cells.groupBy("id").pivot("variant", names).agg(F.first("dosage")).write.parquet(path)
+    return wide.read_wide(spark, path, variants=[n for n in names if int(n[1:]) % 5 == 0], block_columns=4).withColumn("dosage", F.col("dosage").cast("int"))
+
+
+@query(f"WITH {_SUPPLIER} SELECT sample_id, CAST(variant % 3 AS VARCHAR) AS chrom, CAST(variant * 100 AS BIGINT) AS pos, CAST(dosage AS INTEGER) AS dosage FROM cells WHERE variant % 3 <> 0 AND variant * 100 >= 2000")
+def genotype_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of chosen chromosomes and positions from a store that its settings name."""
+    cells = _supplier_cells(spark, sf_dir).select("sample_id", "variant", F.col("variant") % 3, (F.col("variant") * 100).cast("long"), "dosage").toDF("sample_id", "variant", "chrom", "pos", "dosage")
+    kept = store.GenotypeStore(spark, shared_dir(spark, "store"), {"query": "genotype_store", "sf": sf_dir}).get_or_build(lambda: cells)
+    return kept.cells(chroms=["1", "2"], first=2000).select("sample_id", "chrom", "pos", F.col("dosage").cast("int").alias("dosage"))
+
+
+_P = "CAST(event_id * 7919 % 1000 + 1 AS DOUBLE) / CAST(1001 AS DOUBLE)"
+
+
+@query(
+    f"""
+    WITH p AS (SELECT event_id AS k, CASE WHEN event_id % 11 > 0 THEN {_P} END AS p, (value - 50) / 20 AS z FROM events), r AS (SELECT *, row_number() OVER (ORDER BY p, k) AS rk FROM p WHERE p IS NOT NULL),
+    f AS (SELECT k, least(1.0, min(p * (SELECT count(*) FROM r) / rk) OVER (ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)) AS fdr FROM r), l AS (SELECT median(z * z) / 0.4549364 AS lam FROM p)
+    SELECT p.k, round(f.fdr, 8) AS fdr, round(lam, 6) AS lambda_gc, round(z * z / lam, 6) AS chi2_gc FROM l, p LEFT JOIN f ON f.k = p.k
+"""
+)
+def whole_table_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjusted p and genomic control over a whole table, without groups."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("k"), F.when(F.col("event_id") % 11 > 0, F.expr(_P).cast("double")).alias("p"), ((F.col("value") - 50) / 20).alias("z"))
+    out = statistics.benjamini_hochberg(statistics.genomic_control(rows, "z", []), "p", [])
+    return rounded(rounded(out, 8, "fdr"), 6, "lambda_gc", "chi2_gc").select("k", "fdr", "lambda_gc", "chi2_gc")
