@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from carrierscan.config import StudyConfig
 from carrierscan.functions import expressions as X
-from carrierscan.operators import annotation, cohorts, genotypes, linkage, scans, sparse, statistics
+from carrierscan.operators import annotation, cohorts, genotypes, linkage, scans, selection, sparse, statistics
 from carrierscan.plans import pipelines, state, study
 from carrierscan.plans.study import SQL, table
 from carrierscan.shared import shared_dir
@@ -1121,3 +1121,10 @@ def whole_table_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("k"), F.when(F.col("event_id") % 11 > 0, F.expr(_P).cast("double")).alias("p"), ((F.col("value") - 50) / 20).alias("z"))
     out = statistics.benjamini_hochberg(statistics.genomic_control(rows, "z", []), "p", [])
     return rounded(rounded(out, 8, "fdr"), 6, "lambda_gc", "chi2_gc").select("k", "fdr", "lambda_gc", "chi2_gc")
+
+
+@query()
+def sparse_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants and variant-by-exposure products that a sparse model of the phenotype keeps."""
+    cells, cov = study.carried(spark, sf_dir), _covariates(spark, sf_dir)
+    return selection.selected(cells, selection.fit(cells, cov, "residual", ["e", "nation"], absent=0.0), ["e", "nation"])
