@@ -242,14 +242,3 @@ def plausibility(genes: DataFrame) -> DataFrame:
     link = F.when(F.col("pesticide_mediated"), 3.0).when(F.col("direct_link"), 2.0).otherwise(0.0)
     panel = F.when(F.col("panel_confidence") == "3", 3.0).when(F.col("panel_confidence") == "2", 1.5).otherwise(0.0)
     return genes.withColumn("score", flag("in_brain") + flag("in_neurons") + flag("in_glia") + flag("has_chemicals") + link + panel + 2 * F.coalesce("disease_score", F.lit(0.0)))
-
-
-def nearest_with_ties(base: DataFrame, other: DataFrame, features: list[str], by: list[str], k: int) -> DataFrame:
-    """Every other row within the k-th nearest distance (and 1e-9) of some base row of its group: matching with ties, each row once."""
-    b = base.select(*by, F.col("id").alias("base_id"), *[F.col(f).alias(f"_b_{f}") for f in features])
-    pairs = b.join(other, by) if by else b.crossJoin(other)
-    distance = F.sqrt(sum(((F.col(f) - F.col(f"_b_{f}")) * (F.col(f) - F.col(f"_b_{f}")) for f in features), F.lit(0.0)))
-    w = Window.partitionBy(*by, "base_id").orderBy("_d", "id")
-    ranked = pairs.withColumn("_d", distance).withColumn("_r", F.row_number().over(w))
-    kth = ranked.withColumn("_kth", F.max(F.when(F.col("_r") <= k, F.col("_d"))).over(Window.partitionBy(*by, "base_id")))
-    return kth.where(F.col("_d") <= F.col("_kth") + 1e-9).select(*by, "id").distinct()

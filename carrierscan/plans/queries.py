@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from carrierscan.config import StudyConfig
 from carrierscan.functions import expressions as X
-from carrierscan.operators import annotation, cohorts, genotypes, linkage, scans, selection, sparse, statistics
+from carrierscan.operators import annotation, cohorts, genotypes, linkage, neighbours, scans, selection, sparse, statistics
 from carrierscan.plans import pipelines, state, study
 from carrierscan.plans.study import SQL, table
 from carrierscan.shared import shared_dir
@@ -499,7 +499,7 @@ def ols_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matching with ties within groups."""
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("g"), F.col("p_size").cast("double").alias("x"), F.floor(F.col("p_retailprice") / 100).cast("double").alias("w"))
-    return statistics.nearest_with_ties(rows.where("id % 10 = 0"), rows.where("id % 10 <> 0"), ["x", "w"], ["g"], 3)
+    return neighbours.nearest_with_ties(rows.where("id % 10 = 0"), rows.where("id % 10 <> 0"), ["x", "w"], ["g"], 3)
 
 
 @query(
@@ -1106,19 +1106,19 @@ def genotype_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.cells(chroms=["1", "2"], first=2000).select("sample_id", "chrom", "pos", F.col("dosage").cast("int").alias("dosage"))
 
 
-_P = "CAST(event_id * 7919 % 1000 + 1 AS DOUBLE) / CAST(1001 AS DOUBLE)"
+_EVENT_P = "CAST(event_id * 7919 % 1000 + 1 AS DOUBLE) / CAST(1001 AS DOUBLE)"
 
 
 @query(
     f"""
-    WITH p AS (SELECT event_id AS k, CASE WHEN event_id % 11 > 0 THEN {_P} END AS p, (value - 50) / 20 AS z FROM events), r AS (SELECT *, row_number() OVER (ORDER BY p, k) AS rk FROM p WHERE p IS NOT NULL),
+    WITH p AS (SELECT event_id AS k, CASE WHEN event_id % 11 > 0 THEN {_EVENT_P} END AS p, (value - 50) / 20 AS z FROM events), r AS (SELECT *, row_number() OVER (ORDER BY p, k) AS rk FROM p WHERE p IS NOT NULL),
     f AS (SELECT k, least(1.0, min(p * (SELECT count(*) FROM r) / rk) OVER (ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)) AS fdr FROM r), l AS (SELECT median(z * z) / 0.4549364 AS lam FROM p)
     SELECT p.k, round(f.fdr, 8) AS fdr, round(lam, 6) AS lambda_gc, round(z * z / lam, 6) AS chi2_gc FROM l, p LEFT JOIN f ON f.k = p.k
 """
 )
 def whole_table_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adjusted p and genomic control over a whole table, without groups."""
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("k"), F.when(F.col("event_id") % 11 > 0, F.expr(_P).cast("double")).alias("p"), ((F.col("value") - 50) / 20).alias("z"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("k"), F.when(F.col("event_id") % 11 > 0, F.expr(_EVENT_P).cast("double")).alias("p"), ((F.col("value") - 50) / 20).alias("z"))
     out = statistics.benjamini_hochberg(statistics.genomic_control(rows, "z", []), "p", [])
     return rounded(rounded(out, 8, "fdr"), 6, "lambda_gc", "chi2_gc").select("k", "fdr", "lambda_gc", "chi2_gc")
 
