@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from carrierscan.config import StudyConfig
 from carrierscan.functions import expressions as X
 from carrierscan.operators import annotation, cohorts, genotypes, linkage, neighbours, scans, selection, sparse, statistics
-from carrierscan.plans import pipelines, state, study
+from carrierscan.plans import pipelines, reports, state, study
 from carrierscan.plans.study import SQL, table
 from carrierscan.shared import shared_dir
 from carrierscan.sources import store, vcf, wide
@@ -1128,3 +1128,23 @@ def sparse_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants and variant-by-exposure products that a sparse model of the phenotype keeps."""
     cells, cov = study.carried(spark, sf_dir), _covariates(spark, sf_dir)
     return selection.selected(cells, selection.fit(cells, cov, "residual", ["e", "nation"], absent=0.0), ["e", "nation"])
+
+
+@query(
+    f"""
+    WITH {_SUPPLIER}, f AS (SELECT variant % 3 AS file, variant, avg(dosage) / 2 AS p FROM cells WHERE NOT starts_with(CAST(sample_id AS VARCHAR), '9') GROUP BY 1, 2)
+    SELECT file, (SELECT count(*) FROM supplier) AS n_samples_total, (SELECT count(*) FROM supplier WHERE starts_with(CAST(s_suppkey AS VARCHAR), '9')) AS n_samples_removed, count(*) AS n_variants_raw,
+        count(*) FILTER (least(p, 1 - p) >= 0.46) AS n_variants_after_maf, count(*) FILTER (least(p, 1 - p) >= 0.46) AS n_variants_after_pruning FROM f GROUP BY 1
+"""
+)
+def filter_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What filters leave of each file; at a bound of 1 pruning drops none."""
+    cells = _supplier_cells(spark, sf_dir).withColumns({"file": F.col("variant") % 3, "chrom": F.col("variant") % 3, "pos": F.col("variant")})
+    return reports.filter_statistics(cells, "file", ["9"], 0.46, r2=1.0)
+
+
+@query()
+def cohort_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The laid-out table of two cohorts, numbers and categories with their tests."""
+    rows = study.samples(spark, sf_dir).withColumn("region", F.col("nation") % 5)
+    return reports.cohort_table(rows, "cohort", "BUILDING", "MACHINERY", ["e", "y", "n_orders"], ["region"], {"e": "Exposure", "y": "Phenotype"})
