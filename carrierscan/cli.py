@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from carrierscan.config import StudyConfig
 from carrierscan.functions import expressions as X
+from carrierscan.operators import statistics
 from carrierscan.plans import pipelines, runs
 from carrierscan.sources import tables, vcf, wide
 
@@ -26,10 +27,11 @@ def genotypes(spark: SparkSession, path: str, kind: str, index: str | None = Non
 
 
 def samples(spark: SparkSession, args: argparse.Namespace, config: StudyConfig) -> DataFrame:
-    """The study's table with target, exposures and covariates as numbers; sex becomes 0 and 1."""
+    """The study's table with target, exposures and covariates as numbers; sex becomes 0 and 1, and a category a 0/1 column for each level but the first, on which the scan matches too."""
     rows = tables.study_csv(spark, args.samples, args.sep, args.decimal).withColumnRenamed(config.sample_id, "sample_id")
     named = [c for c in dict.fromkeys([config.target, *config.exposures, *args.covariate]) if c != "sex"]
-    rows = rows.select(X.clean_sample_id(F.col("sample_id")).alias("sample_id"), *[X.number(F.col(c)).alias(c) for c in named], *([X.sex_code(F.col("sex")).alias("sex")] if "sex" in args.covariate else []))
+    rows = rows.select(X.clean_sample_id(F.col("sample_id")).alias("sample_id"), *[X.number(F.col(c)).alias(c) for c in named], *([X.sex_code(F.col("sex")).alias("sex")] if "sex" in args.covariate else []), *[F.nullif(F.trim(c), F.lit(".")).alias(c) for c in args.category])
+    rows, _ = statistics.dummies(rows, args.category)
     pcs = None
     if args.components:
         pcs = tables.study_csv(spark, args.components)
@@ -53,13 +55,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> ru
     parser.add_argument("--target", default="onset_age")
     parser.add_argument("--exposure", action="append", default=[])
     parser.add_argument("--covariate", action="append", default=[])
+    parser.add_argument("--category", action="append", default=[], help="a text covariate")
     parser.add_argument("--setting", action="append", default=[], help="name=value of any number in the settings")
     parser.add_argument("--parts", type=int, default=runs.SCAN_PARTS)
     parser.add_argument("--force", action="store_true")
     args = parser.parse_args(argv)
     given = dict(s.split("=", 1) for s in args.setting)
     numbers = {k: type(getattr(StudyConfig(), k))(float(v)) for k, v in given.items()}
-    config = StudyConfig(target=args.target, exposures=tuple(args.exposure), covariates=tuple(args.covariate), **numbers)
+    config = StudyConfig(target=args.target, exposures=tuple(args.exposure), covariates=(*args.covariate, *args.category), **numbers)
     spark = spark or SparkSession.builder.appName("carrierscan").getOrCreate()
     run = runs.Generation(spark, args.root, args.generation, config)
     if args.command == "status":

@@ -10,6 +10,8 @@ from carrierscan.operators import order
 
 #: Fixed value: the median of chi-square with one degree of freedom.
 CHI2_MEDIAN = 0.4549364
+#: Levels of a text column that become columns of their own at most.
+MOST_LEVELS = 1000
 
 
 def balance(rows: DataFrame, arm: str, covariates: list[str], by: list[str]) -> DataFrame:
@@ -89,7 +91,9 @@ def dummies(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str]]:
         if kinds[c] != "string":
             names.append(c)
             continue
-        levels = sorted(r[0] for r in rows.select(c).where(F.col(c).isNotNull()).distinct().collect())[1:]
+        levels = sorted(r[0] for r in rows.select(c).where(F.col(c).isNotNull()).distinct().limit(MOST_LEVELS + 1).collect())[1:]
+        if len(levels) >= MOST_LEVELS:
+            raise ValueError(f"{c} has over {MOST_LEVELS} levels: it is no category")
         rows = rows.withColumns({f"{c}_{x}": F.when(F.col(c) == x, 1.0).otherwise(0.0) for x in levels}).drop(c)
         names += [f"{c}_{x}" for x in levels]
     return rows, names

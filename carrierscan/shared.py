@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -18,9 +20,26 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/carrierscan/{name}-{uuid.uuid4().hex}"
 
 
+_made: list[tuple] = []
+
+
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table when the driver's Python ends: until then a result may read it."""
+    _made.append((spark._jvm, spark._jsc.hadoopConfiguration(), path))
+
+
+@atexit.register
+def _forget() -> None:
+    for jvm, conf, path in _made:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+
+
 def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read back: its lineage is cut, and executors may be lost."""
+    """``df`` as a table in the shared folder, read back: its lineage is cut, and executors may be lost. It goes when the driver's Python ends."""
     path = shared_dir(df.sparkSession, name)
+    forget_at_exit(df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,5 +1,7 @@
 """Studies from files to tables: steps in order, short-circuit, resume, force, and settings apart."""
 
+import argparse
+
 import numpy as np
 import pytest
 
@@ -19,7 +21,7 @@ def files(tmp_path_factory):
     dosage["2\t500"] = random.integers(0, 3, n)
     causal, spread = dosage["1\t100"], dosage["2\t500"]
     y = 61 - 1.2 * sex - 0.25 * (causal > 0) * (e - 30) + random.standard_normal(n) * (2 + 5 * (spread > 0))
-    (where / "env.csv").write_text("id,onset_age,exposure_env,sex\n" + "".join(f"{i}_{i},{y[k]:.2f},{e[k]},{'M' if sex[k] else 'F'}\n" for k, i in enumerate(ids)))
+    (where / "env.csv").write_text("id,onset_age,exposure_env,sex,site\n" + "".join(f"{i}_{i},{y[k]:.2f},{e[k]},{'M' if sex[k] else 'F'},{('bulbar', 'limb', '.')[k % 3]}\n" for k, i in enumerate(ids)))
     (where / "pca.csv").write_text("IID,PC1,PC2\n" + "".join(f"{i},{random.standard_normal():.4f},{random.standard_normal():.4f}\n" for i in ids))
     lines = ["##fileformat=VCFv4.2", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *ids])]
     lines += ["\t".join(["chr" + k.split("\t")[0], k.split("\t")[1], ".", "A", "G", ".", ".", ".", "GT", *(("0/0", "0/1", "1/1")[d] for d in v)]) for k, v in dosage.items()]
@@ -33,6 +35,10 @@ def arguments(files, root, command, *more):
             "--setting", "scan_reps=30", "--setting", "n_perm=60", "--setting", "n_perm_high=200", "--setting", "candidate_top=2", "--setting", "top_loci=1", "--setting", "components=2", "--setting", "min_obs_coef=0.5", "--setting", "max_smd=0.5", *more]
 
 
+def cli_arguments(files):
+    return argparse.Namespace(samples=str(files / "env.csv"), components=None, sep=",", decimal=".", covariate=["sex"], category=["site"])
+
+
 def test_variance_study_from_files(spark, files, tmp_path):
     first = cli.main(arguments(files, tmp_path, "variance"), spark)
     assert first.made == ["variants", "scan/part-000", "scan/part-001", "candidates", "interaction", "loci", "rge", "robustness", "permutation"]
@@ -63,6 +69,10 @@ def test_model_study_resumes_where_it_broke_off(spark, files, tmp_path, monkeypa
     assert run.made == ["scan/part-001", "model", "significant"] and len(calls) == 3
     rows = {r["variant"]: r for r in run.table("model").collect()}
     assert len(rows) == 7 and rows["1_100_A_G"]["empirical_p"] < 0.05 and {r["variant"] for r in run.table("significant").collect()} >= {"1_100_A_G"}
+    people = cli.samples(spark, cli_arguments(files), runs.StudyConfig(exposures=("exposure_env",)))
+    assert "site_limb" in people.columns and people.where("site_limb = 1").count() == 50
+    by_site = cli.main([*arguments(files, tmp_path, "model"), "--category", "site", "--setting", "n_perm=20", "--setting", "n_perm_high=20"], spark)
+    assert by_site.path != run.path and by_site.table("model").count() == 7
     anew = cli.main([*arguments(files, tmp_path, "model"), "--force"], spark)
     assert len(anew.made) == 5
     assert {(r["variant"], r["empirical_p"]) for r in anew.table("model").collect()} == {(v, r["empirical_p"]) for v, r in rows.items()}
