@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carrierscan.shared import forget_at_exit
+
 #: White space of the word contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
@@ -41,9 +43,10 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, and gives the planner true sizes."""
+    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, and gives the planner true sizes. It goes when the driver's Python ends."""
     small_batches(df.sparkSession)
     path = shared_dir(df.sparkSession, name)
+    forget_at_exit(df.sparkSession, path)
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._stored = path
