@@ -434,7 +434,7 @@ def _three_level_index(v: np.ndarray, y: np.ndarray, levels: np.ndarray, weights
 
 
 #: Bootstrap replicates of three levels that are solved at once.
-REPLICATES = 50
+REPLICATES = 100
 
 
 def bootstrap_indices(v: np.ndarray, y: np.ndarray, reps: int, rng: np.random.Generator) -> list[float | None]:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Halvings of each bracket: a range shrinks to its rounding.
-HALVINGS = 48
+#: Halvings of each bracket: a range shrinks to 1e-12 of it.
+HALVINGS = 40
 
 
 class _Level:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from carrierscan.config import StudyConfig
 from carrierscan.operators import cohorts, genotypes, kernels, scans, statistics
+from carrierscan.shared import write_shared
 
 
 def settings_of(config: StudyConfig) -> kernels.ScanSettings:
@@ -32,6 +33,8 @@ def replicate(results: DataFrame, first, second, alpha: float) -> DataFrame:
 
 def variance_candidates(scan: DataFrame, config: StudyConfig) -> DataFrame:
     """Scan rows with genomic control, adjusted p and the candidate mark: the smallest p-values, or all below the threshold."""
+    # Median, ranks and result each read the scan: it runs once.
+    scan = write_shared(scan, "scan")
     rows = scans.with_p_values(statistics.genomic_control(scan, "z", []), "chi2_gc")
     rows = statistics.benjamini_hochberg(rows, "p_gc", [], "fdr_gc")
     if config.candidate_top:
