@@ -51,3 +51,13 @@ def test_no_samples_at_all(spark, both):
     none = samples.where("sample_id < 0")
     assert {r["n_carrier"] + r["n_noncarrier"] for r in sparse.onset_summary(cells, variants, none, "y").collect()} == {0}
     assert {r["smd_e"] for r in sparse.balance(cells, variants, none, ["e"]).collect()} == {0.0}
+
+
+def test_mean_does_not_depend_on_the_order_of_rows(spark):
+    from carrierscan.plans.study import exact_mean
+
+    values = [0.1, 0.2, 0.3, 1e6 + 0.7, 0.6]
+    rows = [(0, x) for x in values] + [(1, x) for x in reversed(values)] + [(2, 1 / 3), (2, 2 / 3), (3, None), (4, float("nan")), (5, float("inf")), (6, 1e300)]
+    got = {r["g"]: r["m"] for r in spark.createDataFrame(rows, "g int, x double").coalesce(1).groupBy("g").agg(exact_mean(F.col("x")).alias("m")).collect()}
+    assert got[0] == got[1] == 1000001.9 / 5
+    assert got[2] == 0.5 and got[3] is None and got[4] != got[4] and got[5] == float("inf") and got[6] == 1e300
