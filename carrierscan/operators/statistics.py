@@ -144,9 +144,10 @@ def benjamini_hochberg(rows: DataFrame, p: str, by: list[str], out: str = "fdr")
     if by:
         known = F.when(F.col(p).isNotNull(), 1)
         w = Window.partitionBy(*by, known)
-        up = w.orderBy(p).rowsBetween(0, Window.unboundedFollowing)
-        raw = F.col(p) * F.count(F.lit(1)).over(w) / F.row_number().over(w.orderBy(p))
-        return rows.withColumn("_raw", raw).withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_raw").over(up)))).drop("_raw")
+        # From the largest p down: a frame that ends with the group is computed anew for each row, which takes the square of the rows.
+        down = w.orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, 0)
+        numbered = rows.withColumns({"_at": F.row_number().over(w.orderBy(p)), "_raw": F.count(F.lit(1)).over(w)}).withColumn("_raw", F.col(p) * F.col("_raw") / F.col("_at"))
+        return numbered.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_raw").over(down)))).drop("_raw", "_at")
     # Null values are a group of their own, so that they count for no rank.
     ranks = order.ranked(rows.withColumn("_known", F.col(p).isNotNull()), [F.col(p)], ["_known"], "_rank", "_count")
     least = order.running_least(ranks.withColumn("_raw", F.col(p) * F.col("_count") / F.col("_rank")), "_raw", "_rank", ["_known"], "_running")
