@@ -116,3 +116,33 @@ def test_quantile_by_counting_probes(spark, values):
         want = low if at == int(at) else low + (high - low) * (at - int(at))
         assert order.exact_quantile(df, F.col("x"), share, most=10) == want
     assert order.exact_quantile(df.where("x is null"), F.col("x")) is None
+
+
+@pytest.mark.parametrize("by", [["g"], []])
+def test_running_minima_read_no_frame_to_the_end_of_a_group(spark, by, capsys):
+    from carrierscan.operators import statistics
+
+    rows = [(i, i % 2, None if i % 9 == 0 else (i * 37 % 50) / 50) for i in range(400)]
+    out = statistics.benjamini_hochberg(spark.createDataFrame(rows, "k int, g int, p double"), "p", by)
+    got = {r["k"]: r["fdr"] for r in out.collect()}
+    for g in (0, 1) if by else (None,):
+        known = sorted((p, k) for k, group, p in rows if p is not None and g in (None, group))
+        least = 1.0
+        for i in range(len(known), 0, -1):
+            least = min(least, known[i - 1][0] * len(known) / i)
+            assert got[known[i - 1][1]] == pytest.approx(least, abs=1e-12)
+    assert all(got[k] is None for k, _, p in rows if p is None)
+    out.explain()
+    assert "currentrow$(), unboundedfollowing" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("by", [["g"], []])
+def test_average_ranks_number_different_values_alone(spark, by):
+    rows = [(i, [None, "a", "b"][i % 3], None if i % 11 == 0 else float(i * 7 % 20)) for i in range(300)]
+    got = order.average_ranks(spark.createDataFrame(rows, "k int, g string, x double"), "x", by, "r", "n").collect()
+    assert len(got) == 300
+    for r in got:
+        group = [x for _, g, x in rows if not by or g == r["g"]]
+        known = sorted(x for x in group if x is not None)
+        want = None if r["x"] is None else known.index(r["x"]) + (known.count(r["x"]) + 1) / 2
+        assert (r["r"], r["n"]) == (want, len(group))
