@@ -44,6 +44,28 @@ def running_least(rows: DataFrame, value: str, rank: str, by: list[str], out: st
     return rows.withColumn("_own", F.min(value).over(within)).join(ahead, same).withColumn(out, F.least("_own", "_later")).drop("_own", "_later", *[f"_k{i}" for i in range(len(keys))])
 
 
+def average_ranks(rows: DataFrame, value: str, by: list[str], out: str = "rank", count: str | None = None) -> DataFrame:
+    """``rows`` with their rank (from 1) by ``value`` within ``by``, ties sharing their mean, and with ``count`` the group's rows, those without a value too. Null stays null and takes no rank.
+
+    Only different values are sorted and numbered, each with how often it is there, in ranges as in ``ranked``; rows take their value's rank back by a join. So no task holds a group.
+    """
+    spark = rows.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = F.struct(*[F.col(f"`{c}`") for c in by]) if by else F.struct(F.lit(0).alias("all"))
+    counts = rows.groupBy(keys.alias("_group"), F.col(f"`{value}`").alias("_value")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_known", F.col("_value").isNotNull())
+    spread = write_shared(counts.repartitionByRange(parts, "_group", "_known", "_value").select("*", F.spark_partition_id().alias("_range")), "values")
+    sizes = spread.groupBy("_group", "_range").agg(F.coalesce(F.sum(F.when(F.col("_known"), F.col("_n"))), F.lit(0)).alias("_some"), F.sum("_n").alias("_rows"))
+    whole = Window.partitionBy("_group")
+    before = F.coalesce(F.sum("_some").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(F.col("_group").alias("_g"), F.col("_range").alias("_r"), before.alias("_before"), F.sum("_rows").over(whole).alias("_all"))
+    upto = F.sum("_n").over(Window.partitionBy("_group", "_range", "_known").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))
+    placed = spread.withColumn("_upto", upto).join(offsets, F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    rank = F.when(F.col("_known"), F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2.0)
+    found = write_shared(placed.select("_group", "_value", rank.alias("_rank"), "_all"), "value-ranks")
+    same = keys.eqNullSafe(F.col("_group")) & F.col(f"`{value}`").eqNullSafe(F.col("_value"))
+    return rows.join(found, same).select(*[F.col(f"`{c}`") for c in rows.columns], F.col("_rank").alias(out), *([F.col("_all").alias(count)] if count else []))
+
+
 def exact_quantile(rows: DataFrame, value: Column, share: float = 0.5, most: int = 10_000) -> float | None:
     """The value at ``share`` of the sorted non-null values (between two, their line), exact: counting probes narrow the range until ``most`` values are left, which the driver sorts. Infinite values count; NaN does not.
 
