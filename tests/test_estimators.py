@@ -273,3 +273,25 @@ def test_coefficient_table():
     assert [g["p_emp"] for g in got] == [np.mean(np.abs(fits[:, i]) >= abs(g["obs"])) for i, g in enumerate(got)]
     few = np.zeros(len(v))
     assert K.coefficient_table(few, y, e[:, None], c, s, 3) == []
+
+
+def test_resampled_medians_follow_whole_resamples():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 5, 40, 41):
+        z = np.sort(r.standard_normal(n))
+        whole, own = np.median(r.choice(z, (40_000, n)), axis=1), K.resampled_medians(z, 40_000, r)
+        at = np.unique(np.concatenate([whole, own]))
+        gap = np.abs(np.searchsorted(np.sort(whole), at, "right") - np.searchsorted(np.sort(own), at, "right")).max() / 40_000
+        assert gap < 0.015
+        assert set(own) <= set(np.add.outer(z, z).ravel() / 2)
+
+
+def test_resamples_solved_at_once_are_bounded_and_change_nothing(monkeypatch):
+    r = np.random.default_rng(4)
+    v, y = r.integers(0, 3, 60).astype(float), r.standard_normal(60)
+    seen, solve = [], K._three_level_index
+    monkeypatch.setattr(K, "_three_level_index", lambda v, y, levels, weights, taus: seen.append(len(weights)) or solve(v, y, levels, weights, taus))
+    one = K.bootstrap_indices(v, y, 9, np.random.default_rng(1))
+    monkeypatch.setattr(K, "DRAWN", 130)
+    assert K.bootstrap_indices(v, y, 9, np.random.default_rng(1)) == pytest.approx(one, abs=1e-12)
+    assert seen[0] == 9 and max(seen[1:]) == 2
