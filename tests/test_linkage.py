@@ -102,3 +102,9 @@ def test_kinship_in_blocks_and_slices(spark):
             low = min(h1, h2)
             assert (r["n_snp"], r["het_het"], r["ibs0"]) == (both.sum(), het, ibs0)
             assert r["kinship"] == (pytest.approx((het - 2 * ibs0) / (2 * low) + 0.5 - (h1 + h2) / (4 * low)) if low else None)
+
+
+def test_kinship_moves_no_pairs(spark, capsys):
+    genotypes.king_kinship(frame(spark, {1: correlated(np.random.default_rng(4), 30, 40)}), 7, 9).explain()
+    plan = capsys.readouterr().out
+    assert plan.index("MapInArrow") < plan.index("Exchange") and "id1" not in plan[plan.index("Exchange") :]
