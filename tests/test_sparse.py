@@ -61,3 +61,30 @@ def test_mean_does_not_depend_on_the_order_of_rows(spark):
     got = {r["g"]: r["m"] for r in spark.createDataFrame(rows, "g int, x double").coalesce(1).groupBy("g").agg(exact_mean(F.col("x")).alias("m")).collect()}
     assert got[0] == got[1] == 1000001.9 / 5
     assert got[2] == 0.5 and got[3] is None and got[4] != got[4] and got[5] == float("inf") and got[6] == 1e300
+
+
+def test_quantile_index_of_carriers_and_others(both):
+    cells, variants, samples, dense = both
+    taus = [0.05, 0.13, 0.37]
+    got = {r["variant"]: r for r in sparse.binary_quantile_index(cells, variants, samples, "y", taus).collect()}
+    want = {r["variant"]: r for r in statistics.binary_quantile_index(dense, "y", "v", ["variant"], taus).collect()}
+    assert got.keys() == want.keys() and any(r["beta_qi"] is not None for r in want.values())
+    for v, r in want.items():
+        assert got[v]["n"] == r["n"] and got[v]["beta_qi"] == (None if r["beta_qi"] is None else pytest.approx(r["beta_qi"], abs=1e-12))
+
+
+def test_interval_pieces_do_not_overlap(spark, monkeypatch):
+    from carrierscan.operators import cohorts
+
+    random = np.random.default_rng(5)
+    genes = [(f"G{i}", int(random.integers(2)), int(a), int(a + random.integers(-3, 60))) for i, a in enumerate(random.integers(0, 200, 120))]
+    points = [(i, int(random.integers(2)), int(random.integers(-5, 300))) for i in range(400)]
+    got = {r["variant"]: r["gene"] for r in cohorts.point_in_interval(spark.createDataFrame(points, "variant int, chrom int, pos int"), spark.createDataFrame(genes, "gene string, chrom int, start int, end int"), 10).collect()}
+    for v, c, p in points:
+        assert got[v] == min(((s, g) for g, k, s, e in genes if k == c and s <= p <= e), default=(0, "NO-GENE"))[1]
+    # Rows that meet in the join: one piece at most for each position and point, instead of all intervals around it.
+    met, where = [], spark.range(1).__class__.where
+    monkeypatch.setattr(spark.range(1).__class__, "where", lambda df, c: (met.append(df.count()) if "pos between" in str(c) else None, where(df, c))[1])
+    one = [("A", 0, 0, 50)] * 1 + [(f"B{i}", 0, 1, 50) for i in range(100)]
+    cohorts.point_in_interval(spark.createDataFrame(points, "variant int, chrom int, pos int"), spark.createDataFrame(one, "gene string, chrom int, start int, end int"), 1000)
+    assert met[0] <= len(points)
