@@ -116,12 +116,71 @@ def ld_prune(geno: DataFrame, window: int = 50, step: int = 5, r2: float = 0.5,
     return kept.select(chrom, pos, "variant", F.least(share, 1 - share).alias("maf"))
 
 
+#: Variants whose products with each other are one matrix on the driver at most (8 bytes for each pair), and entries of a task's block of samples.
+FEW_VARIANTS, BLOCK_ENTRIES = 2048, 1 << 22
+
+
+def _few_variants(known: DataFrame, people: DataFrame, components: int) -> DataFrame | None:
+    """The components by way of the variants' products with each other: blocks of samples give them, the driver gets variants times variants, and samples' entries stay on the cluster.
+
+    None where there are more than ``FEW_VARIANTS``, or fewer components than wanted have an eigenvalue.
+    """
+    spark = known.sparkSession
+    per = known.groupBy("variant").agg((F.avg("dosage") / 2).alias("p")).where("p > 0 and p < 1")
+    loci = write_shared(ranked(per, [F.col("variant")], out="_v").select("variant", "p", (F.col("_v") - 1).cast("int").alias("v")), "loci")
+    m = loci.count()
+    if not components or m > FEW_VARIANTS or m < components:
+        return None
+    block = max(256, BLOCK_ENTRIES // m)
+    z = (F.col("dosage") - 2 * F.col("p")) / F.sqrt(2 * F.col("p") * (1 - F.col("p")))
+    cells = write_shared(known.join(F.broadcast(loci), "variant").groupBy("s").agg(F.collect_list("v").alias("v"), F.collect_list(z).alias("z")).withColumn("b", F.floor(F.col("s") / block)).repartition("b"), "standardised")
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                x = np.zeros((part.num_rows, m))
+                x[np.repeat(np.arange(part.num_rows), part.column("v").value_lengths().to_numpy()), part.column("v").flatten().to_numpy()] = part.column("z").flatten().to_numpy()
+                yield part.column("s").to_numpy(), x
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((m, m))
+        for _, x in blocks(batches):
+            total += x.T @ x
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(m)), pa.array([r.tobytes() for r in total], pa.binary())], names=["at", "sums"])
+
+    def added(table: pa.Table) -> pa.Table:
+        sums = sum(np.frombuffer(x.as_buffer()) for x in table.column("sums"))
+        return pa.table({"at": table.column("at").slice(0, 1), "sums": pa.array([sums.tobytes()], pa.binary())})
+
+    got = cells.mapInArrow(products, "at long, sums binary").groupBy("at").applyInArrow(added, "at long, sums binary").orderBy("at").toArrow()
+    if got.num_rows < m:
+        return None
+    values, turn = np.linalg.eigh(np.frombuffer(b"".join(got.column("sums").to_pylist())).reshape(m, m))
+    values, turn = values[::-1][:components], turn[:, ::-1][:, :components]
+    if values[-1] <= 1e-9 * values[0]:
+        return None
+    turn = turn / np.sqrt(values)
+    names = [f"pc{i + 1}" for i in range(components)]
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s, x in blocks(batches):
+            y = x @ turn
+            yield pa.RecordBatch.from_arrays([pa.array(s), *(pa.array(np.ascontiguousarray(c)) for c in y.T)], names=["s", *names])
+
+    rows = write_shared(cells.mapInArrow(entries, ", ".join(["s int", *(f"{c} double" for c in names)])), "components")
+    largest = rows.agg(*[F.max_by(c, F.struct(F.abs(c), -F.col("s"))).alias(c) for c in names]).head()
+    signed = rows.select("s", *[(F.col(c) * (1.0 if largest[c] >= 0 else -1.0)).alias(c) for c in names])
+    return people.join(signed, "s", "left").na.fill(0.0, names).drop("s")
+
+
 def principal_components(geno: DataFrame, components: int = 10, extra: int = 10, most_rounds: int = 60, tolerance: float = 1e-9, seed: int = 42) -> DataFrame:
     """``sample_id, pc1 ...``: leading eigenvectors of the samples' relationship over standardised dosages, by randomised subspace iteration.
 
     Variants are rows of whole-number dosages, written once. Each round multiplies them, block by block, with a basis of samples by ``components + extra`` columns and back; tasks' products are added up
     by sample block, and the driver orthogonalises the sum. So tasks and driver hold 8 bytes for each sample and column of the basis, and no matrix of samples by samples exists. Rounds end when the
-    wanted eigenvalues and vectors stand still, or after ``most_rounds``. Missing cells count as the mean; variants without variance or called cells take no part. Each component's largest entry is positive.
+    wanted eigenvalues and vectors stand still, or after ``most_rounds``. Up to ``FEW_VARIANTS`` need no rounds: see ``_few_variants``. Missing cells count as the mean; variants without variance or called cells take no part. Each component's largest entry is positive.
     """
     spark = geno.sparkSession
     people = write_shared(ranked(geno.select("sample_id").distinct(), [F.col("sample_id")], out="s").select("sample_id", (F.col("s") - 1).cast("int").alias("s")), "people")
@@ -129,6 +188,9 @@ def principal_components(geno: DataFrame, components: int = 10, extra: int = 10,
     known = geno.where(F.col("dosage").isNotNull()).join(people, "sample_id")
     rows = write_shared(known.groupBy("variant").agg(F.collect_list("s").alias("s"), F.collect_list(F.col("dosage").cast("byte")).alias("d")).select("s", "d"), "rows")
     width = min(n, components + extra)
+    few = _few_variants(known, people, min(components, n))
+    if few is not None:
+        return few
 
     def times(basis):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

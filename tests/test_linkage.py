@@ -108,3 +108,13 @@ def test_kinship_moves_no_pairs(spark, capsys):
     genotypes.king_kinship(frame(spark, {1: correlated(np.random.default_rng(4), 30, 40)}), 7, 9).explain()
     plan = capsys.readouterr().out
     assert plan.index("MapInArrow") < plan.index("Exchange") and "id1" not in plan[plan.index("Exchange") :]
+
+
+def test_components_by_way_of_few_variants_equal_the_iteration(spark, monkeypatch):
+    values = correlated(np.random.default_rng(6), 60, 25)
+    few = linkage.principal_components(frame(spark, {1: values}), 3).orderBy("sample_id").collect()
+    monkeypatch.setattr(linkage, "BLOCK_ENTRIES", 1)
+    assert np.allclose([tuple(r)[1:] for r in linkage.principal_components(frame(spark, {1: values}), 3).orderBy("sample_id").collect()], [tuple(r)[1:] for r in few], atol=1e-9)
+    monkeypatch.setattr(linkage, "FEW_VARIANTS", 0)
+    many = linkage.principal_components(frame(spark, {1: values}), 3, most_rounds=500, tolerance=1e-13).orderBy("sample_id").collect()
+    assert np.allclose([tuple(r)[1:] for r in many], [tuple(r)[1:] for r in few], atol=1e-5)
