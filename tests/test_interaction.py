@@ -136,3 +136,40 @@ def test_all_coefficients_equal_a_plain_loop(spark, study):
             assert r["obs"] == pytest.approx(observed[i]) and r["iterations"] == 25
             assert (r["perm_mean"], r["perm_sd"], r["p_emp"]) == (pytest.approx(b.mean()), pytest.approx(b.std()), pytest.approx(np.mean(np.abs(b) >= abs(observed[i]))))
     assert some >= 3
+
+
+def test_copies_are_counted_and_matched_and_fitted_as_rows():
+    random = np.random.default_rng(8)
+    n, copies = 60, 40
+    e, c, y = random.gamma(2.0, 1.0, n), random.integers(0, 3, n).astype(float), random.standard_normal(n)
+    e[1], c[1] = e[0], c[0]
+    one = np.column_stack([y, e, c])
+    rows = np.tile(one, (copies, 1))[random.permutation(n * copies)]
+    y, e, c = rows[:, 0], rows[:, 1:2], rows[:, 2:]
+    points = K.points_of(y, e, c, 3)
+    assert len(points.size) == n and (points.size == copies).all() and len(points.places) == n - 1
+    features = K.scaled(np.column_stack([e, c]))
+    for share in (0.02, 0.3, 0.8):
+        v = (random.random(n * copies) < share).astype(float)
+        arms = points.matched(points.carriers(v))
+        at = K.matched_rows(v, features, 3)
+        plain = [np.bincount(points.of[at][v[at] == a], minlength=n) for a in (1, 0)]
+        assert arms.tolist() == np.array(plain).tolist()
+        assert points.fit(arms) == pytest.approx(K.least_squares(K.design(v[at], e[at], c[at]), y[at]), rel=1e-9)
+        assert K.largest_smd(arms, points.features) == pytest.approx(smd(at, v, features))
+    drawn = np.array([points.permuted(v, random) for _ in range(3000)])
+    assert (drawn.sum(axis=1) == v.sum()).all() and drawn.min() >= 0 and drawn.max() <= copies
+    # Mean and variance of the hypergeometric law, which permuted rows have.
+    p, total = v.mean(), n * copies
+    assert drawn.mean(axis=0) == pytest.approx(np.full(n, copies * p), abs=0.35)
+    assert drawn.var() == pytest.approx(copies * p * (1 - p) * (total - copies) / (total - 1), rel=0.03)
+
+
+def test_fits_without_full_rank_have_least_norm():
+    random = np.random.default_rng(9)
+    y, e = random.standard_normal(30), random.standard_normal((30, 1))
+    for c in (np.ones((30, 1)), 2 * e):
+        points = K.points_of(y, e, c, 3)
+        v = (random.random(30) < 0.5).astype(float)
+        arms = np.stack([points.carriers(v), points.carriers(1 - v)])
+        assert points.fit(arms) == pytest.approx(K.least_squares(K.design(v, e, c), y), rel=1e-6)
