@@ -173,3 +173,16 @@ def test_fits_without_full_rank_have_least_norm():
         v = (random.random(30) < 0.5).astype(float)
         arms = np.stack([points.carriers(v), points.carriers(1 - v)])
         assert points.fit(arms) == pytest.approx(K.least_squares(K.design(v, e, c), y), rel=1e-6)
+
+
+def test_blocks_of_many_variants_share_their_cells(spark, study, monkeypatch):
+    geno, cov = tables(spark, study)
+    arms, _, _, _ = study
+    geno = geno.where("variant = 'v0'").selectExpr("sample_id", "explode(sequence(1, 40)) AS variant", "dosage")
+    settings = K.ScanSettings(match_k=2, max_smd=9.0, n_perm=2, n_perm_high=702, futility_p=2.0, p_threshold=2.0, min_obs_coef=0.0)
+    seen, plain = [], scans.per_variant
+    monkeypatch.setattr(scans, "per_variant", lambda *args: seen.append(args[5].count() if len(args) > 5 else 0) or plain(*args))
+    got = scans.two_phase_model(geno, cov, "y", ["e"], ["c"], settings, absent=math.nan).collect()
+    assert len(got) == 40 and {(r["status"], r["iterations"]) for r in got} == {("done", 702)}
+    # Two blocks each, and 32 rows are enough for four cores.
+    assert seen == [0, 40]
