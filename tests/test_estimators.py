@@ -295,3 +295,35 @@ def test_resamples_solved_at_once_are_bounded_and_change_nothing(monkeypatch):
     monkeypatch.setattr(K, "DRAWN", 130)
     assert K.bootstrap_indices(v, y, 9, np.random.default_rng(1)) == pytest.approx(one, abs=1e-12)
     assert seen[0] == 9 and max(seen[1:]) == 2
+
+
+def test_shared_permutations_give_each_variants_own_result():
+    r = np.random.default_rng(4)
+    n, copies = 50, 6
+    y, e, c = np.round(r.standard_normal(n), 1), r.standard_normal(n), r.integers(0, 3, n).astype(float)
+    vs = [np.tile(r.integers(0, levels, n), copies).astype(float) for levels in (3, 2, 5, 1)]
+    y, e, c = (np.tile(x, copies) for x in (y, e, c))
+    vs[1][:20] = 1 - vs[1][:20]  # not every copy alike
+    c = c[:, None]
+    count = 200
+    together = K.permutation_hits(vs, y, e, c, count, np.random.default_rng(7))
+    for v, got in zip(vs, together, strict=True):
+        assert got == pytest.approx(K.permutation_hits([v], y, e, c, count, np.random.default_rng(7))[0])
+        assert got["beta_i_observed"] == pytest.approx(float((np.linalg.pinv(K.design(v, e[:, None], c)) @ y)[3]))
+        stat = K.levene_stat([y[v == g] for g in np.unique(v)])
+        assert got.get("levene_stat") == (None if stat is None else pytest.approx(stat))
+    # The same permutations by a plain loop over rows: residuals of the model without the interaction, and dosages.
+    order = np.lexsort(np.column_stack([c, e, y]).T)
+    some = []
+    for v, got in zip(vs[:3], together, strict=False):
+        v, yy, x = v[order], y[order], K.design(v, e[:, None], c)[order]
+        reduced = np.delete(x, 3, axis=1)
+        resid = yy - reduced @ np.linalg.lstsq(reduced, yy, rcond=None)[0]
+        rows, random, lane, spread = np.arange(len(v)), np.random.default_rng(7), 0, 0
+        for _ in range(count):
+            random.shuffle(rows)
+            lane += abs(np.linalg.pinv(x)[3] @ (yy - resid + resid[rows])) >= abs(got["beta_i_observed"])
+            spread += K.levene_stat([yy[v[rows] == g] for g in np.unique(v)]) >= got["levene_stat"]
+        assert abs(lane - got["lane_hits"]) <= 1 and abs(spread - got["levene_hits"]) <= 1
+        some.append((lane, spread))
+    assert {0 < x < count for x, _ in some} == {True} and any(x > 0 for _, x in some)
