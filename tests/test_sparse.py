@@ -103,3 +103,11 @@ def test_called_variants_from_carried_cells(both):
     # Pairs of samples and variants go no further than the count: neither joined with cells nor exchanged.
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftOuter, ((sample_id" not in plan and plan.count("Join Cross") + plan.count("Join Inner") == 1
+
+
+def test_equal_means_of_different_counts_are_equal(spark):
+    from carrierscan.plans.study import exact_mean
+
+    rows = [(n, x) for n, xs in enumerate([[0.1], [0.1, 0.05, 0.15], [123456.78] * 7, [123456.78], [9e13, 9e13], [-0.1] * 3, [0.0]]) for x in xs]
+    got = {r["g"]: r["m"] for r in spark.createDataFrame(rows, "g int, x double").groupBy("g").agg(exact_mean(F.col("x")).alias("m")).collect()}
+    assert got == {0: 0.1, 1: 0.1, 2: 123456.78, 3: 123456.78, 4: 9e13, 5: -0.1, 6: 0.0}
