@@ -101,3 +101,19 @@ def test_many_different_rows_are_packed_and_copies_are_not():
     assert betas.shape == (64, 5) and "near" not in vars(points)
     copies = K.Points(*(np.repeat(x[: n // 8], 8, axis=0) for x in (y, e, c)), 3)
     assert copies.packed is None
+
+
+def test_heavy_blocks_by_words_follow_the_light_ones(rows):
+    r, y, e, c = rows
+    v = (r.random(len(y)) < 0.5).astype(float)
+    y = y + 30 * v * (e[:, 0] - e.mean()) / e.std()
+    settings = K.ScanSettings(n_perm=100, n_perm_high=1200, min_obs_coef=0.0, max_smd=9.0)
+    found = K.interaction_scan(v, y, e, c, settings, 5)
+    assert found["gate"] == "tested" and found["iterations"] == 1200
+    points = K.points_of(y, e, c, settings.match_k)
+    assert points.packed is not None and "near" not in vars(points)
+    light = K.interactions(K.permuted_betas(v, points, settings, 100, np.random.default_rng(5)), points)
+    heavy = [K.heavy_block(v, y, e, c, settings, 5, b) for b in range(3)]
+    assert [len(b) for b in heavy] == [500, 500, 100]
+    betas = np.concatenate([light, *heavy])
+    assert found["mean_coef"] == pytest.approx(betas.mean()) and found["empirical_p"] == np.mean(np.abs(betas) >= abs(found["obs_coef"]))
