@@ -327,3 +327,15 @@ def test_shared_permutations_give_each_variants_own_result():
         assert abs(lane - got["lane_hits"]) <= 1 and abs(spread - got["levene_hits"]) <= 1
         some.append((lane, spread))
     assert {0 < x < count for x, _ in some} == {True} and any(x > 0 for _, x in some)
+
+
+def test_covariates_are_bounded_by_their_bytes(spark, monkeypatch):
+    rows = spark.range(2_000_001).selectExpr("id AS sample_id", "double(id) AS x")
+    cov = scans.Covariates(rows, ["x"])
+    assert cov.count == 2_000_001 and cov.values["x"][-1] == 2_000_000.0
+    assert cov.places.agg({"_at": "max"}).head()[0] == 2_000_000
+    monkeypatch.setattr(scans, "MOST_BYTES", 8 * 99)
+    few = spark.range(99).selectExpr("id AS sample_id", "double(id) AS x", "double(id) AS z")
+    assert scans.Covariates(few, ["x"]).count == 99
+    with pytest.raises(ValueError, match="more samples"):
+        scans.Covariates(few, ["x", "z"])
